@@ -20,12 +20,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BLOB_SCHEMA = "bucket int, block int, kind int, data binary"
 REPLY_SCHEMA = "block int, bucket int, kind int, data binary"
 U64 = np.uint64
@@ -312,3 +313,15 @@ def repeated(kind: int, columns: list[np.ndarray]) -> tuple[list[np.ndarray], li
     _, inverse, _ = unique_keys(keys, columns[1] if len(columns) == 3 else None)
     total = np.bincount(inverse, weights=times) if len(keys) else np.empty(0)
     return [(total >= 2)[inverse].astype(np.uint8)], []
+
+
+def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a piece holds about ``limit`` bytes of the column (one row at least)."""
+    for batch in batches:
+        sizes = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(batch[column]).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            done = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
