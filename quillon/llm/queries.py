@@ -2,22 +2,80 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import substring_dedup
+from quillon.llm import common, decontamination, lm_scoring, packing, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary"))
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scoring.score(table(spark, sf_dir, "documents"), crc() % 7 != 2, order=2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def warc_digest(records: DataFrame) -> DataFrame:
+    number = lambda x: F.regexp_extract(x, r":(\d+)$", 1)
+    return records.select(
+        F.when(number("record_id") != "", number("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(number("refers_to") != "", number("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
+def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    path = common.new_path(spark, "archives")
+    warc.write(pages, path)
+    return warc_digest(warc.read(spark, path, payload=False))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json(), capacity=4096, end_id=1, keep_ids=False)
+
+
+def decontamination_digest(out: DataFrame) -> DataFrame:
+    size = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    out = out.select("doc_id", "n_words", size.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return decontamination_digest(found)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), window=35)
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return out.select("doc_id", "n_words", size.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_warc": op2_warc, "op4_best_fit_packing": op4_best_fit_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        q AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY sha256(b)) AS owner FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND owner <> page_id THEN owner END AS refers_to
+        FROM q""",
+}
