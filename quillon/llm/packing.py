@@ -19,11 +19,12 @@ from quillon.llm import common as c
 class ChunkIds(dict):
     """Token ids (little-endian, 32 bit) of the runs between ASCII white space, kept for the runs seen lately.
 
-    Holds for tokenizers whose tokens never span white space and which drop it, as the one used here: the ids of a text
-    are then the ids of its runs one after the other.
+    Holds for tokenizers whose tokens never span white space, which drop it and case, and split a word from a stop or comma
+    after it, as the one used here: the ids of a text are then the ids of its runs one after the other, those of "word." are
+    those of "word" and of ".", and runs may be met in lower case.
     """
 
-    LIMIT = 300_000
+    LIMIT = 700_000
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,13 +34,26 @@ class ChunkIds(dict):
 
     def learn(self, chunks: set[bytes]) -> None:
         new = [x for x in chunks if x not in self]
-        if len(self) + len(new) > self.LIMIT:
+        if len(self) + 2 * len(new) > self.LIMIT:
             self.clear()
             new = list(chunks)
+        ended = [x for x in new if x[-1] in b".," and len(x) > 1 and x[-2] in LETTERS]
+        if ended:
+            new = list({b".", b",", *new, *(x[:-1] for x in ended)}.difference(self, ended))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
             self.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
+        self.update((x, self[x[:-1]] + self[x[-1:]]) for x in ended)
+
+
+LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+
+
+def _chunks(text: bytes | None) -> list[bytes]:
+    if not text:
+        return []
+    return (text if b"<|" in text else text.lower()).split()  # the names of special tokens count as they are written
 
 
 _readers: dict[int, ChunkIds] = {}
@@ -60,7 +74,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _ids(shared.value)
         for batch in c.chunks(batches, "text", 4 << 20):
-            chunked = [t.split() if t else [] for t in batch["text"].to_pylist()]
+            chunked = [_chunks(t) for t in batch["text"].to_pylist()]
             cache.learn(set().union(*chunked))
             source, rows, bodies = [], [], []
             for i, chunks in enumerate(chunked):
