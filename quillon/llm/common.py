@@ -287,7 +287,7 @@ def answers(blobs: DataFrame, n: int, merge: Callable[[int, list[np.ndarray]], t
         out: list[tuple] = []
         kinds = table["kind"].to_numpy()
         for kind in np.unique(kinds).tolist():
-            asked = table.filter(pa.array(kinds == kind))
+            asked = table.filter(pa.array(kinds == kind)).sort_by("block")  # the same order whenever the task runs again
             bucket, blocks = asked["bucket"][0].as_py(), asked["block"].to_pylist()
             parts = [unpack_arrays(x) for x in asked["data"].to_pylist()]
             for p in parts:
