@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import common, decontamination, lm_scoring, packing, substring_dedup, warc
+from quillon.llm import common, decontamination, embedding_dedup, jaccard_join, line_dedup, lm_scoring, packing, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,30 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json(), capacity=4096, end_id=1, keep_ids=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc() % 5 != 0))
+    out = toxicity.score(docs, model).select("doc_id", F.coalesce(crc() % 5 == 0, F.lit(False)).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def line_digest(out: DataFrame) -> DataFrame:
+    kept = F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup.remove_lines(table(spark, sf_dir, "documents"), least=5, rare=50))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def decontamination_digest(out: DataFrame) -> DataFrame:
     size = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -69,7 +93,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", size.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_warc": op2_warc, "op4_best_fit_packing": op4_best_fit_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_warc": op2_warc, "op4_best_fit_packing": op4_best_fit_packing, "op5_embedding_dedup": op5_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
