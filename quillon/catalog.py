@@ -1,6 +1,552 @@
-"""All registered queries of the reference operators and their SQL."""
+"""The registered queries of the reference operators, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.config import Settings
+from quillon.functions import spans, text
+from quillon.operators import detectors, entities, evaluate, records, scoring, segment
+from quillon.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def bench() -> Settings:
+    return Settings.load(taxonomy_file="bench_taxonomy.yaml")
+
+
+# ---------------------------------------------------------------- fixed texts, the same rows in Spark and in SQL
+
+FIXTURES = [
+    (1, "neutral", "The bridge opened in 1890. It carries about 190 trains each day, Dr. Lin said at 3.30 p.m. on Mon. The toll ended in 1964."),
+    (2, "loaded", "The policy was a shameful, disastrous retreat. Everyone knows it failed! \"The minister is a liar,\" she said."),
+    (3, "loaded", "Sources say the deal is done. There is no other choice; we have no choice but to sign."),
+    (4, "loaded", "Many people are unhappy. Many people (37% of 2,400) said so in the survey."),
+    (5, "loaded", "Freedom, justice and prosperity for every family!\n\nWe will take back control. We will take back control of it. He said we will take back control. Now we will take back control."),
+    (6, "loaded", "Migrants are blamed for the shortage. The council met. Migrants are also responsible for crime, he said."),
+    (7, "loaded", "Fairhaven Trust delivered an outstanding, wonderful result. Fairhaven Trust was celebrated for its brilliant work. Northgate Group produced a terrible failure. Northgate Group was condemned for its awful record."),
+    (8, "neutral", "Revenue rose to 4.2 billion from 3.9 billion. Costs may fall, which\nsuggests a saving."),
+    (9, "neutral", ""),
+    (10, "loaded", "Emoji 😀 first: what a pathetic, vile plan. What about the last one?"),
+]
+
+
+def _sql_rows() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return "fixtures(id, corpus, text) AS (VALUES " + ", ".join(f"({i}, {quote(c)}, {quote(t)})" for i, c, t in FIXTURES) + ")"
+
+
+def fixtures(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIXTURES, "id long, corpus string, text string")
+
+
+# ---------------------------------------------------------------- texts
+
+
+@query("""
+SELECT doc_id, length(text) AS char_count, octet_length(encode(text)) AS byte_count, len(string_split(text, chr(10)))::BIGINT AS line_count,
+       len(list_filter(string_split(text, chr(10)), lambda x: trim(x) = ''))::BIGINT AS empty_lines,
+       list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))::BIGINT AS max_line_length,
+       length(text) - length(replace(text, ' ', '')) AS spaces, length(text) - length(replace(text, chr(9), '')) AS tabs, length(text) - length(replace(text, chr(10), '')) AS newlines
+FROM documents""")
+def text_stats(spark, sf_dir):
+    s = readers.text_stats(F.col("text"))
+    names = ("char_count", "byte_count", "line_count", "empty_lines", "max_line_length", "spaces", "tabs", "newlines")
+    return documents(spark, sf_dir).select("doc_id", *(s[k].cast("long").alias(k) for k in names))
+
+
+@query("SELECT doc_id, sha256(text) AS document_id, substr(sha256(text), 1, 16) AS file_digest FROM documents")
+def doc_ids(spark, sf_dir):
+    d = text.document_id(text.nfc(F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", d.alias("document_id"), text.file_digest(d).alias("file_digest"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN contains(substr(text, 1, 1000), chr(13) || chr(10)) THEN 'CRLF' WHEN contains(substr(text, 1, 1000), chr(10)) THEN 'LF'
+       WHEN contains(substr(text, 1, 1000), chr(13)) THEN 'CR' ELSE 'Unknown' END AS line_endings FROM documents""")
+def line_endings(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.line_endings(F.col("text")).alias("line_endings"))
+
+
+SQL_TOKEN = r"[\p{L}\p{N}_\p{M}]+(?:[''’][\p{L}\p{N}_\p{M}]+)*|[^\p{L}\p{N}_\p{M}\s]"
+
+
+@query(rf"""
+SELECT doc_id, len(t)::BIGINT AS tokens, len(list_filter(t, lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS word_count,
+       len(list_filter(t, lambda x: list_contains([{", ".join(f"'{w}'" for w in text.STOP_WORDS)}], lower(x))))::BIGINT AS stop_words
+FROM (SELECT doc_id, regexp_extract_all(text, '{SQL_TOKEN}') AS t FROM documents)""")
+def token_counts(spark, sf_dir):
+    t = documents(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("t"))
+    words = F.size(F.filter("t", lambda x: ~text.is_punct(x)))
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), words.cast("long").alias("word_count"), F.size(F.filter("t", lambda x: text.is_stop(F.lower(x)))).cast("long").alias("stop_words"))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{SQL_TOKEN}') AS m, string_split_regex(text, '{SQL_TOKEN}') AS g FROM documents),
+u AS (SELECT doc_id, unnest(m) AS w, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS pos FROM t)
+SELECT doc_id, count(*) AS tokens, sum(place)::BIGINT AS offset_sum FROM (
+  SELECT doc_id, sum(gap + length(w)) OVER (PARTITION BY doc_id ORDER BY pos) - length(w) AS place FROM u) GROUP BY doc_id""")
+def token_offsets(spark, sf_dir):
+    return segment.tokens(documents(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("idx").cast("long").alias("offset_sum"))
+
+
+@query(f"WITH {_sql_rows()} SELECT id, CASE WHEN length(text) <= 60 THEN text WHEN contains(substr(text, 1, 60), chr(10) || chr(10)) THEN string_split(substr(text, 1, 60), chr(10) || chr(10))[1] ELSE substr(text, 1, 60) END AS trimmed FROM fixtures")
+def paragraph_trim(spark, sf_dir):
+    return fixtures(spark).select("id", text.trim_at_paragraph(F.col("text"), 60).alias("trimmed"))
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(html), '<!doctype html>') THEN 'HTML5' WHEN contains(lower(html), 'xhtml') THEN 'XHTML' WHEN contains(lower(html), 'html 4') THEN 'HTML4' ELSE 'Unknown' END AS version FROM pages")
+def html_version(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.html_version(F.col("html")).alias("version"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return readers.html_pages(table(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH p AS (SELECT * FROM customer)
+SELECT 'c_custkey' AS "column", 'bigint' AS dtype, count(*) - count(c_custkey) AS nulls, count(DISTINCT c_custkey) AS distinct_values FROM p
+UNION ALL SELECT 'c_nationkey', 'bigint', count(*) - count(c_nationkey), count(DISTINCT c_nationkey) FROM p
+UNION ALL SELECT 'c_mktsegment', 'string', count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment) FROM p""")
+def column_profile(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("long"), "c_mktsegment")
+    return readers.column_profile(c)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, (json_extract_string(props, '$.k') IS NULL) AS missing FROM events")
+def json_fields(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), k.isNull().alias("missing"))
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id, turn) - 1) % 4 AS bucket FROM conversations")
+def round_robin(spark, sf_dir):
+    from quillon.plans.distribute import positions
+
+    rows = positions(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", text.bucket_of(F.col("position"), 4).alias("bucket"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def joined_rows(spark, sf_dir):
+    """Rows of one source joined by blank lines."""
+    rows = table(spark, sf_dir, "conversations").where(F.trim("text") != "")
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda r: r["text"]), "\n\n").alias("text"))
+
+
+# ---------------------------------------------------------------- segmentation
+
+
+@query(r"""
+WITH g AS (SELECT doc_id, string_split_regex(text, '\n[ \t]*\n\s*') AS p, regexp_extract_all(text, '\n[ \t]*\n\s*') AS gap FROM documents),
+u AS (SELECT doc_id, unnest(p) AS t, unnest(list_transform(p, lambda x, i: coalesce(length(gap[i]), 0))) AS g, generate_subscripts(p, 1) AS pos FROM g)
+SELECT doc_id, count(*) AS paragraphs, sum(place)::BIGINT AS start_sum FROM (SELECT doc_id, t, sum(length(t) + g) OVER (PARTITION BY doc_id ORDER BY pos) - length(t) - g AS place FROM u) WHERE length(t) > 0 GROUP BY doc_id""")
+def paragraphs(spark, sf_dir):
+    p = documents(spark, sf_dir).select("doc_id", F.inline(segment.paragraphs(F.col("text"))))
+    return p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum("start").cast("long").alias("start_sum"))
+
+
+_MASKED = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\b(" + "|".join(segment.ABBREVIATIONS) + ")\\.', '\\1\ue000', 'g'), '\\b(e\\.g|i\\.e|a\\.m|p\\.m)\\.', '\\1\ue000', 'g'),"
+    " '\\b([A-Z])\\.', '\\1\ue000', 'g'), '(\\d)\\.(\\d)', '\\1\ue000\\2', 'g')"
+)
+_SENTENCES = rf"""
+paragraph AS (SELECT id, unnest(p) AS text, unnest(list_transform(p, lambda x, i: coalesce(length(gap[i]), 0))) AS gap, generate_subscripts(p, 1) AS par FROM
+  (SELECT id, string_split_regex(text, '\n[ \t]*\n\s*') AS p, regexp_extract_all(text, '\n[ \t]*\n\s*') AS gap FROM fixtures)),
+placed AS (SELECT id, text, par, sum(length(text) + gap) OVER (PARTITION BY id ORDER BY par) - length(text) - gap AS start FROM paragraph),
+cut AS (SELECT id, par, text, start, string_split_regex(m, '[.!?]["'')]*\s+') AS s, regexp_extract_all(m, '[.!?]["'')]*\s+') AS e FROM (SELECT *, {_MASKED} AS m FROM placed WHERE length(text) > 0)),
+piece AS (SELECT id, par, text, start, unnest(list_transform(s, lambda x, i: length(x) + coalesce(length(e[i]), 0))) AS n, generate_subscripts(s, 1) AS pos FROM cut),
+laid AS (SELECT id, par, pos, text, start, n, sum(n) OVER (PARTITION BY id, par ORDER BY pos) - n AS place FROM piece),
+own AS (SELECT id, par, pos, start + place AS start, substr(text, (place + 1)::BIGINT, n::BIGINT) AS t FROM laid),
+sentence AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY par, pos) - 1 AS sentence_id, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') AS text,
+  (start + length(t) - length(regexp_replace(t, '^\s+', '')))::BIGINT AS start_char FROM own WHERE trim(regexp_replace(t, '\s+', '', 'g')) <> '')"""
+
+
+@query(f"WITH {_sql_rows()}, {_SENTENCES} SELECT id, sentence_id, text, start_char, start_char + length(text) AS end_char FROM sentence")
+def sentences(spark, sf_dir):
+    s = segment.sentences(fixtures(spark), "id")
+    return s.select("id", F.col("sentence_id").cast("long").alias("sentence_id"), "text", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
+
+
+@query()
+def document_sentences(spark, sf_dir):
+    return segment.sentences(documents(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_sql_rows()}, {_SENTENCES}, p(position) AS (VALUES (0), (30), (60), (90), (5000)) SELECT f.id, position::BIGINT AS position, coalesce(min(sentence_id), -1) AS sentence_id FROM fixtures f CROSS JOIN p LEFT JOIN sentence s ON s.id = f.id AND start_char <= position AND position < start_char + length(s.text) GROUP BY f.id, position")
+def sentence_at(spark, sf_dir):
+    places = fixtures(spark).select("id", "text", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 30, 60, 90, 5000)))).alias("position"))
+    found = F.filter(F.transform(segment.sentence_array(F.col("text")), lambda s, i: F.struct(i.alias("i"), s["start"].alias("a"), (s["start"] + F.length(s["text"])).alias("b"))), lambda s: (s["a"] <= F.col("position")) & (F.col("position") < s["b"]))
+    return places.select("id", "position", F.coalesce(F.try_element_at(found, F.lit(1))["i"], F.lit(-1)).cast("long").alias("sentence_id"))
+
+
+# ---------------------------------------------------------------- detectors
+
+
+def findings(spark, sf_dir) -> DataFrame:
+    return detectors.findings(documents(spark, sf_dir), bench().taxonomy, "doc_id")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS m, string_split_regex(text, '[\p{L}\p{N}_]+') AS g FROM documents),
+u AS (SELECT doc_id, unnest(m) AS w, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS pos FROM t),
+o AS (SELECT doc_id, w, (sum(gap + length(w)) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS e FROM u)
+SELECT doc_id, 'slur:lexicon' AS rule_id, e - length(w) AS start_char, e AS end_char, w AS text FROM o WHERE lower(w) IN ('idiot', 'moron', 'worthless', 'stupid', 'pathetic', 'loser')""")
+def lexicon_findings(spark, sf_dir):
+    f = findings(spark, sf_dir).where("category = 'slur'")
+    return f.select("doc_id", "rule_id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text")
+
+
+_DIGITS = """
+WITH t AS (SELECT doc_id, p.rule_id, regexp_extract_all(text, p.pattern) AS m, string_split_regex(text, p.pattern) AS g FROM documents, (VALUES ('junk:regex:0', '[#$%&*]{3}'), ('junk:regex:1', '[0-9]{5,}')) p(rule_id, pattern)),
+u AS (SELECT doc_id, rule_id, unnest(m) AS w, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS pos FROM t)
+SELECT doc_id, rule_id, count(*) AS findings, min(e - length(w))::BIGINT AS first_start, max(e)::BIGINT AS last_end FROM (SELECT *, sum(gap + length(w)) OVER (PARTITION BY doc_id, rule_id ORDER BY pos) AS e FROM u) GROUP BY doc_id, rule_id"""
+
+
+@query(_DIGITS)
+def regex_findings(spark, sf_dir):
+    f = findings(spark, sf_dir).where("category = 'junk'")
+    return f.groupBy("doc_id", "rule_id").agg(F.count("*").alias("findings"), F.min("start_char").cast("long").alias("first_start"), F.max("end_char").cast("long").alias("last_end"))
+
+
+@query()
+def unless_findings(spark, sf_dir):
+    return findings(spark, sf_dir).where("category = 'unsourced'").groupBy("doc_id", "rule_id").agg(F.count("*").alias("findings"))
+
+
+@query()
+def cooccurrence(spark, sf_dir):
+    return findings(spark, sf_dir).where("category = 'slogan'").select("doc_id", "sentence_id", "start_char", "end_char", "text")
+
+
+@query("""
+WITH q AS (SELECT doc_id, regexp_extract_all(text, '"[^"]{1,600}"') AS a, regexp_extract_all(text, '“[^”]{1,600}”') AS b FROM documents)
+SELECT doc_id, len(a)::BIGINT + len(b)::BIGINT AS regions, coalesce(list_sum(list_transform(a, lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(b, lambda x: length(x))), 0)::BIGINT AS characters FROM q""")
+def quoted_regions(spark, sf_dir):
+    q = documents(spark, sf_dir).select("doc_id", spans.quoted_regions(F.col("text")).alias("q"))
+    return q.select("doc_id", F.size("q").cast("long").alias("regions"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("characters"))
+
+
+@query()
+def in_quotation(spark, sf_dir):
+    return findings(spark, sf_dir).groupBy("category").agg(F.sum(F.col("in_quotation").cast("long")).alias("quoted"), F.count("*").alias("findings"))
+
+
+@query("SELECT 0::BIGINT AS findings")
+def threshold_gate(spark, sf_dir):
+    """Findings of a rule below the threshold: none."""
+    return findings(spark, sf_dir).where("category = 'weak'").agg(F.count("*").alias("findings"))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{SQL_TOKEN}') AS m FROM documents),
+w AS (SELECT doc_id, lower(x) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, unnest(m) AS x, generate_subscripts(m, 1) AS pos FROM t) WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]')),
+s AS (SELECT *, w IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) AS stop FROM w),
+g AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS phrase, stop AND lead(stop, 1) OVER o AND lead(stop, 2) OVER o AND lead(stop, 3) OVER o AS stops FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, phrase, count(*) AS times FROM g WHERE phrase IS NOT NULL AND NOT stops GROUP BY doc_id, phrase HAVING count(*) >= 4""")
+def ngram_counts(spark, sf_dir):
+    g = detectors.ngrams(documents(spark, sf_dir), 4, "doc_id", "text")
+    return g.groupBy("doc_id", "phrase").agg(F.count("*").alias("times")).where("times >= 4")
+
+
+@query()
+def repetition(spark, sf_dir):
+    return findings(spark, sf_dir).where("category = 'repetition'").select("doc_id", "sentence_id", "start_char", "end_char", "text", "in_quotation")
+
+
+def fixture_findings(spark) -> DataFrame:
+    return detectors.findings(fixtures(spark), Settings.load().taxonomy, "id")
+
+
+_EXPECTED = {1: [], 2: ["bandwagon", "loaded_language", "name_calling"], 3: ["false_dilemma", "source_opaqueness"], 4: ["unsupported_quantifier"], 5: ["glittering_generalities", "repetition"], 6: ["scapegoating"], 7: ["card_stacking"], 8: ["hedging"], 9: [], 10: ["loaded_language", "whataboutism"]}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'[' + ', '.join(repr(x) for x in c) + ']'}::VARCHAR[])" for i, c in _EXPECTED.items() if c) + ") t(id, categories)")
+def fired_categories(spark, sf_dir):
+    """All 23 categories of the default taxonomy on the fixed texts, as sorted sets."""
+    return fixture_findings(spark).groupBy("id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+
+
+@query()
+def default_findings(spark, sf_dir):
+    """The default taxonomy over all documents."""
+    return detectors.findings(documents(spark, sf_dir), Settings.load().taxonomy, "doc_id")
+
+
+@query("SELECT * FROM (VALUES (6::BIGINT, 0::BIGINT, 8::BIGINT, 'Migrants'), (6, 55, 63, 'Migrants')) t(id, start_char, end_char, text)")
+def scapegoat(spark, sf_dir):
+    f = fixture_findings(spark).where("category = 'scapegoating'")
+    return f.select("id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text")
+
+
+@query("SELECT * FROM (VALUES (7::BIGINT, 'Fairhaven Trust', 2::BIGINT), (7, 'Northgate Group', 2)) t(id, text, mentions)")
+def card_stacking(spark, sf_dir):
+    return fixture_findings(spark).where("category = 'card_stacking'").groupBy("id", "text").agg(F.count("*").alias("mentions"))
+
+
+@query()
+def entities_gazetteer(spark, sf_dir):
+    return entities.entities(fixtures(spark), "id")
+
+
+@query()
+def sentence_sentiment(spark, sf_dir):
+    return entities.sentence_sentiment(documents(spark, sf_dir), "doc_id")
+
+
+@query()
+def entity_sentiment(spark, sf_dir):
+    return entities.entity_sentiment(fixtures(spark), "id").select("id", "entity_key", "label", "mentions", "average_sentiment")
+
+
+@query("SELECT * FROM (VALUES ('The  Big Trust', 'big trust'), ('a the an X', 'the an x'), ('AN  apple', 'apple'), ('Theatre', 'theatre')) t(name, entity_key)")
+def entity_key(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("The  Big Trust", "a the an X", "AN  apple", "Theatre")], "name string")
+    return rows.select("name", text.entity_key(F.col("name")).alias("entity_key"))
+
+
+# ---------------------------------------------------------------- scores
+
+
+def words(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).alias("word_count"))
+
+
+def scores(spark, sf_dir) -> DataFrame:
+    s = bench()
+    return scoring.category_scores(words(spark, sf_dir), findings(spark, sf_dir), s.taxonomy, s.scoring, "doc_id")
+
+
+#: Counts of the two categories whose findings SQL can make, and the words.
+_COUNTS = rf"""
+words AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '{SQL_TOKEN}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS n FROM documents),
+hits AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x) IN ('idiot', 'moron', 'worthless', 'stupid', 'pathetic', 'loser')))::BIGINT AS slur,
+  len(regexp_extract_all(text, '[#$%&*]{{3}}'))::BIGINT + len(regexp_extract_all(text, '[0-9]{{5,}}'))::BIGINT AS junk FROM documents),
+long AS (SELECT doc_id, 'slur' AS category, slur AS c, 0.85::DOUBLE AS conf, 0.7::DOUBLE AS sev, 0.4::DOUBLE AS dis FROM hits UNION ALL SELECT doc_id, 'junk', junk, 0.9::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE FROM hits)"""
+
+
+@query(f"WITH {_COUNTS} SELECT doc_id, category, c AS count, round(c * conf, 6) AS raw, round(CASE WHEN c = 0 THEN 0 ELSE 1 - exp(-4.0::DOUBLE * (c * conf) / pow(greatest(n, 1), 0.5)) END, 6) AS score FROM long JOIN words USING (doc_id)")
+def category_scores(spark, sf_dir):
+    return scores(spark, sf_dir).where("category in ('slur', 'junk')").select("doc_id", "category", "count", "raw", "score")
+
+
+@query("SELECT doc_id, 6::BIGINT AS categories FROM documents")
+def densified(spark, sf_dir):
+    """Every document has every category, also without findings."""
+    return scores(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("categories"))
+
+
+@query(f"WITH {_COUNTS} SELECT doc_id, category, c AS instances, round(conf * sev, 6) AS max_instance_severity, round(1 - exp(-c::DOUBLE), 6) AS accumulated_severity, sev AS severity_weight FROM long WHERE c > 0")
+def severity(spark, sf_dir):
+    s = bench()
+    return scoring.severity(scores(spark, sf_dir), s.taxonomy, s.scoring, "doc_id").where("category in ('slur', 'junk')").drop("ord", "disruption")
+
+
+@query()
+def disruption(spark, sf_dir):
+    s = bench()
+    return scoring.disruption(words(spark, sf_dir), scoring.severity(scores(spark, sf_dir), s.taxonomy, s.scoring, "doc_id"), s.scoring, "doc_id")
+
+
+#: A small table of scores, for the formulas alone: (id, category, family, ord, count, score).
+_SCORES = [(i, f"c{k}", ("propaganda", "fallacy", "bias", "style")[k % 4], k, (i * (k + 3)) % 4, round(((i * (k + 3)) % 4) * 0.17 + 0.01 * k, 6) if (i * (k + 3)) % 4 else 0.0) for i in range(1, 9) for k in range(8)]
+_SCORES_SQL = "s(id, category, family, ord, n, score) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{c}', '{f}', {o}, {n}, {v}::DOUBLE)" for i, c, f, o, n, v in _SCORES) + ")"
+
+
+def _composites(spark, **change):
+    from quillon.config import Category, Scoring, Taxonomy
+
+    t = Taxonomy(tuple(Category(f"c{k}", "repetition", family=("propaganda", "fallacy", "bias", "style")[k % 4]) for k in range(8)))
+    s = Scoring(families={"prop_score": ["propaganda"], "fallacy_score": ["fallacy"], "bias_signal": ["bias"], "excluded": ["style"]}, weights={"c3": 0.05}, increments={"c1": 0.45, "c2": 0.4}, **change)
+    rows = spark.createDataFrame(_SCORES, "id long, category string, family string, ord int, count long, score double")
+    return scoring.composites(rows, t, s, "id")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT id, round(coalesce(ln(avg(CASE WHEN score > 0 THEN exp(4 * score) END)) / 4, 0), 6) AS prop_score FROM s WHERE family = 'propaganda' GROUP BY id")
+def prop_smooth(spark, sf_dir):
+    return _composites(spark).select("id", "prop_score")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT id, round(1 - product(1 - score), 6) AS prop_score FROM s WHERE family = 'propaganda' GROUP BY id")
+def prop_noisy_or(spark, sf_dir):
+    return _composites(spark, method="noisy_or").select("id", "prop_score")
+
+
+@query(f"""
+WITH {_SCORES_SQL}, a AS (SELECT id, coalesce(sum(CASE WHEN n > 0 AND family <> 'style' THEN CASE category WHEN 'c1' THEN 0.45::DOUBLE WHEN 'c2' THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END END), 0) AS x FROM s GROUP BY id)
+SELECT id, round(least(x, 1), 6) AS additive_manipulation, CASE WHEN least(x, 1) < 0.3 THEN 'low' WHEN least(x, 1) < 0.7 THEN 'moderate' ELSE 'high' END AS band, x > 1 AS clipped FROM a""")
+def additive(spark, sf_dir):
+    return _composites(spark).select("id", "additive_manipulation", "band", "clipped")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT id, round(avg(score) FILTER (family = 'fallacy'), 6) AS fallacy_score, round(avg(score) FILTER (family = 'bias'), 6) AS bias_signal FROM s GROUP BY id")
+def family_mean(spark, sf_dir):
+    return _composites(spark).select("id", "fallacy_score", "bias_signal")
+
+
+@query(f"""
+WITH {_SCORES_SQL}, p AS (SELECT id, round(coalesce(ln(avg(CASE WHEN score > 0 THEN exp(4 * score) END) FILTER (family = 'propaganda')) / 4, 0), 6) AS a, round(avg(score) FILTER (family = 'fallacy'), 6) AS b, round(avg(score) FILTER (family = 'bias'), 6) AS c FROM s GROUP BY id)
+SELECT id, round(1 - (1 - a) * (1 - b) * (1 - c), 6) AS manipulation_index FROM p""")
+def manipulation(spark, sf_dir):
+    return _composites(spark).select("id", "manipulation_index")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT id, round(sum(score * CASE category WHEN 'c3' THEN 0.05 ELSE 1 END) / 7.05, 6) AS article_score FROM s GROUP BY id")
+def article_score(spark, sf_dir):
+    return _composites(spark).select("id", "article_score")
+
+
+@query("SELECT 8::BIGINT AS published, 8::BIGINT AS withheld")
+def headline(spark, sf_dir):
+    a = _composites(spark, expose_composite=True).agg(F.count("composite").alias("published"))
+    return a.join(_composites(spark).agg(F.sum(F.col("composite").isNull().cast("long")).alias("withheld")), how="cross")  # a row with a row
+
+
+@query()
+def document_composites(spark, sf_dir):
+    s = bench()
+    rows = scoring.composites(scores(spark, sf_dir), s.taxonomy, s.scoring, "doc_id")
+    return rows.select("doc_id", "prop_score", "fallacy_score", "bias_signal", "additive_manipulation", "band", "clipped", "manipulation_index", "article_score")
+
+
+# ---------------------------------------------------------------- records and checks
+
+
+@query()
+def records_flat(spark, sf_dir):
+    from quillon.plans.analyze import analyze
+
+    return records.flat(analyze(documents(spark, sf_dir).select("text", F.col("lang").alias("language"), F.col("source").alias("title")), bench()))
+
+
+@query("SELECT 0::BIGINT AS mismatches")
+def evidence_check(spark, sf_dir):
+    return records.evidence_mismatches(findings(spark, sf_dir), documents(spark, sf_dir), "doc_id").agg(F.count("*").alias("mismatches"))
+
+
+@query("SELECT 0::BIGINT AS violations")
+def schema_violations(spark, sf_dir):
+    from quillon.plans.analyze import analyze
+
+    s = bench()
+    return records.violations(analyze(documents(spark, sf_dir), s), len(s.taxonomy.categories)).agg(F.count("*").alias("violations"))
+
+
+# ---------------------------------------------------------------- evaluation: slurs found against the labels, roles as corpora
+
+
+def _fired(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    fired = detectors.findings(documents(spark, sf_dir).withColumnRenamed("doc_id", "id"), bench().taxonomy, "id").select("id", "category").where("category in ('slur', 'junk')").distinct()
+    return fired.join(labels.select("id"), "id", "left_semi"), labels.where("toxic = 1").select("id", F.lit("slur").alias("category")), labels.select("id")
+
+
+_FIRED = rf"""
+hits AS (SELECT doc_id AS id, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x) IN ('idiot', 'moron', 'worthless', 'stupid', 'pathetic', 'loser'))) > 0 AS slur,
+  regexp_matches(text, '[#$%&*]{{3}}') OR regexp_matches(text, '[0-9]{{5,}}') AS junk, toxic = 1 AS toxic FROM documents JOIN labels USING (doc_id)),
+counts AS (SELECT 'slur' AS category, sum((slur AND toxic)::INT)::BIGINT AS tp, sum((slur AND NOT toxic)::INT)::BIGINT AS fp, sum((toxic AND NOT slur)::INT)::BIGINT AS fn FROM hits
+  UNION ALL SELECT 'junk', 0, sum(junk::INT)::BIGINT, 0 FROM hits HAVING sum(junk::INT) > 0),
+rates AS (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM counts),
+full_rates AS (SELECT *, CASE WHEN p > 0 AND r > 0 THEN 2 * p * r / (p + r) WHEN p IS NULL AND r IS NULL THEN NULL ELSE 0 END AS f FROM rates)"""
+
+
+@query(f"WITH {_FIRED} SELECT category, tp, fp, fn FROM counts")
+def confusion(spark, sf_dir):
+    fired, expected, _ = _fired(spark, sf_dir)
+    return evaluate.confusion(fired, expected)
+
+
+@query(f"WITH {_FIRED} SELECT category, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM full_rates")
+def prf(spark, sf_dir):
+    fired, expected, _ = _fired(spark, sf_dir)
+    return evaluate.with_rates(evaluate.confusion(fired, expected)).select("category", "precision", "recall", "f1")
+
+
+@query(f"""
+WITH {_FIRED}, m AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM counts)
+SELECT tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS micro_precision, round(tp / nullif(tp + fn, 0), 6) AS micro_recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS micro_f1,
+  (SELECT round(avg(round(p, 6)), 6) FROM full_rates) AS macro_precision, (SELECT round(avg(round(r, 6)), 6) FROM full_rates) AS macro_recall, (SELECT round(avg(round(f, 6)), 6) FROM full_rates) AS macro_f1 FROM m""")
+def micro_macro(spark, sf_dir):
+    fired, expected, _ = _fired(spark, sf_dir)
+    return evaluate.summary(evaluate.confusion(fired, expected))
+
+
+@query(f"WITH {_FIRED} SELECT count(*) AS examples, sum((slur = toxic AND NOT junk)::INT)::BIGINT AS exact, sum((toxic AND NOT slur)::INT)::BIGINT AS missed, sum((slur AND NOT toxic)::INT + junk::INT)::BIGINT AS spurious FROM hits")
+def exact_match(spark, sf_dir):
+    fired, expected, examples = _fired(spark, sf_dir)
+    rows = evaluate.by_example(fired, expected, examples)
+    return rows.agg(F.count("*").alias("examples"), F.sum(F.col("exact").cast("long")).alias("exact"), F.sum(F.size("missed")).cast("long").alias("missed"), F.sum(F.size("spurious")).cast("long").alias("spurious"))
+
+
+@query("SELECT * FROM (VALUES ('other')) t(category)")
+def unmeasured(spark, sf_dir):
+    fired, expected, _ = _fired(spark, sf_dir)
+    return evaluate.unmeasured(evaluate.confusion(fired, expected), spark.createDataFrame([("slur",), ("junk",), ("other",)], "category string"))
+
+
+def _roles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("role").alias("corpus"), "text")
+    f = rows.select("id", F.explode(F.array(F.struct(F.lit("comma").alias("category"), F.size(F.regexp_extract_all("text", F.lit(","), F.lit(0))).alias("n")), F.struct(F.lit("digit").alias("category"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("n")))).alias("x"))
+    f = f.select("id", "x.category", F.explode(F.sequence(F.lit(1), F.greatest(F.col("x.n"), F.lit(1)))).alias("i"), "x.n").where("n > 0").select("id", "category")
+    return rows.select("id", "corpus", text.word_count(F.col("text")).alias("word_count")), f
+
+
+_ROLES = rf"""
+r AS (SELECT conv_id || ':' || turn AS id, role AS corpus, len(list_filter(regexp_extract_all(text, '{SQL_TOKEN}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS w, len(regexp_extract_all(text, ','))::BIGINT AS comma, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS digit FROM conversations),
+l AS (SELECT corpus, 'comma' AS category, sum(comma)::BIGINT AS n FROM r GROUP BY corpus UNION ALL SELECT corpus, 'digit', sum(digit)::BIGINT FROM r GROUP BY corpus UNION ALL SELECT corpus, NULL, sum(comma + digit)::BIGINT FROM r GROUP BY corpus),
+rates AS (SELECT corpus, category, n AS findings, t.words, CASE WHEN t.words > 0 THEN round(n / t.words * 1000, 4) ELSE 0 END AS per_1000 FROM l JOIN (SELECT corpus, sum(w)::BIGINT AS words FROM r GROUP BY corpus) t USING (corpus) WHERE n > 0)"""
+
+
+@query(f"WITH {_ROLES} SELECT * FROM rates")
+def corpus_rates(spark, sf_dir):
+    return evaluate.corpus_rates(*_roles(spark, sf_dir))
+
+
+@query(f"""
+WITH {_ROLES}, s AS (SELECT category, coalesce(max(per_1000) FILTER (corpus = 'user'), 0) AS neutral, coalesce(max(per_1000) FILTER (corpus = 'assistant'), 0) AS loaded FROM rates GROUP BY category)
+SELECT category, neutral, loaded, round(loaded / nullif(neutral, 0), 4) AS ratio FROM s""")
+def separation(spark, sf_dir):
+    return evaluate.separation(evaluate.corpus_rates(*_roles(spark, sf_dir)), "user", "assistant")
+
+
+@query("SELECT * FROM (VALUES ('absent')) t(category)")
+def silent(spark, sf_dir):
+    return evaluate.silent(spark.createDataFrame([("comma",), ("digit",), ("absent",)], "category string"), _roles(spark, sf_dir)[1])
+
+
+@query(f"WITH {_ROLES} SELECT id, corpus, comma + digit AS findings, w AS words, CASE WHEN w > 0 THEN round((comma + digit) / w * 1000, 4) ELSE 0 END AS per_1000 FROM r WHERE comma + digit > 0 ORDER BY findings DESC, corpus, id LIMIT 15")
+def top_docs(spark, sf_dir):
+    return evaluate.top_documents(*_roles(spark, sf_dir))
+
+
+@query("SELECT count(*) AS processed, 0::BIGINT AS failed, 'OK' AS gate FROM documents")
+def batch_summary(spark, sf_dir):
+    from quillon.plans.analyze import batch_summary as summary
+
+    done = documents(spark, sf_dir).select(text.document_id(F.col("text")).alias("document_id"))
+    return summary(done, done.where("false")).drop("document_ids")
