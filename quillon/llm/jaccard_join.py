@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import common as c
@@ -127,11 +127,16 @@ def _owner(kind: int, columns: list[np.ndarray]) -> tuple[list[np.ndarray], list
     return [bits], []
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Names a row by its id and text; the same for rows that repeat both."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("binary"))
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """node, id, n, d1, d2 (digest) of every row; for the first of each distinct set also the signatures it shares, and its items."""
     n = c.block_count(docs, text_col)
     row = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
-    dealt = c.pack(docs, c.block_of(row, n), n, id=F.col(id_col), text=F.col(text_col).cast("binary")).groupBy("block")
+    dealt = c.pack(docs, c.block_of(row, n), n, id=F.col(id_col), text=F.col(text_col).cast("binary"), key=row_key(id_col, text_col)).groupBy("block")
 
     def send_digests(table: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -166,12 +171,12 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
                 shared[d] = listed[cuts[i] : cuts[i + 1]]
                 bodies[d] = c.pack_arrays(np.diff(own.item[own.ends[d] - own.size[d] : own.ends[d]], prepend=np.uint64(0)))
         node = (np.int64(table["block"][0].as_py()) << 32) + np.arange(count)
-        arrays = [pa.array(node), own.docs["id"], pa.array(own.size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in own.digests), pa.array(rep), pa.array(shared, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
-        return pa.table(arrays, ["node", "id", "n", "d1", "d2", "rep", "shared", "body"])
+        arrays = [pa.array(node), own.docs["id"], own.docs["key"], pa.array(own.size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in own.digests), pa.array(rep), pa.array(shared, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
+        return pa.table(arrays, ["node", "id", "key", "n", "d1", "d2", "rep", "shared", "body"])
 
     owners = c.answers(dealt.applyInArrow(send_digests, c.BLOB_SCHEMA), n, _owner)
     met = c.answers(dealt.cogroup(owners.groupBy("block")).applyInArrow(send_signatures, c.BLOB_SCHEMA), n, c.repeated)
-    schema = f"node long, id {dict(docs.dtypes)[id_col]}, n long, d1 long, d2 long, rep boolean, shared array<long>, body binary"
+    schema = f"node long, id {dict(docs.dtypes)[id_col]}, key long, n long, d1 long, d2 long, rep boolean, shared array<long>, body binary"
     return dealt.cogroup(owners.unionByName(met).groupBy("block")).applyInArrow(describe, schema)
 
 
@@ -192,8 +197,79 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(fit).select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, rounds: int = 3) -> DataFrame:
-    """One row per row of docs: the id, n_shingles, component_id (the smallest id of all rows linked to it, directly or through others).
+BLOB = 256  # sets that stand together in one row
+
+
+def _rest(open_groups: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), enough to connect what is linked, among the members of groups that hold several components.
+
+    Groups that share members are one crowd. A crowd's largest component needs no comparison inside; every other member is compared
+    with all of the crowd, in blobs of about 256 sets, each against each in one row: no pair of members becomes a row, and the
+    work of a large crowd spreads over its blobs.
+    """
+    lead = open_groups.groupBy("sig").agg(F.min("node").alias("b"))
+    nodes = open_groups.select("node", "root").distinct()
+    crowds = components(nodes.select("node", F.col("node").alias("root")), open_groups.join(lead, "sig").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    rows = c.saved(crowds.withColumnRenamed("root", "crowd").join(nodes, "node"), "crowds")
+    size = rows.groupBy("crowd", "root").agg(F.count("*").alias("n"))
+    main = size.groupBy("crowd").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rows = rows.join(main, "crowd").withColumn("is_main", F.col("root") == F.col("main")).drop("main")
+    parts = rows.groupBy("crowd", "is_main").agg(F.ceil(F.count("*") / BLOB).alias("parts"))
+    rows = rows.join(parts, ["crowd", "is_main"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts").join(bodies, "node")
+    blobs = c.saved(rows.groupBy("crowd", "is_main", "part").agg(F.collect_list(F.struct("node", "root", "n", "body")).alias("sets")), "blobs")
+    right = blobs.select("crowd", F.col("is_main").alias("to_main"), F.col("part").alias("to"), F.col("sets").alias("y"))
+    left = blobs.where("not is_main").select("crowd", "part", F.col("sets").alias("x"))
+    left = left.join(right.drop("y"), "crowd").where("to_main or part <= to")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield _links(batch["x"][k].as_py(), batch["y"][k].as_py(), percent)
+
+    return left.join(right, ["crowd", "to_main", "to"]).select("x", "y").mapInArrow(run, "a long, b long")
+
+
+def _items(sets: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    own = [np.cumsum(c.unpack_arrays(r["body"])[0], dtype=np.uint64) for r in sets]
+    return np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+
+
+def _links(x: list[dict], y: list[dict], percent: int) -> pa.RecordBatch:
+    """A spanning forest of the links between two blobs, roots that are known to be one taken together."""
+    (item_x, own_x), (item_y, own_y) = _items(x), _items(y)
+    shared = np.intersect1d(item_x, item_y)
+    both = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(shared), 4096):
+        part = shared[at : at + 4096]
+        grids = []
+        for item, own, count in ((item_x, own_x, len(x)), (item_y, own_y, len(y))):
+            place = np.minimum(np.searchsorted(part, item), len(part) - 1)
+            hit = part[place] == item
+            grid = np.zeros((count, len(part)), np.float32)
+            grid[own[hit], place[hit]] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    total = np.array([r["n"] for r in x])[:, None] + np.array([r["n"] for r in y])[None, :]
+    i, j = np.nonzero(100 * both >= percent * (total - both))
+    parent: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out = []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = find(x[p]["root"]), find(y[q]["root"])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((x[p]["node"], y[q]["node"]))
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, rounds: int = 2) -> DataFrame:
+    """One row per row of docs: the id, n_shingles, component_id (the smallest id of all rows linked to it, directly or through others),
+    row_key (of id and text) and kept: true for one row of each component, one with the smallest id.
 
     A document's set: the distinct runs of ``width`` words (split at ASCII white space, A-Z lowered); all its words where it has
     fewer; empty without words, and then linked with nothing. Two rows are linked when their sets' Jaccard similarity is at least
@@ -202,41 +278,43 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     Rows with equal sets are one node. Nodes that share a signature are candidates, but not all pairs of a group are formed:
     in each round every node is compared with one other of its groups that isn't in its component yet, and groups
-    whose members are all in one component need nothing more. The rest, untested pairs across components, is then tested in full.
+    whose members are all in one component need nothing more. The members of the rest are then compared blob against blob.
     """
     base = c.saved(sets(docs, id_col, text_col, width, percent), "sets")
     reps = base.where("rep and shared is not null")
     bodies = reps.select("node", "n", "body")
     member = c.saved(reps.select("node", F.explode("shared").alias("sig")), "members")
     roots = c.saved(reps.select("node", F.col("node").alias("root")), "roots")
-    tested = None
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-
     for turn in range(rounds + 1):
         open_groups = member.join(roots, "node")
         split = open_groups.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
         open_groups = c.saved(open_groups.join(split, "sig"), "open")
-        if turn < rounds:
-            lead = open_groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "root")).alias("lead"))
-            pairs = open_groups.join(lead.select("sig", F.col("lead.node").alias("other"), F.col("lead.root").alias("other_root")), "sig").where("root <> other_root")
-            pairs = pairs.groupBy("node", "other").agg(F.count("*").alias("times"))
-            pairs = untested(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node", "times"))
-            pairs = pairs.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("times", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
-        else:
-            x = open_groups.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-            y = open_groups.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = untested(x.join(y, "sig").where("a < b and ra <> rb").select("a", "b").distinct())
-        pairs = c.saved(pairs, "pairs")
-        if pairs.isEmpty():
+        if open_groups.isEmpty():
+            break
+        if turn == rounds:
+            roots = components(roots, _rest(open_groups, bodies, percent))
             break
+        lead = open_groups.groupBy("sig").agg(F.min(F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("node", F.lit(turn)), "node", "root")).alias("lead"))
+        pairs = open_groups.join(lead.select("sig", F.col("lead.node").alias("other"), F.col("lead.root").alias("other_root")), "sig").where("root <> other_root")
+        pairs = pairs.groupBy("node", "other").agg(F.count("*").alias("times")).groupBy("node").agg(F.max_by("other", F.struct("times", "other")).alias("other"))
+        pairs = c.saved(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
         roots = components(roots, _verified(pairs, bodies, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
 
-    by_set = base.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.max(F.when(F.col("rep"), F.col("node"))).alias("node"))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", F.col("node").alias("at"))
+    by_set = base.where("n > 0").groupBy("d1", "d2").agg(F.min(rank).alias("least"), F.max(F.when(F.col("rep"), F.col("node"))).alias("node"))
     by_set = by_set.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = by_set.join(smallest, "root").select("d1", "d2", "component_id")
-    out = base.select("id", "n", "d1", "d2").join(by_set, ["d1", "d2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    smallest = by_set.groupBy("root").agg(F.min("least").alias("least"))
+    by_set = by_set.drop("least").join(smallest, "root").select("d1", "d2", F.col("least.id").alias("component_id"), F.col("least.at").alias("at"))
+    out = base.select("node", "id", "key", "n", "d1", "d2").join(by_set, ["d1", "d2"], "left")
+    alone = F.col("n") == 0
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.col("key").alias("row_key"), (alone | (F.col("node") == F.col("at"))).alias("kept"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, less all but one of each component of similar(). Of rows that repeat id and text one stays."""
+    found = similar(docs, id_col, text_col, width, percent)
+    kept = found.where("kept").select(F.col("row_key").alias("__key")).distinct()
+    return docs.withColumn("__key", row_key(id_col, text_col)).join(kept, "__key").dropDuplicates(["__key"]).drop("__key")
