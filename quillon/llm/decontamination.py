@@ -113,6 +113,41 @@ class Tables:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
 
+class Shards:
+    """The benchmark in shards of bounded text, each made into tables and broadcast when its pass over the documents is built."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, item_text: str, window: int, shard_bytes: int):
+        self.items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("text")).where(F.col("text").isNotNull())
+        self.count = max(1, -(-(self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+        self.window = window
+
+    def tables(self, shard: int):
+        part = self.items.where(F.pmod(F.xxhash64("text"), F.lit(self.count)) == shard)
+        made = Tables([(r["item"], bytes(r["text"])) for r in part.toLocalIterator()], self.window)
+        return self.items.sparkSession.sparkContext.broadcast(made)
+
+
+class Search:
+    """All occurrences in some texts: sizes and bounds of the texts in words, which words are inside one, items by text."""
+
+    def __init__(self, own: Tables, texts: list[bytes | None]):
+        numbers = [own.numbers(fold_words(t) if t else []) for t in texts]
+        self.sizes = np.array([len(x) for x in numbers], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts, ids = self.ends - self.sizes, np.concatenate([np.empty(0, np.int64), *numbers])
+        covered = np.zeros(len(ids) + 1, np.int64)
+        self.listed: dict[int, set] = defaultdict(set)
+        for matcher, owners in own.matchers:
+            place, pattern = matcher.search(ids, self.starts, self.ends)
+            np.add.at(covered, place, 1)
+            np.add.at(covered, place + matcher.length, -1)
+            where = np.searchsorted(self.ends, place, side="right")
+            for d, p in set(zip(where.tolist(), pattern.tolist(), strict=True)):
+                self.listed[d] |= owners[p]
+        self.inside = np.cumsum(covered)[:-1] > 0
+        self.touched = set(self.listed)
+
+
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, shard_bytes: int = 8 << 20
 ) -> DataFrame:
@@ -120,60 +155,57 @@ def find_passages(
 
     Words: A-Z lowered, runs of bytes other than ASCII characters that are neither letter nor digit. An item's patterns are its
     runs of ``window`` words, or all its words where it has fewer; items without words have none. Null texts have no words. Items
-    with a null id count as hits but are not listed. Repeated rows give repeated rows.
+    with a null id count as hits but are not listed. Repeated rows give repeated rows; other columns are ignored.
 
     No shuffle: the tables go to the tasks, for at most ``shard_bytes`` of benchmark text at a time. A larger benchmark
     is cut by a hash into such shards, each searched in a further pass over the same rows.
     """
-    item = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("text")).where(F.col("text").isNotNull())
-    size = item.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = Shards(benchmark, item_col, item_text, window, shard_bytes)
     kind = dict(benchmark.dtypes)[item_col]
     schema = f"id {dict(docs.dtypes)[id_col]}, text binary, n_words long, hits array<struct<start:long,end:long>>, items array<{kind}>"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"))
     rows = rows.selectExpr("*", "cast(array() as array<struct<start:long,end:long>>) hits", f"cast(array() as array<{kind}>) items")
-    for s in range(shards):
-        part = item.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s)
-        tables = docs.sparkSession.sparkContext.broadcast(Tables([(r["item"], bytes(r["text"])) for r in part.toLocalIterator()], window))
-        rows = rows.mapInArrow(_searcher(tables, s == shards - 1), schema)
+    for s in range(shards.count):
+        rows = rows.mapInArrow(_searcher(shards.tables(s), s == shards.count - 1), schema)
     return rows.select(F.col("id").alias(id_col), "n_words", "hits", "items")
 
 
 def _searcher(tables, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tables.value
         for batch in c.chunks(batches, "text"):
-            texts = batch["text"].to_pylist()
-            numbers = [own.numbers(fold_words(t) if t else []) for t in texts]
-            sizes = np.array([len(x) for x in numbers], np.int64)
-            ends = np.cumsum(sizes)
-            starts, ids = ends - sizes, np.concatenate(numbers)
-            covered = np.zeros(len(ids) + 1, np.int64)
-            listed: dict[int, set] = defaultdict(set)
-            for matcher, owners in own.matchers:
-                place, pattern = matcher.search(ids, starts, ends)
-                np.add.at(covered, place, 1)
-                np.add.at(covered, place + matcher.length, -1)
-                where = np.searchsorted(ends, place, side="right")
-                for d, p in set(zip(where.tolist(), pattern.tolist(), strict=True)):
-                    listed[d] |= owners[p]
-            inside = np.cumsum(covered)[:-1] > 0
-            touched = set(np.searchsorted(ends, np.flatnonzero(inside), side="right").tolist())
+            own = Search(tables.value, batch["text"].to_pylist())
             old_hits, old_items = batch["hits"].to_pylist(), batch["items"].to_pylist()
             hits, items = [], []
-            for d in range(len(texts)):
-                if d not in touched:
+            for d in range(batch.num_rows):
+                if d not in own.touched:
                     hits.append(old_hits[d])
                     items.append(old_items[d])
                     continue
-                mask = inside[starts[d] : ends[d]]
+                mask = own.inside[own.starts[d] : own.ends[d]]
                 for h in old_hits[d]:
                     mask[h["start"] : h["end"]] = True
                 edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)).tolist()
                 hits.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                items.append(sorted((listed[d] - {None}) | set(old_items[d])))
-            text = pa.nulls(len(texts), pa.binary()) if last else batch["text"]
-            arrays = [batch["id"], text, pa.array(sizes), pa.array(hits, batch["hits"].type), pa.array(items, batch["items"].type)]
+                items.append(sorted((own.listed[d] - {None}) | set(old_items[d])))
+            text = pa.nulls(batch.num_rows, pa.binary()) if last else batch["text"]
+            arrays = [batch["id"], text, pa.array(own.sizes), pa.array(hits, batch["hits"].type), pa.array(items, batch["items"].type)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "text", "n_words", "hits", "items"])
 
     return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, shard_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, all columns, that hold no occurrence."""
+    shards = Shards(benchmark, item_col, item_text, window, shard_bytes)
+
+    def keeper(tables):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in c.chunks(batches, text_col):
+                found = Search(tables.value, [None if t is None else t.encode() for t in batch[text_col].to_pylist()]).touched
+                yield batch.filter(pa.array([d not in found for d in range(batch.num_rows)], pa.bool_()))
+
+        return run
+
+    for s in range(shards.count):
+        docs = docs.mapInArrow(keeper(shards.tables(s)), docs.schema)
+    return docs

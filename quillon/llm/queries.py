@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import common, decontamination, embedding_dedup, jaccard_join, line_dedup, lm_scoring, packing, substring_dedup, toxicity, warc
+from quillon.llm import common, decontamination, embedding_dedup, jaccard_join, license_scan, line_dedup, lm_scoring, packing, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return jaccard_join.similar(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def line_digest(out: DataFrame) -> DataFrame:
@@ -75,6 +75,16 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), coverage=0.8)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def decontamination_digest(out: DataFrame) -> DataFrame:
     size = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -93,7 +103,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", size.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_warc": op2_warc, "op4_best_fit_packing": op4_best_fit_packing, "op5_embedding_dedup": op5_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_lm_scoring": op1_lm_scoring, "op2_warc": op2_warc, "op3_license_scan": op3_license_scan, "op4_best_fit_packing": op4_best_fit_packing, "op5_embedding_dedup": op5_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup, "pipeline": pipeline}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """

@@ -152,3 +152,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double, n_windows long").withColumnRenamed("id", id_col)
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in c.chunks(batches, text_col, 4 << 20):
+            yield batch.filter(pa.array([own.score((t or "").encode()) < threshold for t in batch[text_col].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
