@@ -16,48 +16,58 @@ from quillon.operators.segment import sentence_array, sentences, tokens
 FINDING = "array<struct<category:string,rule_id:string,start:int,end:int,confidence:double>>"
 
 
-def _rule(found: Column, c: Category, rule: str) -> Column:
-    return F.transform(found, lambda s: F.struct(F.lit(c.id).alias("category"), F.lit(f"{c.id}:{rule}").alias("rule_id"), s["start"].alias("start"), s["end"].alias("end"), F.lit(float(c.base_confidence)).alias("confidence")))
+def _rule(found: str, c: Category, rule: str) -> str:
+    head = f"'category', {spans.sql_string(c.id)}, 'rule_id', {spans.sql_string(f'{c.id}:{rule}')}"
+    return f"transform({found}, x -> named_struct({head}, 'start', x.start, 'end', x.end, 'confidence', {float(c.base_confidence)}D))"
 
 
-# ---------------------------------------------------------------- one sentence at a time: columns, so that patterns are literals
+# ---------------------------------------------------------------- one sentence at a time: expressions, so that patterns are literals
+# _s is the sentence, _low the same in lower case. Few sentences hold any match, and one test per category on _low decides that.
 
 
-def _lexicon(s: Column, c: Category) -> list[Column]:
-    return [_rule(spans.matches(s, spans.FLAGS + spans.words_pattern(c.terms)), c, "lexicon")]
+def _matches(pattern: str) -> str:
+    return spans.matches_sql("_s", spans.FLAGS + pattern)
 
 
-def _regex(s: Column, c: Category) -> list[Column]:
-    return [_rule(spans.matches(s, spans.FLAGS + p), c, f"regex:{i}") for i, p in enumerate(c.patterns)]
+def _lexicon(c: Category) -> list[str]:
+    return [_rule(_matches(spans.words_pattern(c.terms)), c, "lexicon")]
 
 
-def supported(s: Column, c: Category) -> Column:
-    """Does the sentence hold one of the category's exceptions?"""
-    tests = [spans.words_pattern(c.unless_terms)] if c.unless_terms else []
-    return F.greatest(F.lit(False), *(s.rlike(spans.FLAGS + p) for p in [*tests, *c.unless_patterns]))
+def _regex(c: Category) -> list[str]:
+    return [_rule(_matches(p), c, f"regex:{i}") for i, p in enumerate(c.patterns)]
 
 
-def _regex_unless(s: Column, c: Category) -> list[Column]:
-    none = F.array().cast(spans.SPAN)
-    return [_rule(F.when(s.rlike(spans.FLAGS + p) & ~supported(s, c), spans.matches(s, spans.FLAGS + p)).otherwise(none), c, f"unless:{i}") for i, p in enumerate(c.patterns)]
+def _regex_unless(c: Category) -> list[str]:
+    return [_rule(_matches(p), c, f"unless:{i}") for i, p in enumerate(c.patterns)]
 
 
-def _cooccurrence(s: Column, c: Category) -> list[Column]:
-    hits = spans.matches(s, spans.FLAGS + spans.words_pattern(c.terms))
-    whole = F.array(F.struct(F.element_at(hits, 1)["start"].alias("start"), F.element_at(hits, -1)["end"].alias("end")))
-    enough = (F.size(hits) >= c.min_hits) & (text.white_words(s) <= c.max_words)
-    return [_rule(F.when(enough, whole).otherwise(F.array().cast("array<struct<start:int,end:int>>")), c, "cooccurrence")]
+def _cooccurrence(c: Category) -> list[str]:
+    hits = _matches(spans.words_pattern(c.terms))
+    one = f"transform(filter(array({hits}), h -> size(h) >= {c.min_hits}), h -> named_struct('start', h[0].start, 'end', element_at(h, -1).end))"
+    return [_rule(one, c, "cooccurrence")]
 
 
-SENTENCE_KINDS: dict[str, Callable[[Column, Category], list[Column]]] = {"lexicon": _lexicon, "regex": _regex, "regex_unless": _regex_unless, "cooccurrence": _cooccurrence}
+SENTENCE_KINDS: dict[str, Callable[[Category], list[str]]] = {"lexicon": _lexicon, "regex": _regex, "regex_unless": _regex_unless, "cooccurrence": _cooccurrence}
+WORDS = "size(filter(split(_s, '(?U)\\\\s+'), w -> w <> ''))"
+
+
+def _guarded(c: Category) -> str:
+    """All findings of a category in a sentence, none at the price of one test where it has no match or an exception holds."""
+    test = f"_low RLIKE {spans.sql_string(spans.any_of(c.patterns or [spans.words_pattern(c.terms)]))}"
+    if c.detector == "regex_unless":
+        exceptions = [*([spans.words_pattern(c.unless_terms)] if c.unless_terms else []), *c.unless_patterns]
+        test += f" AND NOT (_low RLIKE {spans.sql_string(spans.any_of(exceptions))})"
+    if c.detector == "cooccurrence":
+        test += f" AND {WORDS} <= {c.max_words}"
+    return f"CASE WHEN {test} THEN concat({', '.join(SENTENCE_KINDS[c.detector](c))}) ELSE cast(array() as {FINDING}) END"
 
 
 def sentence_findings(docs: DataFrame, taxonomy: Taxonomy, key: str, body: str) -> DataFrame:
     """Findings of the sentence-level kinds. No shuffle: a row per document becomes rows per finding."""
-    rules = [x for c in taxonomy.categories if c.detector in SENTENCE_KINDS for x in SENTENCE_KINDS[c.detector](F.col("s.text"), c)]
+    rules = [_guarded(c) for c in taxonomy.categories if c.detector in SENTENCE_KINDS]
     laid = docs.select(key, F.col(body).alias("_text"), spans.quoted_regions(F.col(body)).alias("_quotes"), F.posexplode(sentence_array(F.col(body))).alias("sentence_id", "s"))
-    none = F.array().cast(FINDING)
-    found = laid.select(key, "_text", "_quotes", "sentence_id", F.col("s.start").alias("_at"), F.inline(F.flatten(F.array(*rules)) if rules else none))
+    laid = laid.select(key, "_text", "_quotes", "sentence_id", F.col("s.start").alias("_at"), F.col("s.text").alias("_s"), F.lower("s.text").alias("_low"))
+    found = laid.select(key, "_text", "_quotes", "sentence_id", "_at", F.expr(f"inline(concat({', '.join([f'cast(array() as {FINDING})', *rules])}))"))
     return _finding(found.withColumn("start", F.col("start") + F.col("_at")).withColumn("end", F.col("end") + F.col("_at")), key)
 
 
