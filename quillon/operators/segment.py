@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillon.functions import spans, text
+from quillon.functions import text
 
 PARAGRAPH_GAP = r"\n[ \t]*\n\s*"
 #: A sentence ends at a full stop, question or exclamation mark, closers after it, and white space.
@@ -69,6 +70,11 @@ def sentences(docs: DataFrame, key: str = "document_id", body: str = "text") ->
 
 def tokens(docs: DataFrame, key: str = "document_id", body: str = "text") -> DataFrame:
     """(key, sentence_id, pos, text, lower, idx, is_stop, is_punct); pos counts inside the sentence, idx is the offset in the text."""
-    found = sentences(docs, key, body).select(key, "sentence_id", "start_char", F.posexplode(spans.matches(F.col("text"), text.TOKEN)).alias("pos", "t"))
+    own = sentences(docs, key, body)
+    found, gaps = F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0)), F.split("text", text.TOKEN, -1)
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("text"), F.length(g).alias("gap")))
+    laid = own.select(key, "sentence_id", "start_char", F.posexplode(pairs).alias("pos", "t")).repartition(key)  # later windows by document need no other exchange
+    order = Window.partitionBy(key, "sentence_id").orderBy("pos")  # a running sum, as a fold would copy its array with every token
+    idx = (F.col("start_char") + F.sum(F.col("t.gap") + F.length("t.text")).over(order) - F.length("t.text")).cast("int")
     lower = F.lower("t.text")
-    return found.select(key, "sentence_id", "pos", F.col("t.text").alias("text"), lower.alias("lower"), (F.col("start_char") + F.col("t.start")).alias("idx"), text.is_stop(lower).alias("is_stop"), text.is_punct(F.col("t.text")).alias("is_punct"))
+    return laid.select(key, "sentence_id", "pos", F.col("t.text").alias("text"), lower.alias("lower"), idx.alias("idx"), text.is_stop(lower).alias("is_stop"), text.is_punct(F.col("t.text")).alias("is_punct"))
