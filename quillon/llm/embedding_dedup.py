@@ -67,34 +67,72 @@ class Index:
         return out
 
 
-def train(sample: np.ndarray, rows: int, threshold: float, recall: float, queries: int = 2000) -> Index:
-    """Codebooks from the sample of unit vectors; as many cells to visit as bring ``recall`` of the sample's own close pairs.
+def _least_rank(ranks: np.ndarray, weights: np.ndarray, recall: float) -> int:
+    """The least rank up to which ``recall`` of the weight lies."""
+    order = np.argsort(ranks, kind="stable")
+    done = np.cumsum(weights[order])
+    return int(ranks[order][min(np.searchsorted(done, recall * done[-1] * (1 - 1e-12)), len(ranks) - 1)])
 
-    With fewer than 200 such pairs, vectors turned by random angles up to the threshold stand in for them.
+
+def train(sample: np.ndarray, rows: int, threshold: float, recall: float, queries: int = 2000, partners: int = 8) -> Index:
+    """Codebooks from the distinct vectors of the sample of unit vectors; as many cells to visit as bring ``recall`` of its close pairs.
+
+    Pairs of equal vectors always meet and don't count. Of up to ``queries`` vectors with close others, up to ``partners`` each are
+    tried; the recall must hold with every pair, every vector and every group of close vectors weighing the same, so that no large group
+    decides for the others. With fewer than 200 groups it must also hold for vectors turned by random angles up to the threshold: small
+    groups seldom meet in a sample.
     """
+    first = np.unique(sample.round(6), axis=0, return_index=True)[1]
+    sample = sample[np.sort(first)]
     side = int(min(max(2, np.sqrt(rows / 64)), 1024, len(sample)))
     h = sample.shape[1] // 2
     own = Index((_kmeans(sample[:, :h], side), _kmeans(sample[:, h:], side)))
-    rng, q = np.random.default_rng(1), sample[:queries]
-    close = q @ sample.T >= threshold
-    close[np.arange(len(q)), np.arange(len(q))] = False
-    source, other = np.nonzero(close)
-    pick = rng.permutation(len(source))[:20_000]
-    left, right = q[source[pick]], sample[other[pick]]
-    if len(pick) < 200:
-        u = q[rng.integers(0, len(q), 500)]
+    rng, source, other, many = np.random.default_rng(1), [], [], []
+    for at in range(0, len(sample), 500):
+        cos = sample[at : at + 500] @ sample.T
+        close = (cos >= threshold) & (cos < 1 - 1e-9)
+        for i in np.flatnonzero(close.any(1)).tolist():
+            found = np.flatnonzero(close[i])
+            pick = rng.permutation(found)[:partners]
+            source += [at + i] * len(pick)
+            other += pick.tolist()
+            many.append((len(found), len(pick)))
+        if len(many) >= queries:
+            break
+    most, cells = side * side, own.cells(sample)
+
+    def ranks(left: np.ndarray, right: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Which of the cells that left[query] visits is the one of its partner?"""
+        out = np.empty(len(query), np.int64)
+        seen = own.visit(left, min(most, 512))
+        for i in range(0, len(query), 2000):
+            found = seen[query[i : i + 2000]] == right[i : i + 2000, None]
+            out[i : i + 2000] = np.where(found.any(1), found.argmax(1) + 1, most)
+        return out
+
+    needed, groups = [1], 0
+    if many:
+        chosen, query = np.unique(source, return_inverse=True)
+        q = sample[chosen]
+        near, group = q @ q.T >= threshold, np.full(len(q), -1)
+        for i in range(len(q)):
+            if group[i] < 0:
+                group[near[i] & (group < 0)] = groups
+                groups += 1
+        all_of, tried = np.array(many, float).T
+        by_vector = 1 / tried
+        rank = ranks(q, cells[other], query)
+        for w in (all_of * by_vector, by_vector, by_vector / np.bincount(group)[group]):
+            needed.append(_least_rank(rank, w[query], recall))
+    if groups < 200:
+        u = sample[rng.integers(0, len(sample), 500)]
         turn = rng.normal(size=u.shape)
         turn -= (turn * u).sum(1, keepdims=True) * u
         turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
         cos = rng.uniform(threshold, 1, (len(u), 1))
-        left, right = u, cos * u + np.sqrt(1 - cos**2) * turn
-    least, most = 1, side * side
-    ranks = np.empty(len(left), np.int64)
-    for i in range(0, len(left), 2000):
-        seen = own.visit(left[i : i + 2000], min(most, 512))
-        found = seen == own.cells(right[i : i + 2000])[:, None]
-        ranks[i : i + 2000] = np.where(found.any(1), found.argmax(1) + 1, most)
-    own.probes = int(min(most, max(least, np.quantile(ranks, recall, method="higher"))))
+        rank = ranks(u, own.cells(cos * u + np.sqrt(1 - cos**2) * turn), np.arange(len(u)))
+        needed.append(_least_rank(rank, np.ones(len(u)), recall))
+    own.probes = int(min(most, max(needed)))
     return own
 
 

@@ -69,3 +69,24 @@ def test_visits_are_the_nearest_cells():
     got = own.visit(x, 49)
     assert (np.sort(got, 1) == np.arange(49)).all()
     assert np.allclose(np.take_along_axis(full, got, 1), np.sort(full, 1))
+
+
+def test_recall_of_other_links_among_many_copies(spark):
+    """A third of all rows is one vector, or one tight cluster: the links of the others must not suffer."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = r.normal(size=(2000, 64))
+    turn -= (turn * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cos = r.uniform(0.9, 0.99, (2000, 1))
+    pairs = np.vstack([x, cos * x[:2000] + np.sqrt(1 - cos**2) * turn])
+    hub = r.normal(size=64)
+    for spread in (0, 0.02):
+        rows = np.vstack([pairs, hub + spread * r.normal(size=(3000, 64))])
+        links, _ = brute(range(len(rows)), rows)
+        df = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<float>")
+        got = {v.vec_id: v.n_links for v in embedding_dedup.near_duplicates(df.repartition(4)).collect()}
+        others = sum(got[i] for i in range(len(pairs)))
+        assert links[: len(pairs)].sum() >= 3900
+        assert 0.97 * links[: len(pairs)].sum() <= others <= links[: len(pairs)].sum()
