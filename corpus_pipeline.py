@@ -17,7 +17,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the blocks of lines of earlier documents. A document that loses all its lines goes, as nothing of it is left."""
     carry = [x for x in docs.columns if x not in ("doc_id", "text")]
-    out = line_dedup.remove_lines(docs, carry=carry).where((F.size("removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    out = line_dedup.remove_lines(docs, carry=carry, blocks=True).where((F.size("removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
     if "n_chars" in carry:
         out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

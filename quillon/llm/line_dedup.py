@@ -77,6 +77,51 @@ def _hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(line) - (1 << 63) if line else 0
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def least_blocks(hashes: list[int], words: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, blocks, starts, ends) of the shortest blocks of two lines and ``least`` words or more, from each line on and up to each line.
+
+    A run of lines of that size is the union of those of its blocks that lie inside: a line too late for a block from it on to
+    fit in has one up to it, or lies in the one from the run's start on. Equal blocks have the same number in ``blocks``; the key
+    says also which occurrence of the block in its document it is.
+    """
+    n = len(hashes)
+    at, before = np.arange(n), np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
+    ends = np.maximum(np.searchsorted(before, before[:-1] + least), at + 2)
+    starts = np.minimum(np.searchsorted(before, before[1:] - least, side="right") - 1, at - 1)
+    ahead, back = np.flatnonzero(ends <= n), np.flatnonzero(starts >= 0)
+    pairs = np.unique(np.concatenate([ahead * (n + 1) + ends[ahead], starts[back] * (n + 1) + back + 1]))
+    starts, ends = pairs // (n + 1), pairs % (n + 1)
+    up, down = (np.cumprod(np.array([1] + [x] * n, c.U64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, c.U64), np.cumsum(np.array(hashes, np.int64).view(c.U64) * down[:n])])
+    blocks = c.mix((sums[ends] - sums[starts]) * up[starts] + c.mix((ends - starts).astype(c.U64)))
+    order = np.argsort(blocks, kind="stable")
+    first = np.searchsorted(blocks[order], blocks)
+    times = np.empty(len(order), np.int64)
+    times[order] = np.arange(len(order))
+    keys = c.mix(blocks + (times - first).astype(c.U64) * c.U64(c.BASES[1]))
+    return keys.view(np.int64), first, starts, ends
+
+
+def repeats(hashes: list[int], words: list[int], least: int, known: list[int], gone: set[int]) -> set[int]:
+    """``gone`` and the lines of known blocks: so many occurrences of each as are known, those counted that are gone already."""
+    keys, blocks, starts, ends = least_blocks(hashes, words, least)
+    left = np.bincount(blocks[np.isin(keys, known)], minlength=len(keys) + 1)
+    done = np.zeros(len(hashes) + 1, np.int64)
+    done[[x + 1 for x in gone]] = 1
+    done = np.cumsum(done)
+    whole = done[ends] - done[starts] == ends - starts
+    left = left - np.bincount(blocks[whole], minlength=len(left))
+    more = set(gone)
+    for at in np.flatnonzero(~whole).tolist():
+        if left[blocks[at]] > 0:
+            left[blocks[at]] -= 1
+            more.update(range(starts[at], ends[at]))
+    return more
+
+
 class _Block:
     """A block's rows in a fixed order, whichever order they came in."""
 
@@ -90,7 +135,7 @@ class _Block:
         return self.first + np.arange(self.docs.num_rows)
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 5, rare: int = 50, carry: Sequence[str] = ()) -> DataFrame:
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 5, rare: int = 50, carry: Sequence[str] = (), blocks: bool = False) -> DataFrame:
     """One row per row of docs: the id, n_lines, removed (line numbers from 0), text (what stays, joined by line ends; null
     stays null), and the columns named in ``carry``.
 
@@ -100,7 +145,11 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A line that more documents hold needs no alignment: it is a block by itself, removed from all but its first
     holder where it has ``least`` words. Repetition inside one document stays. All decisions are made on the input, not on what is left.
 
-    A pair is formed with the first holder only, so pairs are as many as shared lines at most. What moves is line hashes; the
+    With ``blocks``, every run of two lines and ``least`` words or more that stands unbroken in any earlier document is removed as
+    well, however many documents hold it, as often as an earlier one has it: each document names the least such blocks of its lines, at most two per line, by hash,
+    and an aggregate finds a block's first holder.
+
+    A pair is formed with the first holder only, so pairs are as many as shared lines at most. What moves is hashes; the
     text is dealt to blocks once, compressed, and meets its line numbers there.
     """
     n = c.block_count(docs, text_col)
@@ -111,12 +160,14 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def describe(table: pa.Table) -> pa.Table:
         own = _Block(table)
         texts = [_lines(t) for t in own.docs["text"].to_pylist()]
-        hashes = pa.array([[_hash(x) for x in t] for t in texts], pa.list_(pa.int64()))
-        words = pa.array([[len(x.split()) for x in t] for t in texts], pa.list_(pa.int32()))
-        return pa.table([pa.array(own.nodes()), own.docs["id"], hashes, words], ["node", "id", "hashes", "words"])
-
-    base = c.saved(dealt.applyInArrow(describe, f"node long, id {kind}, hashes array<long>, words array<int>"), "lines")
-    lines = base.select("node", F.struct(F.col("id").isNull().alias("last"), "id", "node").alias("rank"), F.explode(F.array_distinct(F.arrays_zip("hashes", "words"))).alias("line"))
+        hashes, words = [[_hash(x) for x in t] for t in texts], [[len(x.split()) for x in t] for t in texts]
+        keys = [np.unique(least_blocks(*x, least)[0]) if blocks else [] for x in zip(hashes, words, strict=True)]
+        longs = pa.list_(pa.int64())
+        return pa.table([pa.array(own.nodes()), own.docs["id"], pa.array(hashes, longs), pa.array(words, pa.list_(pa.int32())), pa.array(keys, longs)], ["node", "id", "hashes", "words", "keys"])
+
+    base = c.saved(dealt.applyInArrow(describe, f"node long, id {kind}, hashes array<long>, words array<int>, keys array<long>"), "lines")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "node").alias("rank")
+    lines = base.select("node", rank, F.explode(F.array_distinct(F.arrays_zip("hashes", "words"))).alias("line"))
     lines = lines.select("node", "rank", F.col("line.hashes").alias("h"), F.col("line.words").alias("n_words")).where("h <> 0")
     held = lines.groupBy("h").agg(F.count("*").alias("holders"), F.min("rank").alias("first")).where("holders > 1")
     later = lines.join(held.select("h", "holders", F.col("first.node").alias("first")), "h").where("node <> first")
@@ -131,16 +182,24 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = pairs.join(base.select(F.col("node").alias("first"), F.col("hashes").alias("a")), "first").join(base.select("node", F.col("hashes").alias("b"), "words"), "node")
     by_pair = pairs.select("node", "a", "b", "words").mapInArrow(aligned, "node long, gone array<long>").select("node", F.explode("gone").alias("place"), F.lit(None).cast("long").alias("h"))
     by_line = later.where((F.col("holders") > rare) & (F.col("n_words") >= least)).select("node", F.lit(None).cast("long").alias("place"), "h")
-    gone = by_pair.unionByName(by_line).groupBy("node").agg(F.collect_set("place").alias("places"), F.collect_set("h").alias("hs"))
+    gone = by_pair.unionByName(by_line).withColumn("key", F.lit(None).cast("long"))
+    if blocks:
+        named = base.select("node", rank, F.explode("keys").alias("key"))
+        first = named.groupBy("key").agg(F.count("*").alias("holders"), F.min("rank").alias("first")).where("holders > 1")
+        again = named.select("node", "key").join(first.select("key", F.col("first.node").alias("first")), "key").where("node <> first")
+        gone = gone.unionByName(again.select("node", "key"), allowMissingColumns=True)
+    gone = gone.groupBy("node").agg(F.collect_set("place").alias("places"), F.collect_set("h").alias("hs"), F.collect_set("key").alias("keys"))
     gone = gone.withColumn("block", F.shiftright("node", 32).cast("int"))
 
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         own = _Block(table)
-        by_node = {r["node"]: (set(r["places"]), set(r["hs"])) for r in found.to_pylist()}
+        by_node = {r["node"]: (set(r["places"]), set(r["hs"]), r["keys"]) for r in found.to_pylist()}
         count, removed, texts = [], [], []
         for node, text in zip(own.nodes().tolist(), own.docs["text"].to_pylist(), strict=True):
             lines = _lines(text)
-            places, hs = by_node.get(node, ((), ()))
+            places, hs, keys = by_node.get(node, ((), (), ()))
+            if keys:
+                places = repeats([_hash(x) for x in lines], [len(x.split()) for x in lines], least, keys, set(places))
             out = [i for i, x in enumerate(lines) if i in places or (hs and _hash(x) in hs)] if places or hs else []
             count.append(len(lines))
             removed.append(out)

@@ -49,3 +49,13 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op8_line_dedup(spark, d).collect())) == sorted(brute.line_dedup(docs))
+
+
+def removed(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return {r.doc_id: r.removed for r in line_dedup.remove_lines(df.repartition(3), blocks=True).collect()}
+
+
+def test_short_lines_of_many_holders(spark):
+    docs = [(i, "a b\nc d\n\ne f\ng h") for i in range(60)]
+    assert removed(spark, docs) == {i: [0, 1, 2, 3, 4] if i else [] for i in range(60)}
