@@ -59,3 +59,23 @@ def removed(spark, docs):
 def test_short_lines_of_many_holders(spark):
     docs = [(i, "a b\nc d\n\ne f\ng h") for i in range(60)]
     assert removed(spark, docs) == {i: [0, 1, 2, 3, 4] if i else [] for i in range(60)}
+
+
+def test_blocks_whole_in_a_later_holder_only(spark):
+    docs = [(1, "a b c\nown one"), (2, "d e f\nown two"), (3, "a b c\nd e f\nown three"), (4, "own four\na b c\nd e f")]
+    assert removed(spark, docs) == {1: [], 2: [], 3: [], 4: [1, 2]}
+    p, q = "p p p p p p", "q q q q q q"
+    got = removed(spark, [(1, f"{p}\n{q}"), (2, f"{q}\n{p}"), (3, f"{q}\n{p}"), (4, f"{q}\n{p}\nz\n{q}\n{p}")])
+    assert got[1] == [] and got[3] == [0, 1] and len(got[2]) == 1 and len(got[4]) == 2
+
+
+def test_least_blocks_cover_every_run():
+    r = random.Random(7)
+    for _ in range(300):
+        words = [r.choice([0, 1, 2, 6]) for _ in range(r.randrange(2, 12))]
+        hashes = [r.randrange(1, 1 << 60) for _ in words]
+        _, _, starts, ends = line_dedup.least_blocks(hashes, words, 5)
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                inside = {x for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if i <= a and b <= j for x in range(a, b)}
+                assert inside == (set(range(i, j)) if sum(words[i:j]) >= 5 else set())
