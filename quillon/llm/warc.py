@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,6 +78,10 @@ class Member:
         """Does what has been decoded begin as a WARC record?"""
         return not self.failed and bytes(self.out[:5]) == b"WARC/"
 
+    def undecided(self) -> bool:
+        """Is too little decoded yet to tell?"""
+        return not self.failed and not self.z.eof and len(self.out) < 5
+
     def ended(self) -> bool:
         return self.z.eof and not self.failed
 
@@ -103,44 +108,55 @@ def parse(data: bytes, payload: bool) -> tuple:
 
 
 def _records(payload: bool):
-    """Rows of a task: (state 0) records that end in this byte range; (1) the unfinished last one; (2) pieces of one that began before."""
+    """Rows of a task: (state 0) records that end in this byte range; (1) the unfinished last one; (2) pieces of one that began before;
+    (3) pieces from a candidate on that is still undecided at the end: they may begin a record, or go on with one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size, place, member, held, at, begun = 0, None, None, b"", 0, False
+        tried: list[tuple[int, bytes]] = []  # the pieces of a member that is undecided
 
         def leave() -> None:
-            if member is not None:
+            if tried:
+                rows.extend((3, *place, k, data, *NONE) for k, data in tried)
+            elif member is not None:
                 rows.append((1, *place, at, held, *NONE))
 
         for batch in c.chunks(batches, "value", 8 << 20):
             for file, start, piece in zip(*(batch[k].to_pylist() for k in ("file", "start", "value")), strict=True):
                 if (file, start) != place:
                     leave()
-                    place, member, at, begun = (file, start), None, 0, False
+                    place, member, at, begun, tried = (file, start), None, 0, False, []
                 at += 1
                 if start == 0 and at == 1 and not piece:
                     continue  # what stands before the first magic of a file
-                data = MAGIC + piece
-                if member is None:
-                    fresh = Member()
-                    fresh.feed(data)
-                    if fresh.is_record():
-                        member, held, begun = fresh, data, True
-                    else:
-                        if not begun or not fresh.ended():  # may continue what began before; later, whole members that are no records just stand between
-                            rows.append((2, *place, at, data, *NONE))
-                        continue
-                else:  # the magic was part of the compressed data
+                todo = deque([(at, MAGIC + piece)])
+                while todo:
+                    k, data = todo.popleft()
+                    if member is None:
+                        member, held, fresh = Member(), b"", True
+                    else:  # the magic was part of the compressed data
+                        fresh = bool(tried)
                     held += data
                     member.feed(data)
-                if member.failed:
-                    rows.append((2, *place, at, data, *NONE))
-                    member = None
-                elif member.ended():
-                    rows.append((0, *place, at, None, *parse(bytes(member.out), payload)))
-                    size += len(member.out) if payload else 0
-                    member = None
+                    if fresh:
+                        tried.append((k, data))
+                        if member.undecided():
+                            continue
+                        if not member.is_record():
+                            if not begun or not member.ended():  # may continue what began before; later, whole members that are no records just stand between
+                                rows.append((2, *place, *tried[0], *NONE))
+                            todo.extendleft(reversed(tried[1:]))  # each may be a candidate itself
+                            member, tried = None, []
+                            continue
+                        begun, tried = True, []
+                    if member.failed:
+                        rows.append((2, *place, k, data, *NONE))
+                        member = None
+                    elif member.ended():
+                        rows.append((0, *place, k, None, *parse(bytes(member.out), payload)))
+                        size += len(member.out) if payload else 0
+                        member = None
                 if len(rows) >= 5000 or size > 8 << 20:
                     yield _batch(rows)
                     rows, size = [], 0
@@ -164,7 +180,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
     Each task gets a byte range from Spark's own text source, with the gzip magic as record separator: it scans its range for
     the magic, owns the candidates that begin inside and reads past its end to finish the last. A candidate counts when its first
-    bytes decode to a WARC header. The magic can also occur inside compressed data: a member that hasn't ended takes the next
+    bytes decode to a WARC header; until five bytes are decoded it stays open. The magic can also occur inside compressed data: a member that hasn't ended takes the next
     piece; where that piece belongs to the next range, both are put together by file afterwards (these are rare, and small).
     Damaged members are dropped. An empty folder gives no rows.
     """
@@ -173,12 +189,28 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     found = c.saved(pieces.mapInArrow(_records(payload), f"state int, file string, start long, at long, held binary, {FIELDS}"), "warc")
 
     def joined(table: pa.Table) -> pa.Table:
-        rows, member = [], None
-        for r in table.sort_by([("start", "ascending"), ("at", "ascending")]).to_pylist():
+        rows, member, tried = [], None, []
+        todo = deque(table.sort_by([("start", "ascending"), ("at", "ascending")]).to_pylist())
+        while todo or tried:
+            if tried and (not todo or todo[0]["state"] == 1):  # never decided: no record, but its other pieces may begin one
+                todo.extendleft(reversed(tried[1:]))
+                member, tried = None, []
+                continue
+            r = todo.popleft()
             if r["state"] == 1:
                 member = Member()
+            elif member is None and r["state"] == 3:
+                member, tried = Member(), [r]
+            elif tried:
+                tried.append(r)
             if member is not None:
                 member.feed(r["held"])
+                if tried and not member.undecided():
+                    if not member.is_record():
+                        todo.extendleft(reversed(tried[1:]))
+                        member, tried = None, []
+                        continue
+                    tried = []
                 if member.failed or member.ended():
                     rows += [(0, r["file"], r["start"], r["at"], None, *parse(bytes(member.out), payload))] if member.ended() else []
                     member = None

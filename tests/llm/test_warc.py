@@ -69,3 +69,24 @@ def test_query_and_empty(spark):
     assert sorted((tuple(r) for r in queries.op2_warc(spark, d).collect()), key=str) == want(pages)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert queries.warc_round_trip(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("size", ["60", "300", "64m"])
+def test_magic_before_the_first_decoded_bytes(spark, tmp_path, size):
+    """The magic stands in front of the compressed data, in the gzip header: nothing is decoded when the next piece begins."""
+    (tmp_path / "c").mkdir()
+    extra = b"x" * 30 + warc.MAGIC + b"\x08" * 4 + warc.MAGIC
+    field = bytes([len(extra), 0]) + extra
+    data = b""
+    for i in range(40):
+        plain = warc.gzip_member(warc.record(str(i), "u", b"payload" * i, None) + b"\r\n\r\n")
+        data += plain[:3] + b"\x04" + plain[4:10] + field + plain[10:] if i % 2 else plain
+    (tmp_path / "c" / "one.warc").write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {x.record_id.split(":")[-1]: bytes(x.payload) for x in warc.read(spark, f"{tmp_path}/c").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {str(i): b"payload" * i for i in range(40)}
