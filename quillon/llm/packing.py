@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -16,38 +18,112 @@ from pyspark.sql.window import Window
 from quillon.llm import common as c
 
 
+#: The normaliser and pre-tokeniser of a tokenizer file whose texts may be cut at white space and at punctuation.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: A run of letters that no normalisation but lower-casing changes (ASCII and Latin-1), and ASCII punctuation after it.
+WORD = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@[-`{-~]*)")
+
+
+def _word_engine(spec: dict):
+    """Encodes many words at once: a byte-pair encoder with the file's own ranks, a space being the end of a word.
+
+    Merging by the rank of the result equals merging by listed pairs where each result has one pair and ids follow the order of
+    the merges: None where the file isn't so.
+    """
+    model = spec.get("model", {})
+    vocab, merges = model.get("vocab"), model.get("merges")
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if not plain or len(vocab) <= len(merges) or len({"".join(x) for x in merges}) < len(merges):
+        return None
+    first = vocab["".join(merges[0])] if merges else 0
+    if any(vocab.get(a + b) != first + i for i, (a, b) in enumerate(merges)) or first < 512:
+        return None
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the byte-level alphabet
+    letters = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(kept))}
+    ranks = {}
+    for token, number in vocab.items():
+        body = token.removesuffix("</w>")
+        if number < first + len(merges) and all(x in letters for x in body):
+            ranks[bytes(letters[x] for x in body) + (b" " if body != token else b"")] = number
+    if any(bytes([b]) not in ranks or bytes([b, 32]) not in ranks for b in range(256)):
+        return None
+    import tiktoken
+
+    ended = np.zeros(first + len(merges), bool)
+    ended[[n for x, n in ranks.items() if len(x) > 1 and x.endswith(b" ")]] = True
+    return tiktoken.Encoding("words", pat_str=r"[^ ]* ", mergeable_ranks=ranks, special_tokens={}), ended
+
+
 class ChunkIds(dict):
     """Token ids (little-endian, 32 bit) of the runs between ASCII white space, kept for the runs seen lately.
 
-    Holds for tokenizers whose tokens never span white space, which drop it and case, and split a word from a stop or comma
-    after it, as the one used here: the ids of a text are then the ids of its runs one after the other, those of "word." are
-    those of "word" and of ".", and runs may be met in lower case.
+    Only for tokenizers whose file says that tokens never span white space, that case is dropped, and that letters stand apart from
+    punctuation (SPLITTING): there the ids of a text are those of its runs one after the other, and the ids of a run of letters
+    and the punctuation after it are those of the two. For any other file ``whole`` is true and texts are encoded whole.
     """
 
-    LIMIT = 700_000
+    LIMIT = 300_000
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        added = {x.get("content", "") for x in spec.get("added_tokens", [])}
+        free = spec.get("post_processor") is None and spec.get("truncation") is None and spec.get("padding") is None
+        self.whole = not (free and all(x.startswith("<|") for x in added) and all(spec.get(k) == v for k, v in SPLITTING.items()))
+        self.engine = None if self.whole else _word_engine(spec)
+
+    def text(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        for i in range(0, len(chunks), 20_000):
+            part = chunks[i : i + 20_000]
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+            self.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        encoder, ended = self.engine
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            ids = np.array(encoder.encode_ordinary(b" ".join(part).decode().lower() + " "), "<u4")
+            ends = ((np.flatnonzero(ended[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            self.update((x, data[a:b]) for x, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
         new = [x for x in chunks if x not in self]
         if len(self) + 2 * len(new) > self.LIMIT:
             self.clear()
             new = list(chunks)
-        ended = [x for x in new if x[-1] in b".," and len(x) > 1 and x[-2] in LETTERS]
-        if ended:
-            new = list({b".", b",", *new, *(x[:-1] for x in ended)}.difference(self, ended))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            self.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
-        self.update((x, self[x[:-1]] + self[x[-1:]]) for x in ended)
-
-
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+        if self.engine is None:
+            return self._encode(new)
+        words, other, both = set(), set(), []
+        for x in new:
+            m = WORD.fullmatch(x) if b"<|" not in x else None
+            if m is None:
+                other.add(x)
+            else:
+                word, tail = m.groups()
+                words.add(word)
+                if tail:
+                    other.add(tail)
+                    both.append((x, word, tail))
+        self._encode([x for x in other if x not in self])
+        self._encode_words([x for x in words if x not in self])
+        self.update((x, self[word] + self[tail]) for x, word, tail in both)
+        return None
 
 
 def _chunks(text: bytes | None) -> list[bytes]:
@@ -74,11 +150,12 @@ def tokenised(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _ids(shared.value)
         for batch in c.chunks(batches, "text", 4 << 20):
-            chunked = [_chunks(t) for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            chunked = [] if cache.whole else [_chunks(t) for t in texts]
             cache.learn(set().union(*chunked))
             source, rows, bodies = [], [], []
-            for i, chunks in enumerate(chunked):
-                data = b"".join(map(cache.__getitem__, chunks)) + end
+            for i, text in enumerate(texts):
+                data = (cache.text(text or b"") if cache.whole else b"".join(map(cache.__getitem__, chunked[i]))) + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     source.append(i)
@@ -142,6 +219,7 @@ def pack(
 
     A document is its token ids and ``end_id``; null and empty texts are the end id alone. Only documents longer than ``capacity``
     are cut. Sequences hold whole pieces, gapless from offset 0. Repeated rows and ids are packed each; other columns are ignored.
+    Any tokenizer file will do: one that says that it splits at white space is applied to distinct runs, any other to whole texts.
 
     The driver sees the histogram of lengths, ``capacity`` rows at most, and plans on counts. A piece's rank within its length is
     its rank within (length, salt) plus the sizes of the lesser salts, so a length that many share is ranked by many tasks.

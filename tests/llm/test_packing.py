@@ -66,3 +66,22 @@ def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     used, tokens = check(docs, queries.op4_best_fit_packing(spark, d).collect(), 4096)
     assert used == -(-tokens // 4096)
+
+
+def test_words_by_rank_equal_the_tokenizer(spark):
+    words = set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        words.update((r.text or "").encode().lower().split())
+    words |= {b"Don't", b"x'll,", "ÉCOLE".encode(), "straße!?".encode(), b"a.b", b"...", "a×b".encode(), b"it's***", b"<|endoftext|>", b"x<|", b"12ab"}
+    own, t = packing.ChunkIds(JSON), Tokenizer.from_file(PATH)
+    assert not own.whole and own.engine is not None
+    own.learn(words)
+    assert all(own[w] == np.array(t.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+
+
+def test_another_tokenizer_encodes_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = [(1, "Two  words, and\n Case"), (2, None), (3, "")]
+    t, rows = Tokenizer.from_file(path), packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), Path(path).read_text(), end_id=0).collect()
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in docs}
+    assert {r.doc_id: bytes(r.ids) for r in rows} == {i: np.array(x, "<u4").tobytes() for i, x in want.items()}
