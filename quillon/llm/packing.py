@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,8 +28,21 @@ SPLITTING = {
         ],
     },
 }
-#: A run of letters that no normalisation but lower-casing changes (ASCII and Latin-1), and ASCII punctuation after it.
-WORD = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@[-`{-~]*)")
+SPACE, LETTER, LATIN, MARK, OTHER = range(5)  # kinds of bytes; LATIN begins a letter of two bytes
+
+
+def _kinds() -> np.ndarray:
+    kind = np.full(256, OTHER, np.uint8)
+    kind[list(b" \t\n\r\x0b\x0c")] = SPACE
+    kind[97:123] = LETTER
+    kind[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = MARK  # all but the apostrophe, which can begin a word's ending
+    kind[0xC3] = LATIN
+    return kind
+
+
+KIND = _kinds()
+LATIN_LETTER = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])  # U+00C0 to U+00FF but two signs
+BREAK, HOLE = b"\n", b"\r"  # stand for the end of a text and for a run that is encoded by itself
 
 
 def _word_engine(spec: dict):
@@ -58,20 +70,20 @@ def _word_engine(spec: dict):
         return None
     import tiktoken
 
-    ended = np.zeros(first + len(merges), bool)
-    ended[[n for x, n in ranks.items() if len(x) > 1 and x.endswith(b" ")]] = True
-    return tiktoken.Encoding("words", pat_str=r"[^ ]* ", mergeable_ranks=ranks, special_tokens={}), ended
+    signs = {x: ranks[x + b" "] for x in (BREAK, HOLE)}
+    return tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={}), signs
 
 
-class ChunkIds(dict):
-    """Token ids (little-endian, 32 bit) of the runs between ASCII white space, kept for the runs seen lately.
+class Reader:
+    """Token ids of many texts at once.
 
-    Only for tokenizers whose file says that tokens never span white space, that case is dropped, and that letters stand apart from
-    punctuation (SPLITTING): there the ids of a text are those of its runs one after the other, and the ids of a run of letters
-    and the punctuation after it are those of the two. For any other file ``whole`` is true and texts are encoded whole.
+    Fast only for tokenizers whose file says that tokens never span white space, that case is dropped, and that letters stand apart
+    from punctuation (SPLITTING): there the ids of a text are those of its runs between white space, one after the other, and
+    those of a run of plain letters (ASCII, Latin-1: no normalisation changes them but lower case) with punctuation after it are
+    those of the two. Such runs go to one byte-pair pass; any other run goes to the tokenizer by itself, and with any other file the whole text does.
     """
 
-    LIMIT = 300_000
+    LIMIT = 50_000  # other runs kept, of up to 64 bytes
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,66 +91,79 @@ class ChunkIds(dict):
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         spec = json.loads(tokenizer_json)
-        added = {x.get("content", "") for x in spec.get("added_tokens", [])}
-        free = spec.get("post_processor") is None and spec.get("truncation") is None and spec.get("padding") is None
-        self.whole = not (free and all(x.startswith("<|") for x in added) and all(spec.get(k) == v for k, v in SPLITTING.items()))
-        self.engine = None if self.whole else _word_engine(spec)
-
-    def text(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode(self, chunks: list[bytes]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            self.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
-
-    def _encode_words(self, words: list[bytes]) -> None:
-        encoder, ended = self.engine
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            ids = np.array(encoder.encode_ordinary(b" ".join(part).decode().lower() + " "), "<u4")
-            ends = ((np.flatnonzero(ended[ids]) + 1) * 4).tolist()
-            data = ids.tobytes()
-            self.update((x, data[a:b]) for x, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [x for x in chunks if x not in self]
-        if len(self) + 2 * len(new) > self.LIMIT:
-            self.clear()
-            new = list(chunks)
-        if self.engine is None:
-            return self._encode(new)
-        words, other, both = set(), set(), []
-        for x in new:
-            m = WORD.fullmatch(x) if b"<|" not in x else None
-            if m is None:
-                other.add(x)
-            else:
-                word, tail = m.groups()
-                words.add(word)
-                if tail:
-                    other.add(tail)
-                    both.append((x, word, tail))
-        self._encode([x for x in other if x not in self])
-        self._encode_words([x for x in words if x not in self])
-        self.update((x, self[word] + self[tail]) for x, word, tail in both)
-        return None
-
-
-def _chunks(text: bytes | None) -> list[bytes]:
-    if not text:
-        return []
-    return (text if b"<|" in text else text.lower()).split()  # the names of special tokens count as they are written
-
-
-_readers: dict[int, ChunkIds] = {}
-
-
-def _ids(tokenizer_json: str) -> ChunkIds:
+        added = [x.get("content", "") for x in spec.get("added_tokens", [])]
+        free = all(spec.get(k) is None for k in ("post_processor", "truncation", "padding")) and all(x.startswith("<|") and x.split() == [x] for x in added)
+        self.engine = _word_engine(spec) if free and all(spec.get(k) == v for k, v in SPLITTING.items()) else None
+        self.kept: dict[bytes, np.ndarray] = {}
+
+    def _alone(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    def _others(self, runs: list[bytes]) -> list[np.ndarray]:
+        if len(self.kept) > self.LIMIT:
+            self.kept.clear()
+        known = self.kept
+        new = list({x for x in runs if x not in known})
+        found = dict(zip(new, self._alone(new), strict=True))
+        known.update((x, v) for x, v in found.items() if len(x) <= 64)
+        return [found[x] if x in found else known[x] for x in runs]
+
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """One array (little-endian, 32 bit) per text."""
+        texts = [t or b"" for t in texts]
+        if self.engine is None or not texts:
+            return self._alone(texts)
+        encoder, first = self.engine
+        end = np.cumsum([len(t) + 3 for t in texts]) - 2  # the place of each text's BREAK, between spaces
+        given = b"".join(t + b" \n " for t in texts)
+        raw = np.frombuffer(given.lower(), np.uint8).copy()
+        kind = KIND[raw]
+        kind[end] = MARK
+        latin = np.flatnonzero(kind == LATIN)
+        latin = latin[LATIN_LETTER[raw[latin + 1]]]
+        kind[latin] = kind[latin + 1] = LETTER
+        upper = latin[raw[latin + 1] < 0x9F] + 1
+        raw[upper] += 32
+        raw[kind == SPACE] = 32
+        raw[end] = 10
+        odd = kind >= OTHER
+        odd |= kind == LATIN
+        odd[1:] |= (kind[1:] == LETTER) & (kind[:-1] == MARK)
+        odd[1:] |= (raw[1:] == 0x7C) & (raw[:-1] == 0x3C)  # the name of a special token counts as it is written
+        gap = kind == SPACE
+        holes = []
+        if odd.any():
+            number = np.cumsum(gap)
+            bounds = np.concatenate([[-1], np.flatnonzero(gap)])
+            bad = np.unique(number[odd])
+            a, b = bounds[bad] + 1, bounds[bad + 1]
+            holes = self._others([given[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            inside = np.zeros(len(raw) + 1, np.int8)
+            inside[a] += 1
+            inside[b] -= 1
+            keep = np.cumsum(inside[:-1]) == 0
+            keep[a] = True
+            raw[a], kind[a] = 13, MARK
+            raw, kind = raw[keep], kind[keep]
+        cuts = np.flatnonzero((kind[1:] == MARK) & (kind[:-1] == LETTER)) + 1  # a run of letters ends at punctuation
+        ids = np.array(encoder.encode_ordinary(np.insert(raw, cuts, 32).tobytes().decode()), "<u4")
+        at_hole = ids == first[HOLE]
+        if holes:
+            size = np.ones(len(ids), np.int64)
+            size[at_hole] = [len(x) for x in holes]
+            at_hole, ids = np.repeat(at_hole, size), np.repeat(ids, size)
+            ids[at_hole] = np.concatenate(holes)
+        stops = np.flatnonzero((ids == first[BREAK]) & ~at_hole).tolist()
+        return [ids[x:y] for x, y in zip([0, *(x + 1 for x in stops[:-1])], stops, strict=True)]
+
+
+_readers: dict[int, Reader] = {}
+
+
+def _reader(tokenizer_json: str) -> Reader:
     key = hash(tokenizer_json)
     if key not in _readers:
-        _readers[key] = ChunkIds(tokenizer_json)
+        _readers[key] = Reader(tokenizer_json)
     return _readers[key]
 
 
@@ -148,14 +173,11 @@ def tokenised(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _ids(shared.value)
+        reader = _reader(shared.value)
         for batch in c.chunks(batches, "text", 4 << 20):
-            texts = batch["text"].to_pylist()
-            chunked = [] if cache.whole else [_chunks(t) for t in texts]
-            cache.learn(set().union(*chunked))
             source, rows, bodies = [], [], []
-            for i, text in enumerate(texts):
-                data = (cache.text(text or b"") if cache.whole else b"".join(map(cache.__getitem__, chunked[i]))) + end
+            for i, ids in enumerate(reader.ids(batch["text"].to_pylist())):
+                data = ids.tobytes() + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     source.append(i)
@@ -219,7 +241,7 @@ def pack(
 
     A document is its token ids and ``end_id``; null and empty texts are the end id alone. Only documents longer than ``capacity``
     are cut. Sequences hold whole pieces, gapless from offset 0. Repeated rows and ids are packed each; other columns are ignored.
-    Any tokenizer file will do: one that says that it splits at white space is applied to distinct runs, any other to whole texts.
+    Any tokenizer file will do: one that says that it splits at white space is applied to runs of text, any other to whole texts.
 
     The driver sees the histogram of lengths, ``capacity`` rows at most, and plans on counts. A piece's rank within its length is
     its rank within (length, salt) plus the sizes of the lesser salts, so a length that many share is ranked by many tasks.

@@ -73,10 +73,11 @@ def test_words_by_rank_equal_the_tokenizer(spark):
     for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
         words.update((r.text or "").encode().lower().split())
     words |= {b"Don't", b"x'll,", "ÉCOLE".encode(), "straße!?".encode(), b"a.b", b"...", "a×b".encode(), b"it's***", b"<|endoftext|>", b"x<|", b"12ab"}
-    own, t = packing.ChunkIds(JSON), Tokenizer.from_file(PATH)
-    assert not own.whole and own.engine is not None
-    own.learn(words)
-    assert all(own[w] == np.array(t.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+    words |= {"Âî÷ÿ.".encode(), b"a.'b", b"'ll", b"\x00a", b"a\x1fb", "ñ\u0303".encode(), "\u0301x".encode(), b"A<|EndOfText|>", "Éa".encode() * 300}
+    own, t = packing.Reader(JSON), Tokenizer.from_file(PATH)
+    assert own.engine is not None
+    words = [b"", *sorted(words), b" ".join(sorted(words)), b"\n \r\n"]
+    assert all(a.tolist() == t.encode(w.decode(), add_special_tokens=False).ids for a, w in zip(own.ids(words), words, strict=True))
 
 
 def test_another_tokenizer_encodes_whole_texts(spark):
