@@ -24,7 +24,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_digest(records: DataFrame) -> DataFrame:
-    number = lambda x: F.regexp_extract(x, r":(\d+)$", 1)
+    number = lambda x: F.regexp_extract(x, r":(-?\d+)$", 1)
     return records.select(
         F.when(number("record_id") != "", number("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(number("refers_to") != "", number("refers_to")).cast("long").alias("refers_to"),

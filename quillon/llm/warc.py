@@ -19,6 +19,13 @@ DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+OWNERS = 100_000  # so many groups of equal payloads are broadcast at most: about 10 MB
+SALTS = 32  # beyond that, rows with one payload are dealt to so many places
+
+#: What can't stand in a header line or ends a field, percent-encoded.
+CONTROLS = {x: f"%{x:02X}" for x in [*range(0x21), 0x7F]}
+
+
 def gzip_member(data: bytes, level: int = 6) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -33,6 +40,7 @@ def record(page_id: str, uri: str, payload: bytes, refers_to: str | None) -> byt
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
+    uri, page_id, refers_to = (x if x is None else x.translate(CONTROLS) for x in (uri, page_id, refers_to))
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}"]
     head += [] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
     head += [f"WARC-Payload-Digest: {digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -44,12 +52,21 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
 
     Of rows with equal payloads of at least ``least`` bytes, those with the largest id are responses and the others revisits of
     it; smaller payloads are always responses. A null payload is empty, a null uri is empty, a null id is written as
-    an empty one and never referred to. Repeated rows are written each.
+    an empty one and never referred to. Repeated rows are written each. Control characters and spaces in ids and uris are percent-encoded.
+
+    Payloads stay where they are read: the owners of repeated payloads, one short row each, are counted and broadcast. Of more
+    than OWNERS, rows and owners meet by payload and salt, so that no payload's copies go to one task.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(uri_col, F.lit("")).alias("uri"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
     owner = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(owner, "key", "left").select(
+    owner = c.saved(owner, "owners")
+    if owner.count() <= OWNERS:
+        rows = rows.join(F.broadcast(owner), "key", "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "uri"), F.lit(SALTS)))
+        rows = rows.join(owner.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"], "left")
+    rows = rows.select(
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "uri", "payload", F.when((F.col("owner") != F.col("id")) | F.col("id").isNull(), F.col("owner").cast("string")).alias("refers_to")
     )
 
@@ -86,6 +103,9 @@ class Member:
         return self.z.eof and not self.failed
 
 
+#: Hadoop's codec that passes bytes through, for names in .gz; the extension's key has another name where Hadoop's client is shaded.
+RAW = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec"} | {f"{x}io.compress.passthrough.extension": ".gz" for x in ("", "org.apache.hadoop.shaded.")}
+
 FIELDS = "record_id string, record_type string, target_uri string, record_date string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 NONE = (None,) * 8
 
@@ -176,15 +196,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records under path (files whose names don't end in .gz, else Hadoop would decode them whole): the columns of FIELDS.
+    """The records under path: the columns of FIELDS.
 
     Each task gets a byte range from Spark's own text source, with the gzip magic as record separator: it scans its range for
     the magic, owns the candidates that begin inside and reads past its end to finish the last. A candidate counts when its first
     bytes decode to a WARC header; until five bytes are decoded it stays open. The magic can also occur inside compressed data: a member that hasn't ended takes the next
     piece; where that piece belongs to the next range, both are put together by file afterwards (these are rare, and small).
-    Damaged members are dropped. An empty folder gives no rows.
+    Damaged members are dropped. An empty folder gives no rows. Files whose names end in .gz aren't split, as Hadoop splits no file
+    of that name: each is one range, read as it is (a codec that passes bytes through stands in for gzip's).
     """
-    pieces = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).schema("value string").text(path)
+    pieces = spark.read.options(**RAW).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).schema("value string").text(path)
     pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
     found = c.saved(pieces.mapInArrow(_records(payload), f"state int, file string, start long, at long, held binary, {FIELDS}"), "warc")
 

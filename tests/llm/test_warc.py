@@ -23,6 +23,7 @@ def made():
     r = random.Random(3)
     pages = [(1, None), (2, ""), (3, "short"), (4, "short"), (None, "x" * 1000), (5, "x" * 1000), (6, "x" * 999), (7, "x" * 999), (8, "x" * 1000)]
     pages += [(100 + i, "é" * r.randrange(400, 600) + str(i // 3)) for i in range(60)]
+    pages += [(-5 - i, f"negative {i % 2} " * 200) for i in range(4)]
     pages += [(200 + i, bytes(r.randrange(1, 127) for _ in range(30_000)).decode()) for i in range(20)]
     return pages
 
@@ -63,6 +64,35 @@ def test_magic_inside_data(spark, tmp_path, size):
     assert not wrong and len(got) == len(payloads)
 
 
+def test_controls_in_headers_and_textual_ids(spark, tmp_path):
+    pages = [("a b\r\nX: y", "http://x/\r\nWARC-Type: revisit\r\n\r\n", "é" * 600), ("b", "http://y/ z", "é" * 600), ("b", "u", "short"), (None, None, None)]
+    warc.write(spark.createDataFrame(pages, "page_id string, url string, html string"), f"{tmp_path}/a")
+    got = sorted((r.record_id, r.record_type, r.target_uri, r.refers_to, r.payload_bytes) for r in warc.read(spark, f"{tmp_path}/a").collect())
+    assert got == [
+        ("urn:x-page:", "response", "", None, 0),
+        ("urn:x-page:a%20b%0D%0AX:%20y", "revisit", "http://x/%0D%0AWARC-Type:%20revisit%0D%0A%0D%0A", "urn:x-page:b", 1200),
+        ("urn:x-page:b", "response", "http://y/%20z", None, 1200),
+        ("urn:x-page:b", "response", "u", None, 5),
+    ]
+
+
+def test_names_that_end_in_gz(spark, tmp_path):
+    pages = made()
+    warc.write(spark.createDataFrame(pages, "page_id long, html string").withColumn("url", F.lit("u")).repartition(3), f"{tmp_path}/a")
+    for p in [*(tmp_path / "a").glob("part*")]:
+        p.rename(p.with_name(f"{p.stem}.warc.gz"))
+    for p in (tmp_path / "a").glob(".*crc"):
+        p.unlink()
+    assert sorted((tuple(r) for r in queries.warc_digest(warc.read(spark, f"{tmp_path}/a")).collect()), key=str) == want(pages)
+
+
+def test_many_owners_meet_by_salt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "OWNERS", 0)
+    pages = made()
+    warc.write(spark.createDataFrame(pages, "page_id long, html string").withColumn("url", F.lit(None).cast("string")), f"{tmp_path}/a")
+    assert sorted((tuple(r) for r in queries.warc_digest(warc.read(spark, f"{tmp_path}/a")).collect()), key=str) == want(pages)
+
+
 def test_query_and_empty(spark):
     d = "/root/testdata/sf0.001"
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
