@@ -15,16 +15,12 @@ GRID, CELL = 8, 1024  # steps of log2 of a probability in the histogram; values
 SUMS = 0  # kind of the rows that carry a bucket's token and type counts
 
 
-def _split(text: bytes) -> list[bytes]:
-    return text.lower().split()  # bytes.lower changes A-Z only
-
-
 class _Block:
     """A block's token sequences (begin, words, end), and the index of each n-gram among the block's distinct ones."""
 
     def __init__(self, table: pa.Table, order: int):
         self.docs, self.order = c.unpack(table), order
-        words = c.Words(self.docs["text"].to_pylist(), _split)
+        words = c.Words(self.docs["text"].to_pylist(), lower=True)
         size = words.sizes + 2
         ends = np.cumsum(size)
         s = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)

@@ -28,9 +28,9 @@ def cover(window: int) -> tuple[int, tuple[int, ...], int]:
 class _Block:
     """A block's words, its anchors and, once the repeated anchors are known, the windows that hold one."""
 
-    def __init__(self, docs: pa.Table, window: int, keep: bool = False):
+    def __init__(self, docs: pa.Table, window: int):
         self.docs, self.window = docs, window
-        self.words = c.Words(docs["text"].to_pylist(), bytes.split, keep)
+        self.words = c.Words(docs["text"].to_pylist())
         period, members, width = cover(window)
         left, place = self.words.left(), self.words.place()
         here = np.isin(place % period, members) & (left >= width)
@@ -89,7 +89,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return c.blob_table(rows)
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = _Block(c.unpack(table), window, keep=True)
+        block = _Block(c.unpack(table), window)
         starts, k1, k2 = block.candidates(replies)
         gone = np.zeros(len(block.words.hashes) + 1, np.int64)
         if len(starts):
@@ -99,8 +99,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             np.add.at(gone, starts + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
         spans, kept = [], []
-        for words, a, b in zip(block.words.lists, block.words.starts.tolist(), block.words.ends.tolist(), strict=True):
-            mask = gone[a:b]
+        for text, a, b in zip(block.docs["text"].to_pylist(), block.words.starts.tolist(), block.words.ends.tolist(), strict=True):
+            mask, words = gone[a:b], (text or b"").split()
             if mask.any():
                 edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)).tolist()
                 spans.append([{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2], strict=True)])

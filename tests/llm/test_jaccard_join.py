@@ -1,12 +1,17 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard_join, queries
 from tests.llm import brute
 
 
+ROWS = pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("next", pa.bool_()), ("sketch", pa.binary())]))
+
+
 def made(seed, n=160):
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(3000)] + ["É", "x\x1cy"]
@@ -29,21 +34,26 @@ def result(df, **more):
     return sorted((tuple(r)[:3] for r in jaccard_join.similar(df, **more).collect()), key=str)
 
 
-def test_signatures_lose_no_pair():
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_lose_no_pair(percent):
     """Pairs at the very edge of the threshold share a signature, whatever their size."""
     rng = np.random.default_rng(5)
-    for size in [*range(1, 60), 100, 333, 1000]:
-        for _ in range(6):
+    for size in [*range(1, 60), *range(60, 200, 7), 333, 1000]:
+        for _ in range(20):
             a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
-            most = max(d for d in range(size + 1) if 100 * (size - d) >= 85 * (size + d))  # so many replaced
+            most = max(d for d in range(size + 1) if 100 * (size - d) >= percent * (size + d))  # so many replaced
             b = np.concatenate([a[most:], rng.integers(0, 1 << 63, most, dtype=np.uint64)])
-            fewer = a[: -(-size * 85 // 100)]
+            fewer = a[: -(-size * percent // 100)]
             for other in (b, fewer):
                 if len(set(other.tolist()) & set(a.tolist())) == size:
                     continue
                 doc = np.repeat([0, 1], [size, len(other)])
-                docs, keys = jaccard_join.signatures(doc, np.concatenate([a, other]), np.array([size, len(other)]), 85)
-                assert set(keys[docs == 0].tolist()) & set(keys[docs == 1].tolist()), (size, most)
+                docs, keys, steps, sketches = jaccard_join.signatures(doc, np.concatenate([a, other]), np.array([size, len(other)]), percent)
+                shared = set(keys[docs == 0].tolist()) & set(keys[docs == 1].tolist())
+                assert shared, (size, most)
+                rows = [{"node": i, "root": i, "n": n, "next": bool(steps[(keys == min(shared)) & (docs == i)][0])} for i, n in ((0, size), (1, len(other)))]
+                lists = pa.array([[r | {"sketch": sketches[r["next"]][r["node"]]} for r in rows]], ROWS)
+                assert jaccard_join._near(lists, pa.array([None], ROWS), percent) == [(0, 1)]
 
 
 def test_brute_force(spark):
