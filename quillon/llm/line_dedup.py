@@ -135,21 +135,21 @@ class _Block:
         return self.first + np.arange(self.docs.num_rows)
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 5, rare: int = 50, carry: Sequence[str] = (), blocks: bool = False) -> DataFrame:
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 5, carry: Sequence[str] = (), blocks: bool = False) -> DataFrame:
     """One row per row of docs: the id, n_lines, removed (line numbers from 0), text (what stays, joined by line ends; null
     stays null), and the columns named in ``carry``.
 
     A line is compared without white space at its ends; blank lines are never shared. Documents are ordered by id (null last,
-    equal ids and repeated rows in a fixed order). A line that 2 to ``rare`` documents hold is rare: each later holder is aligned
-    with the line's first holder, and the aligned runs of lines with ``least`` words or more are removed from the later one.
-    A line that more documents hold needs no alignment: it is a block by itself, removed from all but its first
-    holder where it has ``least`` words. Repetition inside one document stays. All decisions are made on the input, not on what is left.
+    equal ids and repeated rows in a fixed order). Each later holder of a shared line is aligned with the line's first holder, its
+    representative, however many documents hold the line; the aligned runs of lines with ``least`` words or more are removed from the
+    later one. Repetition inside one document stays. All decisions are made on the input, not on what is left.
 
     With ``blocks``, every run of two lines and ``least`` words or more that stands unbroken in any earlier document is removed as
     well, however many documents hold it, as often as an earlier one has it: each document names the least such blocks of its lines, at most two per line, by hash,
-    and an aggregate finds a block's first holder.
+    and an aggregate finds a block's first holder. An alignment then adds the single lines only, so lines of fewer words form no pairs.
 
-    A pair is formed with the first holder only, so pairs are as many as shared lines at most. What moves is hashes; the
+    A pair is formed with the first holder only, so pairs are as many as shared lines at most; the join that brings a first holder's
+    lines to its pairs is one that Spark splits where a document is first holder for many. What moves is hashes; the
     text is dealt to blocks once, compressed, and meets its line numbers there.
     """
     n = c.block_count(docs, text_col)
@@ -170,37 +170,37 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = base.select("node", rank, F.explode(F.array_distinct(F.arrays_zip("hashes", "words"))).alias("line"))
     lines = lines.select("node", "rank", F.col("line.hashes").alias("h"), F.col("line.words").alias("n_words")).where("h <> 0")
     held = lines.groupBy("h").agg(F.count("*").alias("holders"), F.min("rank").alias("first")).where("holders > 1")
-    later = lines.join(held.select("h", "holders", F.col("first.node").alias("first")), "h").where("node <> first")
-    later = c.saved(later.select("node", "h", "n_words", "holders", "first"), "later")
+    if blocks:
+        lines = lines.where(F.col("n_words") >= least)
+    pairs = lines.join(held.select("h", F.col("first.node").alias("first")), "h").where("node <> first").select("node", "first").distinct()
+    pairs = c.saved(pairs, "pairs")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = [common_blocks(*x, least) for x in zip(*(batch[k].to_pylist() for k in ("a", "b", "words")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(gone, pa.list_(pa.int64()))], ["node", "gone"])
 
-    pairs = later.where(F.col("holders") <= rare).select("node", "first").distinct()
     pairs = pairs.join(base.select(F.col("node").alias("first"), F.col("hashes").alias("a")), "first").join(base.select("node", F.col("hashes").alias("b"), "words"), "node")
-    by_pair = pairs.select("node", "a", "b", "words").mapInArrow(aligned, "node long, gone array<long>").select("node", F.explode("gone").alias("place"), F.lit(None).cast("long").alias("h"))
-    by_line = later.where((F.col("holders") > rare) & (F.col("n_words") >= least)).select("node", F.lit(None).cast("long").alias("place"), "h")
-    gone = by_pair.unionByName(by_line).withColumn("key", F.lit(None).cast("long"))
+    by_pair = pairs.select("node", "a", "b", "words").mapInArrow(aligned, "node long, gone array<long>").select("node", F.explode("gone").alias("place"))
+    gone = by_pair.withColumn("key", F.lit(None).cast("long"))
     if blocks:
         named = base.select("node", rank, F.explode("keys").alias("key"))
         first = named.groupBy("key").agg(F.count("*").alias("holders"), F.min("rank").alias("first")).where("holders > 1")
         again = named.select("node", "key").join(first.select("key", F.col("first.node").alias("first")), "key").where("node <> first")
         gone = gone.unionByName(again.select("node", "key"), allowMissingColumns=True)
-    gone = gone.groupBy("node").agg(F.collect_set("place").alias("places"), F.collect_set("h").alias("hs"), F.collect_set("key").alias("keys"))
+    gone = gone.groupBy("node").agg(F.collect_set("place").alias("places"), F.collect_set("key").alias("keys"))
     gone = gone.withColumn("block", F.shiftright("node", 32).cast("int"))
 
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         own = _Block(table)
-        by_node = {r["node"]: (set(r["places"]), set(r["hs"]), r["keys"]) for r in found.to_pylist()}
+        by_node = {r["node"]: (set(r["places"]), r["keys"]) for r in found.to_pylist()}
         count, removed, texts = [], [], []
         for node, text in zip(own.nodes().tolist(), own.docs["text"].to_pylist(), strict=True):
             lines = _lines(text)
-            places, hs, keys = by_node.get(node, ((), (), ()))
+            places, keys = by_node.get(node, ((), ()))
             if keys:
                 places = repeats([_hash(x) for x in lines], [len(x.split()) for x in lines], least, keys, set(places))
-            out = [i for i, x in enumerate(lines) if i in places or (hs and _hash(x) in hs)] if places or hs else []
+            out = sorted(places)
             count.append(len(lines))
             removed.append(out)
             drop = set(out)

@@ -68,7 +68,7 @@ def line_digest(out: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digest(line_dedup.remove_lines(table(spark, sf_dir, "documents"), least=5, rare=50, blocks=True))
+    return line_digest(line_dedup.remove_lines(table(spark, sf_dir, "documents"), least=5, blocks=True))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

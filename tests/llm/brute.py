@@ -79,28 +79,56 @@ def linked(docs, width=4, percent=85):
     return [(d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(docs)]
 
 
-def line_dedup(docs, least=5, rare=50):
-    from quillon.llm.line_dedup import common_blocks
-
+def _patience(a, b, i=0, j=0):
+    """Aligned places (x, y) of two lists: equal ends, then piles of the lines that are unique in both, then what lies between."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(i, j), *_patience(a[1:], b[1:], i + 1, j + 1)]
+    if a[-1] == b[-1]:
+        return [*_patience(a[:-1], b[:-1], i, j), (i + len(a) - 1, j + len(b) - 1)]
+    cards = [(x, b.index(line)) for x, line in enumerate(a) if a.count(line) == 1 and b.count(line) == 1]
+    piles = []  # each card remembers the top of the pile before it
+    for card in cards:
+        n = sum(1 for p in piles if p[-1][0][1] < card[1])
+        entry = (card, piles[n - 1][-1] if n else None)
+        if n < len(piles):
+            piles[n].append(entry)
+        else:
+            piles.append([entry])
+    chain, top = [], piles[-1][-1] if piles else None
+    while top:
+        chain.insert(0, top[0])
+        top = top[1]
+    out, x0, y0 = [], 0, 0
+    for x, y in chain:
+        out += [*_patience(a[x0:x], b[y0:y], i + x0, j + y0), (i + x, j + y)]
+        x0, y0 = x + 1, y + 1
+    return [*out, *_patience(a[x0:], b[y0:], i + x0, j + y0)] if chain else []
+
+
+def line_dedup(docs, least=5):
+    import sys
+
+    sys.setrecursionlimit(20_000)
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))
     lines = [(t or "").encode().split(b"\n") if t else [] for _, t in docs]
     key = [[x.strip() for x in own] for own in lines]
-    size = [[len(x.split()) for x in own] for own in lines]
-    holders = defaultdict(list)
+    first = {}
     for i in order:
-        for x in dict.fromkeys(key[i]):
+        for x in key[i]:
             if x:
-                holders[x].append(i)
+                first.setdefault(x, i)
     out = []
     for i, (doc_id, _) in enumerate(docs):
         gone = set()
-        for x in set(key[i]) - {b""}:
-            own = holders[x]
-            if own[0] != i and len(own) <= rare:
-                # blank lines match each other in an alignment
-                gone.update(common_blocks(key[own[0]], key[i], size[i], least))
-            elif own[0] != i and len(x.split()) >= least:
-                gone.update(j for j, y in enumerate(key[i]) if y == x)
+        for other in {first[x] for x in key[i] if x} - {i}:
+            places = _patience(key[other], key[i])  # blank lines match each other
+            while places:
+                n = next((n for n in range(1, len(places)) if places[n] != (places[0][0] + n, places[0][1] + n)), len(places))
+                run, places = [y for _, y in places[:n]], places[n:]
+                if sum(len(key[i][y].split()) for y in run) >= least:
+                    gone.update(run)
         kept = b"\n".join(x for j, x in enumerate(lines[i]) if j not in gone)
         out.append((doc_id, len(lines[i]), len(gone), hashlib.sha256(kept).hexdigest()))
     return out
