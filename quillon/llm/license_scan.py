@@ -30,7 +30,9 @@ TEMPLATES = {
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
         'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
-        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+        "OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "GPL-3.0/short": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0/header": (
@@ -39,13 +41,39 @@ TEMPLATES = {
     ),
     "CC-BY-NC-4.0/short": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-3-Clause/start": (
+    "BSD-2-Clause/text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        'documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" '
+        "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED."
     ),
+    "BSD-3-Clause/endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "ISC/text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
+        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ),
+    "MPL-2.0/header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+        "obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "LGPL-2.1/header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "Unlicense/start": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Reserved/short": "All rights reserved.",
 }
 
-GRAM, WINDOW = 3, 2  # words in a fingerprint; fingerprints of which the least is kept: four equal words in a row always share one
+GRAM, WINDOW = 3, 2  # words in a fingerprint; fingerprints of which the least is kept
 
 
 def winnow(grams: np.ndarray) -> np.ndarray:
@@ -57,7 +85,11 @@ def winnow(grams: np.ndarray) -> np.ndarray:
 
 
 class Library:
-    """The templates' words and the inverted index of their fingerprints: (template, place) by hash."""
+    """The templates' words and the inverted index of their winnowed fingerprints: (template, place) by hash.
+
+    All fingerprints of a document are looked up: GRAM + WINDOW - 1 of a template's words in a row, or all of a
+    template of GRAM words, always hold one that was kept.
+    """
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -65,7 +97,7 @@ class Library:
         index = defaultdict(list)
         for t, words in enumerate(self.words):
             grams = c.mix(c.window_hash(c.hash_words(words), GRAM))
-            for at in range(len(grams)):  # every one: a document's winnowed print must be met wherever a notice is cut
+            for at in winnow(grams).tolist():
                 index[int(grams[at])].append((t, at))
         self.index = dict(index)
         self.prints = np.array(sorted(index), np.uint64)
@@ -102,8 +134,7 @@ def find(library: Library, text: bytes, coverage: float) -> list[tuple[str, floa
     grams = c.mix(c.window_hash(c.hash_words(words), GRAM))
     if not len(grams):
         return []
-    kept = winnow(grams)
-    kept = kept[np.isin(grams[kept], library.prints)]
+    kept = np.flatnonzero(np.isin(grams, library.prints))
     if not len(kept):
         return []
     diagonals = defaultdict(set)
@@ -137,7 +168,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """One row per notice found: id, license (template name), coverage (matched share of its words), start_word, end_word, start_byte, end_byte.
 
     Words as in decontamination: ASCII case and punctuation don't count. A notice is found if it has four words in a row of a
-    template and an alignment within a quarter of its length covers ``coverage`` of it. Notices of different templates may overlap, those
+    template (all three of one of three words; shorter templates are never found) and an alignment within a quarter of its length
+    covers ``coverage`` of it. TEMPLATES has usual notices and short licenses; whole texts of long ones can be given in ``templates``. Notices of different templates may overlap, those
     of one don't. Documents without any give no row; null and empty texts have none; repeated rows and ids give their rows each.
 
     Templates go to every task; their size is checked against ``most_words``. No shuffle; texts are scanned whole.

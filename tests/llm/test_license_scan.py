@@ -70,8 +70,41 @@ def test_planted_notices(spark):
 
 def test_query(spark):
     d = "/root/testdata/sf0.01"
-    lines = {"MIT/short": "Released under the MIT License.", "Apache-2.0/short": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0/short": "Licensed under CC BY-NC 4.0.", "GPL-3.0/short": "This work is licensed under the GNU General Public License, version 3."}
+    lines = {"MIT/short": "Released under the MIT License.", "Apache-2.0/short": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0/short": "Licensed under CC BY-NC 4.0.", "GPL-3.0/short": "This work is licensed under the GNU General Public License, version 3.", "Reserved/short": "All rights reserved."}
     docs = spark.read.parquet(f"{d}/documents.parquet")
     want = {(r.doc_id, n) for n, x in lines.items() for r in docs.where(F.contains("text", F.lit(x))).collect()}
     got = {(r.doc_id, r.license) for r in queries.op3_license_scan(spark, d).collect()}
     assert want and want <= got and {g[0] for g in got} == {w[0] for w in want}
+
+
+def test_against_all_places(spark):
+    """The notices of a document are those that a window of it holds, whichever place that is at."""
+    r = random.Random(11)
+    names = ["Reserved/short", "MIT/short", "GPL-3.0/short", "CC-BY-4.0/notice", "BSD-3-Clause/endorsement"]
+    words = {n: ls.fold_words(ls.TEMPLATES[n].encode()) for n in names}
+    docs = []
+    for i in range(60):
+        text = [f"w{r.randrange(400)}" for _ in range(r.randrange(60))]
+        for n in r.sample(names, r.choice([0, 1, 1, 2])):
+            own = [x.decode() for x in words[n]]
+            for _ in range(r.choice([0, 0, 1, 2, 5])):
+                k = r.randrange(len(own))
+                own[k : k + r.choice([0, 1])] = [f"e{r.randrange(9)}"] * r.choice([0, 1])
+            at = r.randrange(len(text) + 1)
+            text[at:at] = own
+        docs.append((i, " ".join(text)))
+    want = set()
+    for i, text in docs:
+        own = text.encode().split()
+        for n, t in words.items():
+            band = ls.band_of(len(t))
+            places = {j - k for k in range(len(t) - 2) for j in range(len(own) - 2) if own[j : j + 3] == t[k : k + 3]}
+            if any(lcs(t, own[max(0, s - band) : s + len(t) + band]) >= 0.8 * len(t) for s in places):
+                want.add((i, n))
+    got = ls.scan(spark.createDataFrame(docs, "doc_id long, text string"), {n: ls.TEMPLATES[n] for n in names}).collect()
+    assert {(r.doc_id, r.license) for r in got} <= want
+    sure = {(i, n) for i, n in want if any(own[j : j + 4] == words[n][k : k + 4] for own in [dict(docs)[i].encode().split()] for k in range(max(1, len(words[n]) - 3)) for j in range(len(own)))}
+    assert {(r.doc_id, r.license) for r in got} >= sure
+    for x in got:
+        own = dict(docs)[x.doc_id].encode().split()
+        assert lcs(words[x.license], own[x.start_word : x.end_word]) >= round(x.coverage * len(words[x.license]))
