@@ -11,7 +11,8 @@ from quillon.llm import common as c
 
 BEGIN, END = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 BEGIN_KEY = c.mix(np.array([BEGIN]))[0]
-GRID, CELL = 8, 1024  # steps of log2 of a probability in the histogram; values a probability takes there, 0 for none
+CELL = 1024  # values a probability takes in the histogram, 0 for none
+ASKED = 2  # n-grams up to this length are sent whole; longer ones only where others may have them
 SUMS = 0  # kind of the rows that carry a bucket's token and type counts
 
 
@@ -38,13 +39,44 @@ class _Block:
             first, inverse, _ = c.unique_keys(keys)
             self.grams.append((at, keys[first], inverse))
 
-    def counts(self, replies: pa.Table, deleted: bool) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    def times(self, k: int) -> np.ndarray:
+        """How often each distinct k-gram occurs in the block's texts that are learned from."""
+        at, keys, inverse = self.grams[k - 1]
+        learned = self.docs["train"].to_numpy(zero_copy_only=False)[self.doc]
+        return np.bincount(inverse, weights=learned[at], minlength=len(keys)).astype(np.int64)
+
+    def totals(self, replies: pa.Table, k: int, held: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The corpus' count of each distinct k-gram, how much of it is held out, and do other blocks have it; held: is this block?
+
+        A long n-gram that isn't asked for occurs in this block only: its counts are the block's own.
+        """
+        own = self.times(k)
+        total, out, shared = own, own * held, np.zeros(len(own), bool)
+        asked = self.asked(replies, k, held)
+        if asked.any():
+            total, out = total.copy(), out.copy()
+            total[asked], out[asked], shared[asked] = (x.astype(np.int64) for x in c.reply_arrays(replies, k))
+        return total, out, shared
+
+    def asked(self, replies: pa.Table, k: int, held: bool) -> np.ndarray:
+        """Which of the distinct k-grams are sent: of the long ones those whose both (k-1)-grams other blocks have too, learned or not."""
+        at, keys, inverse = self.grams[k - 1]
+        if k <= ASKED:
+            return np.ones(len(keys), bool)
+        part, _, index = self.grams[k - 2]
+        elsewhere = np.zeros(len(self.doc) + 1, bool)
+        elsewhere[part] = self.totals(replies, k - 1, held)[2][index]
+        mask = np.zeros(len(keys), bool)
+        mask[inverse[elsewhere[at] & elsewhere[at + 1]]] = True
+        return mask
+
+    def counts(self, replies: pa.Table, held: bool, deleted: bool) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """For each token but the beginnings, in the order of the text: the document, its n-grams' counts, their contexts'."""
         ended = []
         for k, (at, _, inverse) in enumerate(self.grams, 1):
-            total, held = c.reply_arrays(replies, k) or [np.empty(0, np.int64)] * 2
+            total, out, _ = self.totals(replies, k, held)
             full = np.zeros(len(self.doc), np.int64)
-            full[at + k - 1] = (total.astype(np.int64) - held.astype(np.int64) * deleted)[inverse]
+            full[at + k - 1] = (total - out * deleted)[inverse]
             ended.append(full)  # by the place at which the n-gram ends
         target = np.flatnonzero(self.place > 0)
         context = [np.where(self.place[target] >= k, x[target - 1], 0) for k, x in enumerate(ended[:-1], 1)]
@@ -77,13 +109,18 @@ def expectation_maximisation(p: np.ndarray, times: np.ndarray, rounds: int = 200
     return weights
 
 
+def grid_of(order: int) -> int:
+    """Steps of log2 of a probability in the histogram: fewer where it has more dimensions."""
+    return 8 if order < 3 else 4
+
+
 def _fit(cells: np.ndarray, times: np.ndarray, order: int, types: int) -> np.ndarray:
     """weights[top order, bucket, order]: EM in each context-frequency bucket; an unseen bucket takes its order's pooled weights."""
-    weights, q = np.zeros((order + 1, 64, order + 1)), []
+    weights, q, grid = np.zeros((order + 1, 64, order + 1)), [], grid_of(order)
     for _ in range(order):
         q.insert(0, cells % CELL)
         cells = cells // CELL
-    p = np.stack([np.full(len(times), 1.0 / (types + 1)), *(np.where(x > 0, np.exp2((x - CELL + 1) / GRID), 0.0) for x in q)], 1)
+    p = np.stack([np.full(len(times), 1.0 / (types + 1)), *(np.where(x > 0, np.exp2((x - CELL + 1) / grid), 0.0) for x in q)], 1)
     for top in range(1, order + 1):
         own = cells // 64 == top
         weights[top, :, : top + 1] = 1.0 / (top + 1)
@@ -95,7 +132,7 @@ def _fit(cells: np.ndarray, times: np.ndarray, order: int, types: int) -> np.nda
     return weights
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, held_share: int = 8) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3, held_share: int = 8) -> DataFrame:
     """One row per row of docs: id, train (bool), n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Tokens are the runs between ASCII white space with A-Z lowered, then one end token; a null or empty text is its end
@@ -104,8 +141,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     its tokens, whose own counts are deleted from the estimates they are predicted with. The final estimates use all training
     counts. Repeated rows and ids count each; an empty table gives no rows; other columns are ignored.
 
-    Counts travel through the exchange of ``common`` (one entry per block and distinct n-gram). The driver sees
-    a histogram of (bucket, log2 of the estimates in steps of 1/8): its size is bounded by the grid, not by the corpus.
+    Counts travel through the exchange of ``common`` (one entry per block and distinct n-gram), words and pairs first. A longer n-gram
+    can only be in two blocks if both n-grams one shorter inside it are: only such ones are sent, in an exchange for each
+    length, and the counts of the others are their block's own. No n-gram is pruned. The driver sees a histogram of (bucket,
+    log2 of the estimates in steps of 1/8, or 1/4 from order 3 on): its size is bounded by the grid, not by the corpus.
     """
     if not 1 <= order <= 5:
         raise ValueError("order must be from 1 to 5")
@@ -120,17 +159,26 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     dealt = c.pack(docs, block, total, **columns)
 
     def send(table: pa.Table) -> pa.Table:
-        own, number = _Block(table, order), table["block"][0].as_py()
-        learned = own.docs["train"].to_numpy(zero_copy_only=False)[own.doc]
+        own, number = _Block(table, min(order, ASKED)), table["block"][0].as_py()
         rows: list[tuple] = []
-        for k, (at, keys, inverse) in enumerate(own.grams, 1):
-            times = np.bincount(inverse, weights=learned[at], minlength=len(keys)).astype(np.uint32)
+        for k, (_, keys, _) in enumerate(own.grams, 1):
+            times = own.times(k).astype(np.uint32)
             c.to_buckets(rows, total, number, k, keys, times, times * np.uint32(number >= n))
         return c.blob_table(rows)
 
+    def send_longer(k: int):
+        def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+            own, number = _Block(table, k), table["block"][0].as_py()
+            rows: list[tuple] = []
+            asked, times = own.asked(answers, k, number >= n), own.times(k).astype(np.uint32)
+            c.to_buckets(rows, total, number, k, own.grams[k - 1][1][asked], times[asked], times[asked] * np.uint32(number >= n))
+            return c.blob_table(rows)
+
+        return run
+
     def merge(kind: int, columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple]]:
         keys = columns[0]
-        first, inverse, _ = c.unique_keys(keys)
+        first, inverse, blocks = c.unique_keys(keys)
         sums = [np.bincount(inverse, weights=x).astype(np.int64) for x in columns[1:]]
         more = []
         if kind == 1:
@@ -138,9 +186,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             kept = sums[0] - sums[1]
             more = [(-1, -1, SUMS, c.pack_arrays(np.array([x[real].sum() for x in (sums[0], sums[0] > 0, kept, kept > 0)], np.int64)))]
         narrow = [x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x for x in sums]
-        return [x[inverse] for x in narrow], more
+        return [*(x[inverse] for x in narrow), (blocks > 1).astype(np.uint8)[inverse]], more
 
     replies = c.saved(c.answers(dealt.groupBy("block").applyInArrow(send, c.BLOB_SCHEMA), total, merge), "counts")
+    for k in range(ASKED + 1, order + 1):
+        met = replies.where(F.col("block") >= 0).groupBy("block")
+        longer = dealt.groupBy("block").cogroup(met).applyInArrow(send_longer(k), c.BLOB_SCHEMA)
+        replies = replies.unionByName(c.saved(c.answers(longer, total, merge), f"counts{k}"))
 
     def read_sums(batches):
         for b in batches:
@@ -151,12 +203,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     tokens, types, kept_tokens, kept_types = (int(x or 0) for x in sums.groupBy().sum().first())
 
     def histogram(table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, counts, context = _Block(table, order).counts(answers, deleted=True)
+        _, counts, context = _Block(table, order).counts(answers, held=True, deleted=True)
         p, top, bucket = _probabilities(kept_tokens, kept_types, counts, context)
         cell = top * 64 + bucket
         for k in range(1, order + 1):
             real = (p[k] > 0) & (top >= k)
-            cell = cell * CELL + np.where(real, CELL - 1 + np.round(np.log2(np.where(real, p[k], 1.0)) * GRID), 0).astype(np.int64)
+            cell = cell * CELL + np.where(real, CELL - 1 + np.round(np.log2(np.where(real, p[k], 1.0)) * grid_of(order)), 0).astype(np.int64)
         cells, times = np.unique(cell, return_counts=True)
         return pa.table([cells, times], ["cell", "times"])
 
@@ -167,7 +219,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def scores(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = _Block(table, order)
-        doc, counts, context = own.counts(answers, deleted=False)
+        doc, counts, context = own.counts(answers, held=table["block"][0].as_py() >= n, deleted=False)
         p, top, bucket = _probabilities(tokens, types, counts, context)
         mixed = np.einsum("ij,ji->i", weights[top, bucket], p)
         base = (counts[0] + 1) / (tokens + types + 1)

@@ -19,7 +19,7 @@ def crc(key: str = "doc_id"):
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_scoring.score(table(spark, sf_dir, "documents"), crc() % 7 != 2, order=2)
+    out = lm_scoring.score(table(spark, sf_dir, "documents"), crc() % 7 != 2, order=3)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

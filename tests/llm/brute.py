@@ -132,3 +132,62 @@ def line_dedup(docs, least=5):
         kept = b"\n".join(x for j, x in enumerate(lines[i]) if j not in gone)
         out.append((doc_id, len(lines[i]), len(gone), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def language_model(docs, order, grid):
+    """docs: (text, train, held out). The log10 probability of each text, by counts in dictionaries."""
+    import math
+    from collections import Counter
+
+    texts = [["<", *words((t or "").encode().lower().decode()), ">"] for t, _, _ in docs]
+
+    def counted(flags):
+        out = [Counter() for _ in range(order + 1)]
+        for w, f in zip(texts, flags, strict=True):
+            for k in range(1, order + 1):
+                out[k].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1) if f)
+        tokens = {t: n for t, n in out[1].items() if t != ("<",)}
+        return out, sum(tokens.values()), len(tokens)
+
+    def estimates(w, i, counts, n, v):
+        p, top, bucket = [1 / (v + 1), counts[1][w[i],] / max(n, 1)], 1, 0
+        for k in range(2, order + 1):
+            seen = counts[k - 1][tuple(w[i - k + 1 : i])] if i >= k - 1 else 0
+            p.append(counts[k][tuple(w[i - k + 1 : i + 1])] / seen if seen else 0.0)
+            if seen:
+                top, bucket = k, int(math.log2(seen))
+        return p, top, bucket
+
+    kept = counted([train and not held for _, train, held in docs])
+    rows = defaultdict(Counter)
+    for w, (_, train, held) in zip(texts, docs, strict=True):
+        for i in range(1, len(w) if train and held else 0):
+            p, top, bucket = estimates(w, i, *kept)
+            near = [p[0], *(2 ** (round(math.log2(x) * grid) / grid) if x > 0 else 0.0 for x in p[1 : top + 1])]
+            rows[top, bucket][tuple(near)] += 1
+            rows[top, None][tuple(near)] += 1
+
+    def mixed(seen, size):
+        weights, before = [1 / size] * size, -math.inf
+        for _ in range(200):
+            expected, likelihood = [1.0] * size, 0.0
+            for p, times in seen.items():
+                joint = [a * b for a, b in zip(p, weights, strict=True)]
+                likelihood += times * math.log(sum(joint))
+                expected = [e + j * times / sum(joint) for e, j in zip(expected, joint, strict=True)]
+            weights = [e / sum(expected) for e in expected]
+            if likelihood - before <= 1e-9 * abs(likelihood):
+                break
+            before = likelihood
+        return weights
+
+    fitted = {key: mixed(seen, key[0] + 1) for key, seen in rows.items()}
+    full, out = counted([train for _, train, _ in docs]), []
+    for w in texts:
+        total = 0.0
+        for i in range(1, len(w)):
+            p, top, bucket = estimates(w, i, *full)
+            weights = fitted.get((top, bucket)) or fitted.get((top, None)) or [1 / (top + 1)] * (top + 1)
+            total += math.log10(sum(a * b for a, b in zip(weights, p, strict=False)))
+        out.append(total)
+    return out

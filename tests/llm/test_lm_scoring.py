@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import lm_scoring, queries
+from tests.llm import brute
 
 END = object()
 
@@ -34,15 +36,29 @@ def test_base_columns_and_gain(spark):
     assert all(g[6] < 0 for g in got)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_probabilities_add_up(spark, order):
-    """The model's scores of all one-word texts and the empty text, plus the share of what it never saw, make 1."""
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_score_against_dictionaries(spark, order):
+    r = random.Random(order)
+    docs = [(i, None if i == 3 else " ".join(r.choice("abcdefgh") + str(int(r.expovariate(0.7))) for _ in range(r.choice([0, 1, 3, 8, 30])))) for i in range(150)]
+    docs += [(500 + i, docs[20 + i % 4][1]) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    train = F.col("doc_id") % 5 != 2
+    row = F.struct("doc_id", F.xxhash64("text"))
+    flags = {x.doc_id: (x.t, x.h) for x in df.select("doc_id", train.alias("t"), (F.pmod(F.xxhash64(row, F.lit("held")), F.lit(8)) == 0).alias("h")).collect()}
+    want = dict(zip((i for i, _ in docs), brute.language_model([(t, *flags[i]) for i, t in docs], order, lm_scoring.grid_of(order)), strict=True))
+    got = {x.doc_id: x.score for x in lm_scoring.score(df, train, order=order).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), rtol=1e-6)
+
+
+def test_probabilities_add_up(spark):
+    """The words seen, the end and one word that was never seen have probabilities that make 1."""
     docs = [(i, " ".join("abca"[i % 3 : i % 3 + 2] if i % 2 else "abc")) for i in range(300)]
-    seen = sorted({w for _, x in docs for w in x.split()})
-    ask = [(1000 + i, w) for i, w in enumerate(seen)]
+    ask = [(1000 + j, w) for j, w in enumerate(["", "a", "b", "c", "zzz"])]
     df = spark.createDataFrame(docs + ask, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm_scoring.score(df, F.col("doc_id") < 1000, order=order).collect()}
-    assert all(10 ** got[i] < 1 for i, _ in ask) and got[0] == got[6]
+    got = {r.doc_id: r.score for r in lm_scoring.score(df, F.col("doc_id") < 1000, order=1).collect()}
+    end = got[1000]
+    assert 10**end + sum(10 ** (got[1000 + j] - end) for j in range(1, 5)) == pytest.approx(1)
+    assert got[0] == got[6]
 
 
 def test_em_recovers_weights():
