@@ -13,6 +13,7 @@ A key that occurs in every document costs one entry per block, so no bucket and
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -50,24 +51,58 @@ def scratch_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh folder in the scratch area, removed when the driver's Python ends."""
     path = f"{scratch_dir(spark)}/quillon-{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may be gone already
-            pass
 
-    atexit.register(remove)
-    return path
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone already
+        pass
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write df to a scratch table and read it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df._scratch)
+
+
+# ---------------------------------------------------------------- memory of Python workers
+
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to BATCH_BYTES: rows of whole texts would else make far larger ones, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(key)))
+    if now < 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its tasks, and what one has freed another executor process may need."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 # ---------------------------------------------------------------- arrays in blobs
@@ -105,7 +140,7 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
 class WordHash(dict):
     """xxh3 of a word, kept for the words seen lately."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -256,12 +291,14 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack(docs: DataFrame, block: Column, n: int, **columns: Column) -> DataFrame:
     """Rows (block, data): the named columns of docs, compressed, dealt to n partitions by block."""
+    small_batches(docs.sparkSession)
     dealt = docs.select(block.alias("block"), *(c.alias(k) for k, c in columns.items()))
     return dealt.mapInArrow(_deal, "block int, data binary").repartition(n, "block")
 
 
 def unpack(table: pa.Table) -> pa.Table:
     """The documents of one block."""
+    give_back()
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table["data"].to_pylist()])
 
 
@@ -347,6 +384,7 @@ def repeated(kind: int, columns: list[np.ndarray]) -> tuple[list[np.ndarray], li
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that a piece holds about ``limit`` bytes of the column (one row at least)."""
+    give_back()
     for batch in batches:
         sizes = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(batch[column]).to_pylist()])
         at = 0

@@ -19,11 +19,14 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
         ends = edges.join(labels.toDF("a", "ra"), "a").join(labels.toDF("b", "rb"), "b").where("ra <> rb")
         hooks = c.saved(ends.groupBy(F.greatest("ra", "rb").alias("root")).agg(F.min(F.least("ra", "rb")).alias("to")), "hooks")
         if hooks.isEmpty():
+            c.discard(edges, hooks)
             return labels
         while True:
             further = hooks.toDF("to", "end")
             longer = hooks.join(further, "to")
             if longer.isEmpty():
                 break
-            hooks = c.saved(hooks.join(further, "to", "left").select("root", F.coalesce("end", "to").alias("to")), "hooks")
-        labels = c.saved(labels.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+            before, hooks = hooks, c.saved(hooks.join(further, "to", "left").select("root", F.coalesce("end", "to").alias("to")), "hooks")
+            c.discard(before)
+        before, labels = labels, c.saved(labels.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        c.discard(before, hooks)

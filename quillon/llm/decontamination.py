@@ -117,6 +117,7 @@ class Shards:
     """The benchmark in shards of bounded text, each made into tables and broadcast when its pass over the documents is built."""
 
     def __init__(self, benchmark: DataFrame, item_col: str, item_text: str, window: int, shard_bytes: int):
+        c.small_batches(benchmark.sparkSession)
         self.items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("binary").alias("text")).where(F.col("text").isNotNull())
         self.count = max(1, -(-(self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
         self.window = window

@@ -436,7 +436,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         pairs = pairs.where("root <> other_root").groupBy("node", "other").agg(F.count("*").alias("times"), F.min(F.struct("next", "other_next")).alias("steps"))
         pairs = pairs.groupBy("node").agg(F.max_by(F.struct("other", "steps"), F.struct("times", "other")).alias("best"))
         pairs = c.saved(_possible(pairs.select("node", "best.other", "best.steps.*"), sketches, percent), "pairs")
-        roots = components(roots, _verified(pairs, bodies, percent))
+        before, roots = roots, components(roots, _verified(pairs, bodies, percent))
+        c.discard(before, open_groups, pairs)
 
     rank = F.struct(F.col("id").isNull().alias("last"), "id", F.col("node").alias("at"))
     by_set = base.where("n > 0").groupBy("d1", "d2").agg(F.min(rank).alias("least"), F.max(F.when(F.col("rep"), F.col("node"))).alias("node"))

@@ -177,6 +177,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     templates = TEMPLATES if templates is None else templates
     if sum(len(x.split()) for x in templates.values()) > most_words:
         raise ValueError(f"templates of over {most_words} words: scan in several calls")
+    c.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Library(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

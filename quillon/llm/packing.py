@@ -169,12 +169,13 @@ def _reader(tokenizer_json: str) -> Reader:
 
 def tokenised(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, ids): the pieces of each document's ids and its end id, capacity at most."""
+    c.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(shared.value)
-        for batch in c.chunks(batches, "text", 4 << 20):
+        for batch in c.chunks(batches, "text", 2 << 20):
             source, rows, bodies = [], [], []
             for i, ids in enumerate(reader.ids(batch["text"].to_pylist())):
                 data = ids.tobytes() + end

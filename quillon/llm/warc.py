@@ -57,6 +57,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
     Payloads stay where they are read: the owners of repeated payloads, one short row each, are counted and broadcast. Of more
     than OWNERS, rows and owners meet by payload and salt, so that no payload's copies go to one task.
     """
+    c.small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(uri_col, F.lit("")).alias("uri"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
     owner = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -205,6 +206,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     Damaged members are dropped. An empty folder gives no rows. Files whose names end in .gz aren't split, as Hadoop splits no file
     of that name: each is one range, read as it is (a codec that passes bytes through stands in for gzip's).
     """
+    c.small_batches(spark)
     pieces = spark.read.options(**RAW).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).schema("value string").text(path)
     pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
     found = c.saved(pieces.mapInArrow(_records(payload), f"state int, file string, start long, at long, held binary, {FIELDS}"), "warc")
