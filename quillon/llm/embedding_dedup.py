@@ -136,11 +136,19 @@ def train(sample: np.ndarray, rows: int, threshold: float, recall: float, querie
     return own
 
 
-def _unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(np.float64)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Unit vectors, in double precision; scaled by the largest component first, so that no square overflows or vanishes."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit(raw: list[bytes], dim: int) -> np.ndarray:
+    """Of vectors as their components' bytes, four or eight each."""
+    data = b"".join(raw)
+    return _scaled(np.frombuffer(data, np.float32 if len(data) == 4 * dim * len(raw) else np.float64).reshape(-1, dim))
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.98, sample_rows: int = 20_000
 ) -> DataFrame:
@@ -154,7 +162,9 @@ def near_duplicates(
     about 512 vectors, matrix against matrix: links are counted there and a spanning forest of them goes on, never all pairs.
     """
     spark = vectors.sparkSession
-    values = F.transform(vector_col, lambda x: x.cast("float"))
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
+    dtype = np.dtype(np.float32 if kind == "float" else np.float64)
+    values = F.transform(vector_col, lambda x: x.cast(kind))
     good = F.coalesce(~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(values, lambda x: x != 0), F.lit(False))
     rows = c.saved(vectors.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"), F.when(good, values).alias("v")), "vectors")
     sizes = rows.where("v is not null").groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
@@ -164,14 +174,14 @@ def near_duplicates(
     dim, total = sizes["dim"], sizes["n"]
     usable = rows.where(F.size("v") == dim)
     sample = usable.orderBy(F.xxhash64("id", "node")).limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
-    sample = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-    index = spark.sparkContext.broadcast(train(sample / np.linalg.norm(sample, axis=1, keepdims=True), total, threshold, recall))
+    sample = _scaled(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+    index = spark.sparkContext.broadcast(train(sample, total, threshold, recall))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            x = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            unit = _unit([x.tobytes()], dim) if len(x) else np.empty((0, dim))
+            x = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, dim)
+            unit = _scaled(x)
             visits = own.visit(unit, own.probes)
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own.cells(unit)), pa.array(list(visits), pa.list_(pa.int64()))], ["node", "v", "cell", "visits"])
 

@@ -90,3 +90,9 @@ def test_recall_of_other_links_among_many_copies(spark):
         others = sum(got[i] for i in range(len(pairs)))
         assert links[: len(pairs)].sum() >= 3900
         assert 0.97 * links[: len(pairs)].sum() <= others <= links[: len(pairs)].sum()
+
+
+def test_doubles_beyond_the_range_of_floats(spark):
+    rows = [(0, [1e39, 0.0]), (1, [1e39, 0.0]), (2, [0.0, 1e-50]), (3, [0.0, 1e-50]), (4, [1e300, -1e300]), (5, [1e200, -1e200]), (6, [float("inf"), 0.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in got] == [(1, 0), (1, 0), (1, 2), (1, 2), (1, 4), (1, 4), (0, 6)]
