@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.config import Settings, Taxonomy
+from quillon.config import Category, Settings, Taxonomy
 from quillon.functions import spans, text
 from quillon.operators import detectors, entities, evaluate, records, scoring, segment
 from quillon.sources import readers
@@ -38,31 +39,6 @@ def bench() -> Settings:
     return Settings.load(taxonomy_file="bench_taxonomy.yaml")
 
 
-# ---------------------------------------------------------------- fixed texts, the same rows in Spark and in SQL
-
-FIXTURES = [
-    (1, "neutral", "The bridge opened in 1890. It carries about 190 trains each day, Dr. Lin said at 3.30 p.m. on Mon. The toll ended in 1964."),
-    (2, "loaded", "The policy was a shameful, disastrous retreat. Everyone knows it failed! \"The minister is a liar,\" she said."),
-    (3, "loaded", "Sources say the deal is done. There is no other choice; we have no choice but to sign."),
-    (4, "loaded", "Many people are unhappy. Many people (37% of 2,400) said so in the survey."),
-    (5, "loaded", "Freedom, justice and prosperity for every family!\n\nWe will take back control. We will take back control of it. He said we will take back control. Now we will take back control."),
-    (6, "loaded", "Migrants are blamed for the shortage. The council met. Migrants are also responsible for crime, he said."),
-    (7, "loaded", "Fairhaven Trust delivered an outstanding, wonderful result. Fairhaven Trust was celebrated for its brilliant work. Northgate Group produced a terrible failure. Northgate Group was condemned for its awful record."),
-    (8, "neutral", "Revenue rose to 4.2 billion from 3.9 billion. Costs may fall, which\nsuggests a saving."),
-    (9, "neutral", ""),
-    (10, "loaded", "Emoji 😀 first: what a pathetic, vile plan. What about the last one?"),
-]
-
-
-def _sql_rows() -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    return "fixtures(id, corpus, text) AS (VALUES " + ", ".join(f"({i}, {quote(c)}, {quote(t)})" for i, c, t in FIXTURES) + ")"
-
-
-def fixtures(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXTURES, "id long, corpus string, text string")
-
-
 # ---------------------------------------------------------------- texts
 
 
@@ -113,9 +89,11 @@ def token_offsets(spark, sf_dir):
     return segment.tokens(documents(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("idx").cast("long").alias("offset_sum"))
 
 
-@query(f"WITH {_sql_rows()} SELECT id, CASE WHEN length(text) <= 60 THEN text WHEN contains(substr(text, 1, 60), chr(10) || chr(10)) THEN string_split(substr(text, 1, 60), chr(10) || chr(10))[1] ELSE substr(text, 1, 60) END AS trimmed FROM fixtures")
+@query("""
+WITH c AS (SELECT doc_id, text, string_split(substr(text, 1, 400), chr(10) || chr(10)) AS p FROM documents)
+SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], chr(10) || chr(10)) ELSE p[1] END AS trimmed FROM c""")
 def paragraph_trim(spark, sf_dir):
-    return fixtures(spark).select("id", text.trim_at_paragraph(F.col("text"), 60).alias("trimmed"))
+    return documents(spark, sf_dir).select("doc_id", text.trim_at_paragraph(F.col("text"), 400).alias("trimmed"))
 
 
 @query("SELECT page_id, CASE WHEN contains(lower(html), '<!doctype html>') THEN 'HTML5' WHEN contains(lower(html), 'xhtml') THEN 'XHTML' WHEN contains(lower(html), 'html 4') THEN 'HTML4' ELSE 'Unknown' END AS version FROM pages")
@@ -128,14 +106,12 @@ def html_text(spark, sf_dir):
     return readers.html_pages(table(spark, sf_dir, "pages"))
 
 
-@query("""
-WITH p AS (SELECT * FROM customer)
-SELECT 'c_custkey' AS "column", 'bigint' AS dtype, count(*) - count(c_custkey) AS nulls, count(DISTINCT c_custkey) AS distinct_values FROM p
-UNION ALL SELECT 'c_nationkey', 'bigint', count(*) - count(c_nationkey), count(DISTINCT c_nationkey) FROM p
-UNION ALL SELECT 'c_mktsegment', 'string', count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment) FROM p""")
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS \"column\", '{t}' AS dtype, count(*) - count({k}) AS nulls, count(DISTINCT {k}) AS distinct_values FROM customer" for k, t in _CUSTOMER.items()))
 def column_profile(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("long"), "c_mktsegment")
-    return readers.column_profile(c)
+    return readers.column_profile(table(spark, sf_dir, "customer"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, (json_extract_string(props, '$.k') IS NULL) AS missing FROM events")
@@ -172,12 +148,12 @@ def paragraphs(spark, sf_dir):
 
 
 _MASKED = (
-    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\b(" + "|".join(segment.ABBREVIATIONS) + ")\\.', '\\1\ue000', 'g'), '\\b(e\\.g|i\\.e|a\\.m|p\\.m)\\.', '\\1\ue000', 'g'),"
-    " '\\b([A-Z])\\.', '\\1\ue000', 'g'), '(\\d)\\.(\\d)', '\\1\ue000\\2', 'g')"
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\b(" + "|".join(segment.ABBREVIATIONS) + ")\\.', '\\1\ue000', 'g'), '\\b(e\\.g|i\\.e|a\\.m|p\\.m)\\.', '\\1\ue000', 'g'),"
+    " '\\b([A-Z])\\.', '\\1\ue000', 'g'), '(\\d)\\.(\\d)', '\\1\ue000\\2', 'g'), '[.!?]([\"'')]+\\s+[a-z])', '\ue000\\1', 'g')"
 )
 _SENTENCES = rf"""
 paragraph AS (SELECT id, unnest(p) AS text, unnest(list_transform(p, lambda x, i: coalesce(length(gap[i]), 0))) AS gap, generate_subscripts(p, 1) AS par FROM
-  (SELECT id, string_split_regex(text, '\n[ \t]*\n\s*') AS p, regexp_extract_all(text, '\n[ \t]*\n\s*') AS gap FROM fixtures)),
+  (SELECT id, string_split_regex(text, '\n[ \t]*\n\s*') AS p, regexp_extract_all(text, '\n[ \t]*\n\s*') AS gap FROM (SELECT doc_id AS id, text FROM documents))),
 placed AS (SELECT id, text, par, sum(length(text) + gap) OVER (PARTITION BY id ORDER BY par) - length(text) - gap AS start FROM paragraph),
 cut AS (SELECT id, par, text, start, string_split_regex(m, '[.!?]["'')]*\s+') AS s, regexp_extract_all(m, '[.!?]["'')]*\s+') AS e FROM (SELECT *, {_MASKED} AS m FROM placed WHERE length(text) > 0)),
 piece AS (SELECT id, par, text, start, unnest(list_transform(s, lambda x, i: length(x) + coalesce(length(e[i]), 0))) AS n, generate_subscripts(s, 1) AS pos FROM cut),
@@ -187,22 +163,25 @@ sentence AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY par, pos) -
   (start + length(t) - length(regexp_replace(t, '^\s+', '')))::BIGINT AS start_char FROM own WHERE trim(regexp_replace(t, '\s+', '', 'g')) <> '')"""
 
 
-@query(f"WITH {_sql_rows()}, {_SENTENCES} SELECT id, sentence_id, text, start_char, start_char + length(text) AS end_char FROM sentence")
-def sentences(spark, sf_dir):
-    s = segment.sentences(fixtures(spark), "id")
-    return s.select("id", F.col("sentence_id").cast("long").alias("sentence_id"), "text", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
+@query(f"WITH {_SENTENCES} SELECT id AS doc_id, sentence_id, text, start_char, start_char + length(text) AS end_char FROM sentence")
+def document_sentences(spark, sf_dir):
+    s = segment.sentences(documents(spark, sf_dir), "doc_id")
+    return s.select("doc_id", F.col("sentence_id").cast("long").alias("sentence_id"), "text", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
 
 
-@query()
-def document_sentences(spark, sf_dir):
-    return segment.sentences(documents(spark, sf_dir), "doc_id")
+@query(f"WITH {_SENTENCES} SELECT id AS doc_id, count(*) AS sentences, max(length(text)) AS longest FROM sentence GROUP BY id")
+def sentences(spark, sf_dir):
+    s = segment.sentences(documents(spark, sf_dir), "doc_id")
+    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query(f"WITH {_sql_rows()}, {_SENTENCES}, p(position) AS (VALUES (0), (30), (60), (90), (5000)) SELECT f.id, position::BIGINT AS position, coalesce(min(sentence_id), -1) AS sentence_id FROM fixtures f CROSS JOIN p LEFT JOIN sentence s ON s.id = f.id AND start_char <= position AND position < start_char + length(s.text) GROUP BY f.id, position")
+@query(f"""
+WITH {_SENTENCES}, p(position) AS (VALUES (0), (50), (300), (1000), (20000)), d AS (SELECT doc_id, position FROM documents, p)
+SELECT doc_id, position::BIGINT AS position, coalesce(min(sentence_id), -1) AS sentence_id FROM d LEFT JOIN sentence s ON s.id = doc_id AND start_char <= position AND position < start_char + length(s.text) GROUP BY ALL""")
 def sentence_at(spark, sf_dir):
-    places = fixtures(spark).select("id", "text", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 30, 60, 90, 5000)))).alias("position"))
-    found = F.filter(F.transform(segment.sentence_array(F.col("text")), lambda s, i: F.struct(i.alias("i"), s["start"].alias("a"), (s["start"] + F.length(s["text"])).alias("b"))), lambda s: (s["a"] <= F.col("position")) & (F.col("position") < s["b"]))
-    return places.select("id", "position", F.coalesce(F.try_element_at(found, F.lit(1))["i"], F.lit(-1)).cast("long").alias("sentence_id"))
+    laid = documents(spark, sf_dir).select("doc_id", segment.sentence_array(F.col("text")).alias("s"))
+    places = laid.select("doc_id", "s", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 50, 300, 1000, 20000)))).alias("position"))
+    return places.select("doc_id", "position", segment.sentence_at(F.col("s"), F.col("position")).cast("long").alias("sentence_id"))
 
 
 # ---------------------------------------------------------------- detectors
@@ -237,14 +216,26 @@ def regex_findings(spark, sf_dir):
     return f.groupBy("doc_id", "rule_id").agg(F.count("*").alias("findings"), F.min("start_char").cast("long").alias("first_start"), F.max("end_char").cast("long").alias("last_end"))
 
 
-@query()
+@query(f"""
+WITH {_SENTENCES}, r(rule_id, pattern) AS (VALUES ('unsourced:unless:0', '(?i)inthe[a-z]*'), ('unsourced:unless:1', '(?i)thing[a-z]*'))
+SELECT id AS doc_id, rule_id, sum(len(regexp_extract_all(text, pattern)))::BIGINT AS findings FROM sentence, r WHERE NOT regexp_matches(text, '[0-9]') AND regexp_matches(text, pattern) GROUP BY ALL""")
 def unless_findings(spark, sf_dir):
     return findings(spark, sf_dir, "unsourced").groupBy("doc_id", "rule_id").agg(F.count("*").alias("findings"))
 
 
-@query()
+_SLOGANS = rf"""
+hit AS (SELECT id, sentence_id, text, start_char, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS m, string_split_regex(text, '[\p{{L}}\p{{N}}_]+') AS g FROM sentence
+  WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 9),
+hit_word AS (SELECT id, sentence_id, text, start_char, unnest(m) AS w, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS pos FROM hit),
+hit_place AS (SELECT *, sum(gap + length(w)) OVER (PARTITION BY id, sentence_id ORDER BY pos) AS e FROM hit_word),
+slogan AS (SELECT id AS doc_id, sentence_id, any_value(text) AS text, any_value(start_char) AS first, min(e - length(w))::BIGINT AS s, max(e)::BIGINT AS e FROM hit_place
+  WHERE lower(w) IN ('the', 'of', 'and', 'to') GROUP BY id, sentence_id HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {_SENTENCES}, {_SLOGANS} SELECT doc_id, sentence_id, first + s AS start_char, first + e AS end_char, substr(text, s + 1, e - s) AS text FROM slogan")
 def cooccurrence(spark, sf_dir):
-    return findings(spark, sf_dir, "slogan").select("doc_id", "sentence_id", "start_char", "end_char", "text")
+    f = findings(spark, sf_dir, "slogan")
+    return f.select("doc_id", F.col("sentence_id").cast("long").alias("sentence_id"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text")
 
 
 @query("""
@@ -266,33 +257,64 @@ def threshold_gate(spark, sf_dir):
     return findings(spark, sf_dir, "weak").agg(F.count("*").alias("findings"))
 
 
-@query(rf"""
-WITH t AS (SELECT doc_id, regexp_extract_all(text, '{SQL_TOKEN}') AS m FROM documents),
-w AS (SELECT doc_id, lower(x) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (SELECT doc_id, unnest(m) AS x, generate_subscripts(m, 1) AS pos FROM t) WHERE regexp_matches(x, '[\p{{L}}\p{{N}}]')),
-s AS (SELECT *, w IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) AS stop FROM w),
-g AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS phrase, stop AND lead(stop, 1) OVER o AND lead(stop, 2) OVER o AND lead(stop, 3) OVER o AS stops FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY k))
-SELECT doc_id, phrase, count(*) AS times FROM g WHERE phrase IS NOT NULL AND NOT stops GROUP BY doc_id, phrase HAVING count(*) >= 4""")
+_GRAMS = rf"""
+tok AS (SELECT doc_id, unnest(m) AS w, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS pos FROM
+  (SELECT doc_id, regexp_extract_all(text, '{SQL_TOKEN}') AS m, string_split_regex(text, '{SQL_TOKEN}') AS g FROM documents)),
+ended AS (SELECT doc_id, w, pos, sum(gap + length(w)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM tok),
+word AS (SELECT doc_id, lower(w) AS w, e - length(w) AS s, e, pos, lower(w) IN ({", ".join(f"'{w}'" for w in text.STOP_WORDS)}) AS stop FROM ended WHERE regexp_matches(w, '[\p{{L}}\p{{N}}]')),
+gram AS (SELECT doc_id, s, lead(e, 3) OVER o AS e, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS phrase,
+  stop AND lead(stop, 1) OVER o AND lead(stop, 2) OVER o AND lead(stop, 3) OVER o AS stops FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+often AS (SELECT * FROM gram WHERE phrase IS NOT NULL AND NOT stops QUALIFY count(*) OVER (PARTITION BY doc_id, phrase) >= 4),
+chosen AS (SELECT doc_id, list_reduce(list_transform(list(struct_pack(s := s, e := e) ORDER BY s, e), lambda x: [x]), lambda a, x: CASE WHEN x[1].s >= a[-1].e THEN list_concat(a, x) ELSE a END) AS r FROM often GROUP BY doc_id),
+repeated AS (SELECT doc_id, x.s::BIGINT AS s, x.e::BIGINT AS e FROM (SELECT doc_id, unnest(r) AS x FROM chosen))"""
+
+
+@query(f"WITH {_GRAMS} SELECT doc_id, phrase, count(*) AS times FROM often GROUP BY doc_id, phrase")
 def ngram_counts(spark, sf_dir):
-    g = detectors.ngrams(documents(spark, sf_dir), 4, "doc_id", "text")
-    return g.groupBy("doc_id", "phrase").agg(F.count("*").alias("times")).where("times >= 4")
+    g = detectors.ngrams(documents(spark, sf_dir), 4, 4, "doc_id", "text")
+    return g.groupBy("doc_id", "phrase").agg(F.count("*").alias("times"))
 
 
-@query()
+@query(f"""
+WITH {_GRAMS}, {_SENTENCES} SELECT r.doc_id, max(sentence_id) AS sentence_id, s AS start_char, e AS end_char, substr(any_value(d.text), s + 1, e - s) AS text
+FROM repeated r JOIN documents d USING (doc_id) JOIN sentence n ON n.id = r.doc_id AND start_char <= s GROUP BY r.doc_id, s, e""")
 def repetition(spark, sf_dir):
-    return findings(spark, sf_dir, "repetition").select("doc_id", "sentence_id", "start_char", "end_char", "text", "in_quotation")
+    f = findings(spark, sf_dir, "repetition")
+    return f.select("doc_id", F.col("sentence_id").cast("long").alias("sentence_id"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text")
 
 
-def fixture_findings(spark) -> DataFrame:
-    return detectors.findings(fixtures(spark), Settings.load().taxonomy, "id")
+def _default_rules() -> list[tuple[str, str, str]]:
+    """(rule_id, pattern, exceptions or empty) of the default taxonomy's rules that test one sentence with patterns."""
+    rows = []
+    for c in Settings.load().taxonomy.categories:
+        if c.base_confidence < 0.8:
+            continue
+        words_ = spans.words_pattern(c.terms) if c.terms else ""
+        if c.detector == "lexicon":
+            rows.append((f"{c.id}:lexicon", words_, ""))
+        elif c.detector in ("regex", "regex_unless"):
+            unless = "|".join(f"(?:{x})" for x in [*([spans.words_pattern(c.unless_terms)] if c.unless_terms else []), *c.unless_patterns])
+            rows += [(f"{c.id}:{'regex' if c.detector == 'regex' else 'unless'}:{i}", x, unless) for i, x in enumerate(c.patterns)]
+    return rows
 
 
-_EXPECTED = {1: [], 2: ["bandwagon", "loaded_language", "name_calling"], 3: ["false_dilemma", "source_opaqueness"], 4: ["unsupported_quantifier"], 5: ["glittering_generalities", "repetition"], 6: ["scapegoating"], 7: ["card_stacking"], 8: ["hedging"], 9: [], 10: ["loaded_language", "whataboutism"]}
+def _sql_pattern(pattern: str) -> str:
+    return "'(?i)" + pattern.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'[' + ', '.join(repr(x) for x in c) + ']'}::VARCHAR[])" for i, c in _EXPECTED.items() if c) + ") t(id, categories)")
-def fired_categories(spark, sf_dir):
-    """All 23 categories of the default taxonomy on the fixed texts, as sorted sets."""
-    return fixture_findings(spark).groupBy("id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+def _rule_count(rule: str, pattern: str, unless: str) -> str:
+    n = f"len(regexp_extract_all(text, {_sql_pattern(pattern)}))"
+    return f"struct_pack(rule_id := '{rule}', n := {f'CASE WHEN regexp_matches(text, {_sql_pattern(unless)}) THEN 0 ELSE {n} END' if unless else n})"
+
+
+@query(f"""
+WITH {_SENTENCES}, r AS (SELECT id, unnest([{", ".join(_rule_count(*x) for x in _default_rules())}]) AS x FROM sentence)
+SELECT id AS doc_id, x.rule_id AS rule_id, sum(x.n)::BIGINT AS findings FROM r WHERE x.n > 0 GROUP BY ALL""")
+def default_rule_counts(spark, sf_dir):
+    """Findings of each pattern rule of the default taxonomy, by document."""
+    t = Settings.load().taxonomy
+    kinds = Taxonomy(tuple(c for c in t.categories if c.detector in ("lexicon", "regex", "regex_unless")), t.default_threshold)
+    return detectors.findings(documents(spark, sf_dir), kinds, "doc_id").groupBy("doc_id", "rule_id").agg(F.count("*").alias("findings"))
 
 
 @query()
@@ -301,20 +323,36 @@ def default_findings(spark, sf_dir):
     return detectors.findings(documents(spark, sf_dir), Settings.load().taxonomy, "doc_id")
 
 
-@query("SELECT * FROM (VALUES (6::BIGINT, 0::BIGINT, 8::BIGINT, 'Migrants'), (6, 55, 63, 'Migrants')) t(id, start_char, end_char, text)")
+@query()
+def fired_categories(spark, sf_dir):
+    """The categories of the default taxonomy that fire in each document, as sorted sets."""
+    f = detectors.findings(documents(spark, sf_dir), Settings.load().taxonomy, "doc_id")
+    return f.groupBy("doc_id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+
+
+_BLAME = Category("blame", "entity_blame", family="propaganda", base_confidence=0.8, terms=("the", "and"), group_terms=("idiot", "moron", "worthless", "stupid", "pathetic", "loser", "of", "to"), entity_labels=(), min_blamed_sentences=2)
+
+
+@query(rf"""
+WITH {_SENTENCES}, w AS (SELECT id, sentence_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x)) AS ws FROM sentence),
+t AS (SELECT id, sentence_id, target FROM (SELECT id, sentence_id, unnest(ws) AS target FROM w WHERE list_has_any(ws, ['the', 'and'])) WHERE target IN ('idiot', 'moron', 'worthless', 'stupid', 'pathetic', 'loser', 'of', 'to'))
+SELECT id AS doc_id, target, count(*) AS mentions FROM t GROUP BY id, target HAVING count(DISTINCT sentence_id) >= 2""")
 def scapegoat(spark, sf_dir):
-    f = fixture_findings(spark).where("category = 'scapegoating'")
-    return f.select("id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text")
+    """The entity_blame kind, over words that occur in the documents."""
+    f = detectors.findings(documents(spark, sf_dir), Taxonomy((_BLAME,), 0.8), "doc_id", found=entities.none(spark, "doc_id"))
+    return f.groupBy("doc_id", F.lower("text").alias("target")).agg(F.count("*").alias("mentions"))
 
 
-@query("SELECT * FROM (VALUES (7::BIGINT, 'Fairhaven Trust', 2::BIGINT), (7, 'Northgate Group', 2)) t(id, text, mentions)")
+@query()
 def card_stacking(spark, sf_dir):
-    return fixture_findings(spark).where("category = 'card_stacking'").groupBy("id", "text").agg(F.count("*").alias("mentions"))
+    """The entity_sentiment_split kind over all documents, at thresholds that the documents reach."""
+    c = Category("split", "entity_sentiment_split", family="bias", base_confidence=0.8, entity_labels=("PERSON", "ORG", "NORP", "GPE"), positive_threshold=0.0, negative_threshold=0.0, min_entities=1, min_mentions=1)
+    return detectors.findings(documents(spark, sf_dir), Taxonomy((c,), 0.8), "doc_id").groupBy("doc_id", "text").agg(F.count("*").alias("mentions"))
 
 
 @query()
 def entities_gazetteer(spark, sf_dir):
-    return entities.entities(fixtures(spark), "id")
+    return entities.entities(documents(spark, sf_dir), "doc_id")
 
 
 @query()
@@ -324,13 +362,13 @@ def sentence_sentiment(spark, sf_dir):
 
 @query()
 def entity_sentiment(spark, sf_dir):
-    return entities.entity_sentiment(fixtures(spark), "id").select("id", "entity_key", "label", "mentions", "average_sentiment")
+    return entities.entity_sentiment(documents(spark, sf_dir), "doc_id").select("doc_id", "entity_key", "label", "mentions", "average_sentiment")
 
 
-@query("SELECT * FROM (VALUES ('The  Big Trust', 'big trust'), ('a the an X', 'the an x'), ('AN  apple', 'apple'), ('Theatre', 'theatre')) t(name, entity_key)")
+@query(r"SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower('The  ' || c_name || ' AND a' || c_mktsegment), '\s+', ' ', 'g')), '^the ', ''), '^a ', ''), '^an ', '') AS entity_key FROM customer")
 def entity_key(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("The  Big Trust", "a the an X", "AN  apple", "Theatre")], "name string")
-    return rows.select("name", text.entity_key(F.col("name")).alias("entity_key"))
+    name = F.concat(F.lit("The  "), "c_name", F.lit(" AND a"), "c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.entity_key(name).alias("entity_key"))
 
 
 # ---------------------------------------------------------------- scores
@@ -345,17 +383,24 @@ def scores(spark, sf_dir) -> DataFrame:
     return scoring.category_scores(words(spark, sf_dir), findings(spark, sf_dir), s.taxonomy, s.scoring, "doc_id")
 
 
-#: Counts of the two categories whose findings SQL can make, and the words.
+#: Findings of each category of the bench taxonomy by document, and the words; then the scores.
 _COUNTS = rf"""
-words AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '{SQL_TOKEN}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS n FROM documents),
-hits AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x) IN ('idiot', 'moron', 'worthless', 'stupid', 'pathetic', 'loser')))::BIGINT AS slur,
+words AS (SELECT doc_id, len(list_filter(regexp_extract_all(text, '{SQL_TOKEN}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')))::BIGINT AS n,
+  len(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x) IN ('idiot', 'moron', 'worthless', 'stupid', 'pathetic', 'loser')))::BIGINT AS slur,
   len(regexp_extract_all(text, '[#$%&*]{{3}}'))::BIGINT + len(regexp_extract_all(text, '[0-9]{{5,}}'))::BIGINT AS junk FROM documents),
-long AS (SELECT doc_id, 'slur' AS category, slur AS c, 0.85::DOUBLE AS conf, 0.7::DOUBLE AS sev, 0.4::DOUBLE AS dis FROM hits UNION ALL SELECT doc_id, 'junk', junk, 0.9::DOUBLE, 0.1::DOUBLE, 0.1::DOUBLE FROM hits)"""
+{_SENTENCES}, {_SLOGANS}, {_GRAMS},
+a AS (SELECT id AS doc_id, sum(len(regexp_extract_all(text, '(?i)inthe[a-z]*')) + len(regexp_extract_all(text, '(?i)thing[a-z]*')))::BIGINT AS c FROM sentence WHERE NOT regexp_matches(text, '[0-9]') GROUP BY id),
+b AS (SELECT doc_id, count(*) AS c FROM slogan GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS c FROM repeated GROUP BY doc_id),
+wide AS (SELECT doc_id, n, slur, junk, coalesce(a.c, 0) AS unsourced, coalesce(b.c, 0) AS slogan, coalesce(r.c, 0) AS repetition, 0::BIGINT AS weak FROM words LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN r USING (doc_id)),
+long AS (SELECT doc_id, wide.n AS words, k.category, k.ord, k.family, k.conf::DOUBLE AS conf, k.sev::DOUBLE AS sev, k.dis::DOUBLE AS dis,
+  CASE k.ord WHEN 0 THEN slur WHEN 1 THEN junk WHEN 2 THEN unsourced WHEN 3 THEN slogan WHEN 4 THEN repetition ELSE weak END AS c FROM wide,
+  (VALUES ('slur', 0, 'propaganda', 0.85, 0.7, 0.4), ('junk', 1, 'style', 0.9, 0.1, 0.1), ('unsourced', 2, 'bias', 0.8, 0.5, 0.3), ('slogan', 3, 'fallacy', 0.8, 0.4, 0.2), ('repetition', 4, 'propaganda', 0.8, 0.4, 0.2), ('weak', 5, 'style', 0.5, 0.1, 0.0)) k(category, ord, family, conf, sev, dis)),
+s AS (SELECT *, CASE WHEN c = 0 THEN 0 ELSE round(1 - exp(-4.0::DOUBLE * (c * conf) / pow(greatest(words, 1), 0.5)), 6) END AS score FROM long)"""
 
 
-@query(f"WITH {_COUNTS} SELECT doc_id, category, c AS count, round(c * conf, 6) AS raw, round(CASE WHEN c = 0 THEN 0 ELSE 1 - exp(-4.0::DOUBLE * (c * conf) / pow(greatest(n, 1), 0.5)) END, 6) AS score FROM long JOIN words USING (doc_id)")
+@query(f"WITH {_COUNTS} SELECT doc_id, category, c AS count, round(c * conf, 6) AS raw, score FROM s")
 def category_scores(spark, sf_dir):
-    return scores(spark, sf_dir).where("category in ('slur', 'junk')").select("doc_id", "category", "count", "raw", "score")
+    return scores(spark, sf_dir).select("doc_id", "category", "count", "raw", "score")
 
 
 @query("SELECT doc_id, 6::BIGINT AS categories FROM documents")
@@ -364,76 +409,75 @@ def densified(spark, sf_dir):
     return scores(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("categories"))
 
 
-@query(f"WITH {_COUNTS} SELECT doc_id, category, c AS instances, round(conf * sev, 6) AS max_instance_severity, round(1 - exp(-c::DOUBLE), 6) AS accumulated_severity, sev AS severity_weight FROM long WHERE c > 0")
+@query(f"WITH {_COUNTS} SELECT doc_id, category, c AS instances, round(conf * sev, 6) AS max_instance_severity, round(1 - exp(-c::DOUBLE), 6) AS accumulated_severity, sev AS severity_weight FROM s WHERE c > 0")
 def severity(spark, sf_dir):
     s = bench()
-    return scoring.severity(scores(spark, sf_dir), s.taxonomy, s.scoring, "doc_id").where("category in ('slur', 'junk')").drop("ord", "disruption")
+    return scoring.severity(scores(spark, sf_dir), s.taxonomy, s.scoring, "doc_id").drop("ord", "disruption")
 
 
-@query()
+@query(f"""
+WITH {_COUNTS}, w AS (SELECT doc_id, max(conf * sev * dis) AS worst, arg_max(category, struct_pack(v := conf * sev * dis, o := -ord)) AS driver FROM s WHERE c > 0 AND dis > 0 GROUP BY doc_id)
+SELECT doc_id, round(coalesce(worst, 0), 6) AS logical_flow_disruption, driver AS disruption_driven_by, round(1 - coalesce(worst, 0), 6) AS coherence FROM documents LEFT JOIN w USING (doc_id)""")
 def disruption(spark, sf_dir):
     s = bench()
     return scoring.disruption(words(spark, sf_dir), scoring.severity(scores(spark, sf_dir), s.taxonomy, s.scoring, "doc_id"), s.scoring, "doc_id")
 
 
-#: A small table of scores, for the formulas alone: (id, category, family, ord, count, score).
-_SCORES = [(i, f"c{k}", ("propaganda", "fallacy", "bias", "style")[k % 4], k, (i * (k + 3)) % 4, round(((i * (k + 3)) % 4) * 0.17 + 0.01 * k, 6) if (i * (k + 3)) % 4 else 0.0) for i in range(1, 9) for k in range(8)]
-_SCORES_SQL = "s(id, category, family, ord, n, score) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{c}', '{f}', {o}, {n}, {v}::DOUBLE)" for i, c, f, o, n, v in _SCORES) + ")"
-
+def _composites(spark, sf_dir, **change):
+    s = bench()
+    return scoring.composites(scores(spark, sf_dir), s.taxonomy, replace(s.scoring, **change), "doc_id")
 
-def _composites(spark, **change):
-    from quillon.config import Category, Scoring, Taxonomy
 
-    t = Taxonomy(tuple(Category(f"c{k}", "repetition", family=("propaganda", "fallacy", "bias", "style")[k % 4]) for k in range(8)))
-    s = Scoring(families={"prop_score": ["propaganda"], "fallacy_score": ["fallacy"], "bias_signal": ["bias"], "excluded": ["style"]}, weights={"c3": 0.05}, increments={"c1": 0.45, "c2": 0.4}, **change)
-    rows = spark.createDataFrame(_SCORES, "id long, category string, family string, ord int, count long, score double")
-    return scoring.composites(rows, t, s, "id")
+_FAMILY = "avg(score) FILTER (family = '{}')"
+_PROP = "coalesce(ln(avg(exp(4 * score)) FILTER (family = 'propaganda' AND score > 0)) / 4, 0)"
+_ADDED = "sum(CASE WHEN c > 0 AND family <> 'style' THEN 0.1::DOUBLE ELSE 0 END)"
+_BAND = f"CASE WHEN {_ADDED} < 0.3 THEN 'low' WHEN {_ADDED} < 0.7 THEN 'moderate' ELSE 'high' END"
 
 
-@query(f"WITH {_SCORES_SQL} SELECT id, round(coalesce(ln(avg(CASE WHEN score > 0 THEN exp(4 * score) END)) / 4, 0), 6) AS prop_score FROM s WHERE family = 'propaganda' GROUP BY id")
+@query(f"WITH {_COUNTS} SELECT doc_id, round({_PROP}, 6) AS prop_score FROM s GROUP BY doc_id")
 def prop_smooth(spark, sf_dir):
-    return _composites(spark).select("id", "prop_score")
+    return _composites(spark, sf_dir).select("doc_id", "prop_score")
 
 
-@query(f"WITH {_SCORES_SQL} SELECT id, round(1 - product(1 - score), 6) AS prop_score FROM s WHERE family = 'propaganda' GROUP BY id")
+@query(f"WITH {_COUNTS} SELECT doc_id, round(1 - product(1 - score), 6) AS prop_score FROM s WHERE family = 'propaganda' GROUP BY doc_id")
 def prop_noisy_or(spark, sf_dir):
-    return _composites(spark, method="noisy_or").select("id", "prop_score")
+    return _composites(spark, sf_dir, method="noisy_or").select("doc_id", "prop_score")
 
 
-@query(f"""
-WITH {_SCORES_SQL}, a AS (SELECT id, coalesce(sum(CASE WHEN n > 0 AND family <> 'style' THEN CASE category WHEN 'c1' THEN 0.45::DOUBLE WHEN 'c2' THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END END), 0) AS x FROM s GROUP BY id)
-SELECT id, round(least(x, 1), 6) AS additive_manipulation, CASE WHEN least(x, 1) < 0.3 THEN 'low' WHEN least(x, 1) < 0.7 THEN 'moderate' ELSE 'high' END AS band, x > 1 AS clipped FROM a""")
+@query(f"WITH {_COUNTS} SELECT doc_id, round(least({_ADDED}, 1), 6) AS additive_manipulation, {_BAND} AS band, {_ADDED} > 1 AS clipped FROM s GROUP BY doc_id")
 def additive(spark, sf_dir):
-    return _composites(spark).select("id", "additive_manipulation", "band", "clipped")
+    return _composites(spark, sf_dir).select("doc_id", "additive_manipulation", "band", "clipped")
 
 
-@query(f"WITH {_SCORES_SQL} SELECT id, round(avg(score) FILTER (family = 'fallacy'), 6) AS fallacy_score, round(avg(score) FILTER (family = 'bias'), 6) AS bias_signal FROM s GROUP BY id")
+@query(f"WITH {_COUNTS} SELECT doc_id, round({_FAMILY.format('fallacy')}, 6) AS fallacy_score, round({_FAMILY.format('bias')}, 6) AS bias_signal FROM s GROUP BY doc_id")
 def family_mean(spark, sf_dir):
-    return _composites(spark).select("id", "fallacy_score", "bias_signal")
+    return _composites(spark, sf_dir).select("doc_id", "fallacy_score", "bias_signal")
 
 
-@query(f"""
-WITH {_SCORES_SQL}, p AS (SELECT id, round(coalesce(ln(avg(CASE WHEN score > 0 THEN exp(4 * score) END) FILTER (family = 'propaganda')) / 4, 0), 6) AS a, round(avg(score) FILTER (family = 'fallacy'), 6) AS b, round(avg(score) FILTER (family = 'bias'), 6) AS c FROM s GROUP BY id)
-SELECT id, round(1 - (1 - a) * (1 - b) * (1 - c), 6) AS manipulation_index FROM p""")
+_INDEX = f"1 - (1 - round({_PROP}, 6)) * (1 - round({_FAMILY.format('fallacy')}, 6)) * (1 - round({_FAMILY.format('bias')}, 6))"
+
+
+@query(f"WITH {_COUNTS} SELECT doc_id, round({_INDEX}, 6) AS manipulation_index FROM s GROUP BY doc_id")
 def manipulation(spark, sf_dir):
-    return _composites(spark).select("id", "manipulation_index")
+    return _composites(spark, sf_dir).select("doc_id", "manipulation_index")
 
 
-@query(f"WITH {_SCORES_SQL} SELECT id, round(sum(score * CASE category WHEN 'c3' THEN 0.05 ELSE 1 END) / 7.05, 6) AS article_score FROM s GROUP BY id")
+@query(f"WITH {_COUNTS} SELECT doc_id, round(sum(score) / 6, 6) AS article_score FROM s GROUP BY doc_id")
 def article_score(spark, sf_dir):
-    return _composites(spark).select("id", "article_score")
+    return _composites(spark, sf_dir).select("doc_id", "article_score")
 
 
-@query("SELECT 8::BIGINT AS published, 8::BIGINT AS withheld")
+@query("SELECT count(*) AS published, count(*) AS withheld FROM documents")
 def headline(spark, sf_dir):
-    a = _composites(spark, expose_composite=True).agg(F.count("composite").alias("published"))
-    return a.join(_composites(spark).agg(F.sum(F.col("composite").isNull().cast("long")).alias("withheld")), how="cross")  # a row with a row
+    a = _composites(spark, sf_dir, expose_composite=True).agg(F.count("composite").alias("published"))
+    return a.join(_composites(spark, sf_dir).agg(F.sum(F.col("composite").isNull().cast("long")).alias("withheld")), how="cross")  # a row with a row
 
 
-@query()
+@query(f"""
+WITH {_COUNTS} SELECT doc_id, round({_PROP}, 6) AS prop_score, round({_FAMILY.format('fallacy')}, 6) AS fallacy_score, round({_FAMILY.format('bias')}, 6) AS bias_signal,
+  round(least({_ADDED}, 1), 6) AS additive_manipulation, {_BAND} AS band, {_ADDED} > 1 AS clipped, round({_INDEX}, 6) AS manipulation_index, round(sum(score) / 6, 6) AS article_score FROM s GROUP BY doc_id""")
 def document_composites(spark, sf_dir):
-    s = bench()
-    rows = scoring.composites(scores(spark, sf_dir), s.taxonomy, s.scoring, "doc_id")
+    rows = _composites(spark, sf_dir)
     return rows.select("doc_id", "prop_score", "fallacy_score", "bias_signal", "additive_manipulation", "band", "clipped", "manipulation_index", "article_score")
 
 
@@ -506,7 +550,7 @@ def exact_match(spark, sf_dir):
     return rows.agg(F.count("*").alias("examples"), F.sum(F.col("exact").cast("long")).alias("exact"), F.sum(F.size("missed")).cast("long").alias("missed"), F.sum(F.size("spurious")).cast("long").alias("spurious"))
 
 
-@query("SELECT * FROM (VALUES ('other')) t(category)")
+@query(f"WITH {_FIRED} SELECT category FROM (VALUES ('slur'), ('junk'), ('other')) t(category) WHERE category NOT IN (SELECT category FROM counts WHERE tp + fp + fn > 0)")
 def unmeasured(spark, sf_dir):
     fired, expected, _ = _fired(spark, sf_dir)
     return evaluate.unmeasured(evaluate.confusion(fired, expected), spark.createDataFrame([("slur",), ("junk",), ("other",)], "category string"))
@@ -547,9 +591,10 @@ def top_docs(spark, sf_dir):
     return evaluate.top_documents(*_roles(spark, sf_dir))
 
 
-@query("SELECT count(*) AS processed, 0::BIGINT AS failed, 'OK' AS gate FROM documents")
+@query("SELECT count(*) FILTER (trim(text) <> '') AS processed, count(*) FILTER (coalesce(trim(text), '') = '') AS failed, 'OK' AS gate FROM documents")
 def batch_summary(spark, sf_dir):
+    from quillon.plans.analyze import analyze
     from quillon.plans.analyze import batch_summary as summary
 
-    done = documents(spark, sf_dir).select(text.document_id(F.col("text")).alias("document_id"))
-    return summary(done, done.where("false")).drop("document_ids")
+    rows = documents(spark, sf_dir)
+    return summary(analyze(rows, bench()), rows.where(F.coalesce(F.trim("text"), F.lit("")) == ""))

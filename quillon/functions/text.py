@@ -29,8 +29,8 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """NFC; Spark has no function for it, so texts that aren't pure ASCII go through Arrow and the others don't."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_nfc, "string")(text)).otherwise(text)
+    """NFC; Spark has no function for it. Only texts that aren't pure ASCII are sent through Arrow, the others as nulls."""
+    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def document_id(text: Column) -> Column:

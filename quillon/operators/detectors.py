@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.config import Category, Taxonomy
 from quillon.functions import spans, text
 from quillon.operators import entities as ent
-from quillon.operators.segment import sentence_array, sentences, tokens
+from quillon.operators.segment import per_text, sentence_array, sentence_spans, sentences
 
 FINDING = "array<struct<category:string,rule_id:string,start:int,end:int,confidence:double>>"
 
@@ -65,7 +68,8 @@ def _guarded(c: Category) -> str:
 def sentence_findings(docs: DataFrame, taxonomy: Taxonomy, key: str, body: str) -> DataFrame:
     """Findings of the sentence-level kinds. No shuffle: a row per document becomes rows per finding."""
     rules = [_guarded(c) for c in taxonomy.categories if c.detector in SENTENCE_KINDS]
-    laid = docs.select(key, F.col(body).alias("_text"), spans.quoted_regions(F.col(body)).alias("_quotes"), F.posexplode(sentence_array(F.col(body))).alias("sentence_id", "s"))
+    laid = docs.select(key, F.col(body).alias("_text"), spans.quoted_regions(F.col(body)).alias("_quotes"))
+    laid = laid.select("*", F.posexplode(sentence_array(F.col("_text"))).alias("sentence_id", "s"))
     laid = laid.select(key, "_text", "_quotes", "sentence_id", F.col("s.start").alias("_at"), F.col("s.text").alias("_s"), F.lower("s.text").alias("_low"))
     found = laid.select(key, "_text", "_quotes", "sentence_id", "_at", F.expr(f"inline(concat({', '.join([f'cast(array() as {FINDING})', *rules])}))"))
     return _finding(found.withColumn("start", F.col("start") + F.col("_at")).withColumn("end", F.col("end") + F.col("_at")), key)
@@ -83,33 +87,74 @@ def _finding(found: DataFrame, key: str) -> DataFrame:
 # ---------------------------------------------------------------- whole documents
 
 
-def ngrams(docs: DataFrame, size: int, key: str, body: str, found: DataFrame | None = None) -> DataFrame:
-    """(key, phrase, start, end, sentence_id): n-grams of words across sentences; without those of stop words only or touching an entity."""
-    words = tokens(docs, key, body).where(~F.col("is_punct"))
-    order = Window.partitionBy(key).orderBy("idx")
-    ahead = lambda x: F.array(*(F.lead(x, i).over(order) if i else F.col(x) for i in range(size)))
-    last = F.lead(F.col("idx") + F.length("text"), size - 1).over(order) if size > 1 else F.col("idx") + F.length("text")
-    grams = words.select(key, "sentence_id", F.col("idx").alias("start"), last.alias("end"), F.array_join(ahead("lower"), " ").alias("phrase"), ahead("is_stop").alias("stops"))
-    grams = grams.where(F.col("end").isNotNull() & ~F.forall("stops", lambda x: x)).drop("stops")
-    if found is not None:
-        e = found.select(F.col(key).alias("_k"), F.col("start_char").alias("_s"), F.col("end_char").alias("_e"))
-        grams = grams.join(e, (F.col(key) == F.col("_k")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e")), "left_anti")
-    return grams
+class Grams:
+    """The n-grams of a text's words across sentences, without those of stop words only."""
+
+    WORD = regex.compile(r"[\p{L}\p{N}_\p{M}]+(?:['’][\p{L}\p{N}_\p{M}]+)*")
+    SOUND = regex.compile(r"[\p{L}\p{N}]")
+
+    def __init__(self, body: str, size: int):
+        spans_ = [m.span() for m in self.WORD.finditer(body)]
+        words = [body[a:b].lower() for a, b in spans_]
+        if not all(map(str.isalnum, words)):  # underscores and marks alone are punctuation
+            kept = [i for i, w in enumerate(words) if self.SOUND.search(w)]
+            spans_, words = [spans_[i] for i in kept], [words[i] for i in kept]
+        self.size, self.spans = size, spans_
+        phrases = list(map(" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+        stops = [w in STOPS for w in words]
+        self.phrases = [(i, p) for i, p in enumerate(phrases) if not (stops[i] and all(stops[i : i + size]))]
+
+    def span(self, i: int) -> tuple[int, int]:
+        return self.spans[i][0], self.spans[i + self.size - 1][1]
+
+    def often(self, least: int, taken: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
+        """(start, end, phrase) of what occurs ``least`` times or more, without what touches a taken span."""
+        many = {p for p, n in Counter(p for _, p in self.phrases).items() if n >= least}
+        rows = [(*self.span(i), p) for i, p in self.phrases if p in many]
+        if taken and rows:
+            rows = [r for r in rows if not any(a < r[1] and r[0] < b for a, b in taken)]
+            many = {p for p, n in Counter(p for *_, p in rows).items() if n >= least}
+            rows = [r for r in rows if r[2] in many]
+        return rows
+
+
+STOPS = frozenset(text.STOP_WORDS)
+
+
+def ngrams(docs: DataFrame, size: int, least: int, key: str, body: str) -> DataFrame:
+    """(key, phrase, start, end): the n-grams that occur ``least`` times or more in their document. Counted inside the document: no shuffle."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return per_text(texts, lambda t: Grams(t, size).often(least), start=pa.int32(), end=pa.int32(), phrase=pa.string())
+
+    return docs.select(key, F.inline(F.arrow_udf(run, "array<struct<start:int,end:int,phrase:string>>")(F.col(body))))
 
 
 def _repetition(docs: DataFrame, c: Category, key: str, body: str, found: DataFrame | None) -> DataFrame:
     """Phrases that occur often enough; from left to right, what overlaps the last one kept is skipped, whatever its phrase."""
-    grams = ngrams(docs, c.ngram_size, key, body, found)
-    often = grams.withColumn("n", F.count("*").over(Window.partitionBy(key, "phrase"))).where(F.col("n") >= c.min_repeats)
-    rows = often.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "sentence_id"))).alias("all"))
-    kind = "array<struct<start:int,end:int,sentence_id:int>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.struct(x["end"].alias("last"), F.array_append(acc["out"], x).alias("out"))
-        return F.when(x["start"] < acc["last"], acc).otherwise(new)
 
-    kept = F.aggregate(F.col("all").cast(kind), F.struct(F.lit(-1).alias("last"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    return rows.select(key, F.inline(kept)).withColumn("rule", F.lit("repetition"))
+    def kept(t: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        out, last, starts = [], -1, None
+        for a, b, _ in Grams(t, c.ngram_size).often(c.min_repeats, taken):
+            if a >= last:
+                starts = starts if starts is not None else [s for s, _ in sentence_spans(t)]
+                out.append((a, b, bisect_right(starts, a) - 1))
+                last = b
+        return out
+
+    def run(texts: pa.Array, spans_: pa.Array) -> pa.Array:
+        at = iter(spans_.to_pylist())
+        return per_text(texts, lambda t: kept(t, [(x["a"], x["b"]) for x in next(at) or ()]), start=pa.int32(), end=pa.int32(), sentence_id=pa.int32())
+
+    rows = docs.where(F.col(body).isNotNull()).select(key, F.col(body).alias("_text"))
+    none = F.lit(None).cast("array<struct<a:int,b:int>>")
+    if found is None:
+        rows = rows.withColumn("_taken", none)
+    else:
+        taken = found.groupBy(key).agg(F.collect_list(F.struct(F.col("start_char").cast("int").alias("a"), F.col("end_char").cast("int").alias("b"))).alias("_taken"))
+        rows = rows.join(taken, key, "left")
+    spans_ = F.arrow_udf(run, "array<struct<start:int,end:int,sentence_id:int>>")("_text", "_taken")
+    return rows.select(key, F.inline(spans_)).withColumn("rule", F.lit("repetition"))
 
 
 def _entity_blame(docs: DataFrame, c: Category, key: str, body: str, found: DataFrame) -> DataFrame:

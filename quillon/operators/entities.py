@@ -54,6 +54,11 @@ def entity_array(sentence: Column) -> Column:
     return F.filter(F.transform(runs, labelled), lambda e: e["label"].isNotNull())
 
 
+def none(spark, key: str = "document_id") -> DataFrame:
+    """No entities, where a caller has none or wants none extracted."""
+    return spark.createDataFrame([], f"{key} long, text string, label string, start_char int, end_char int, sentence_id int")
+
+
 def entities(docs: DataFrame, key: str = "document_id", body: str = "text", labels=LABELS) -> DataFrame:
     """(key, text, label, start_char, end_char, sentence_id). Any other extractor with these columns can take its place."""
     s = sentences(docs, key, body)

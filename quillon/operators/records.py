@@ -67,10 +67,10 @@ def evidence_mismatches(found: DataFrame, docs: DataFrame, key: str = "document_
     return found.withColumnRenamed("text", "quote").join(docs.select(key, F.col(body).alias("_text")), key).where(F.substring(F.col("_text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) != F.col("quote"))
 
 
-def violations(records: DataFrame, categories: int) -> DataFrame:
-    """(document_id, problem): what the types can't promise."""
+def _rules(categories: int) -> dict[str, Column]:
+    """What the types can't promise: a problem's name, and when a record has it."""
     scores = F.map_values("category_scores")
-    tests: dict[str, Column] = {
+    return {
         "document_id isn't 64 hex digits": ~F.col("document_id").rlike("^[0-9a-f]{64}$"),
         "negative statistics": (F.col("stats.char_count") < 0) | (F.col("stats.word_count") < 0) | (F.col("stats.sentence_count") < 0),
         "a finding without extent": F.exists("findings", lambda f: (f["start_char"] < 0) | (f["end_char"] <= f["start_char"])),
@@ -79,14 +79,20 @@ def violations(records: DataFrame, categories: int) -> DataFrame:
         "categories missing": F.size("category_scores") != categories,
         "no source type": F.col("source.type").isNull(),
     }
-    problems = F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())))
+
+
+def violations(records: DataFrame, categories: int) -> DataFrame:
+    """(document_id, problem) of the records that break a rule."""
+    problems = F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in _rules(categories).items())))
     return records.select("document_id", F.explode(problems).alias("problem"))
 
 
 def validated(records: DataFrame, categories: int) -> DataFrame:
     """The same records; a job over them fails at the first one that breaks a rule."""
-    bad = (F.size("category_scores") != categories) | ~F.col("document_id").rlike("^[0-9a-f]{64}$")
-    return records.withColumn("document_id", F.when(bad, F.raise_error(F.concat(F.lit("record breaks the schema: "), "document_id")).cast("string")).otherwise(F.col("document_id")))
+    checked = F.lit(None).cast("string")
+    for name, broken in _rules(categories).items():
+        checked = F.when(broken, F.raise_error(F.concat(F.lit(f"record breaks the schema ({name}): "), "document_id")).cast("string")).otherwise(checked)
+    return records.withColumn("document_id", F.coalesce(checked, F.col("document_id")))
 
 
 def flat(records: DataFrame) -> DataFrame:

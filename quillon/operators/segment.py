@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions import text
 
+PIECES = "array<struct<start:int,text:string>>"
+_TOKEN = regex.compile(text.TOKEN.removeprefix("(?U)"))
+
 PARAGRAPH_GAP = r"\n[ \t]*\n\s*"
 #: A sentence ends at a full stop, question or exclamation mark, closers after it, and white space.
 BOUNDARY = r"""[.!?]["')]*\s+"""
@@ -16,50 +23,71 @@ MASK = "\ue000"  # a private character, as long as the stop whose place it takes
 ABBREVIATIONS = "Mr Mrs Ms Dr Prof Rev Hon St Sr Jr Gen Col Capt Lt Sgt Gov Sen Rep vs etc Inc Ltd Co Corp No Vol Fig approx cf al".split()
 
 
-def masked(t: Column) -> Column:
+_ABBREVIATED = re.compile(r"\b([A-Za-z]+)\.")
+_DOTTED = re.compile(r"\b(e\.g|i\.e|a\.m|p\.m)\.")
+_INITIAL = re.compile(r"\b([A-Z])\.")
+_SPEAKER = re.compile(r"""[.!?](["')]+\s+[a-z])""", re.ASCII)  # a quoted sentence, and the one around it goes on
+_DECIMAL = re.compile(r"([0-9])\.([0-9])")
+_GAP, _BOUNDARY = re.compile(PARAGRAPH_GAP, re.ASCII), re.compile(BOUNDARY, re.ASCII)
+_KNOWN = frozenset(ABBREVIATIONS)
+#: The characters with the Unicode property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def masked(t: str) -> str:
     """The same text, of the same length, without the stops that end no sentence."""
-    t = F.regexp_replace(t, rf"\b({'|'.join(ABBREVIATIONS)})\.", "$1" + MASK)
-    t = F.regexp_replace(t, r"\b(e\.g|i\.e|a\.m|p\.m)\.", "$1" + MASK)
-    t = F.regexp_replace(t, r"\b([A-Z])\.", "$1" + MASK)
-    return F.regexp_replace(t, r"(\d)\.(\d)", "$1" + MASK + "$2")
+    t = _ABBREVIATED.sub(lambda m: m[1] + (MASK if m[1] in _KNOWN else "."), t)
+    t = _DECIMAL.sub(rf"\1{MASK}\2", _INITIAL.sub(rf"\1{MASK}", _DOTTED.sub(rf"\1{MASK}", t)))
+    return _SPEAKER.sub(rf"{MASK}\1", t)
 
 
-def paragraphs(t: Column) -> Column:
-    """(start, text) of the blocks between blank lines, without empty ones."""
-    gaps = F.regexp_extract_all(t, F.lit(PARAGRAPH_GAP), F.lit(0))
-    return F.filter(_laid_out(F.split(t, PARAGRAPH_GAP, -1), gaps), lambda p: F.length(p["text"]) > 0)
+def paragraph_spans(t: str) -> list[tuple[int, int]]:
+    """(start, end) of the blocks between blank lines, without empty ones."""
+    cuts = [x for m in _GAP.finditer(t) for x in m.span()]
+    return [(a, b) for a, b in zip([0, *cuts[1::2]], [*cuts[::2], len(t)], strict=True) if a < b]
+
+
+def sentence_spans(t: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences, trimmed: each paragraph is cut where its masked text has a boundary."""
+    out = []
+    for start, stop in paragraph_spans(t):
+        own = t[start:stop]
+        ends = [m.end() for m in _BOUNDARY.finditer(masked(own))]
+        for a, b in zip([0, *ends], [*ends, len(own)], strict=True):
+            whole = own[a:b]
+            left = whole.lstrip(WHITE)
+            if left := left and (len(whole) - len(left), left.rstrip(WHITE)):
+                out.append((start + a + left[0], start + a + left[0] + len(left[1])))
+    return out
+
 
+def per_text(texts: pa.Array, found: Callable[[str], list[tuple]], **fields: pa.DataType) -> pa.Array:
+    """An array of structs for each text of a batch, null for a null."""
+    sizes, rows = [0], []
+    for t in texts.to_pylist():
+        if t is not None:
+            rows += found(t)
+        sizes.append(len(rows))
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(columns, fields.values(), strict=True)], list(fields))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values, mask=texts.is_null() if texts.null_count else None)
 
-def _laid_out(pieces: Column, gaps: Column) -> Column:
-    """Pieces with their starts, when a gap stands between each two."""
-    pairs = F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("gap")))
-    kind = "array<struct<start:int,text:string>>"
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x["p"]) + x["gap"]).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), x["p"].alias("text"))).alias("out")),
-        lambda acc: acc["out"],
-    )
 
+def _sliced(spans: Callable[[str], list[tuple[int, int]]]):
+    def run(texts: pa.Array) -> pa.Array:
+        return per_text(texts, lambda t: [(a, t[a:b]) for a, b in spans(t)], start=pa.int32(), text=pa.string())
 
-def _sentences(p: Column) -> Column:
-    """The sentences of one paragraph (start, text), trimmed: cut at boundaries of the masked text, taken from the text itself."""
-    mask = masked(p["text"])
-    ends = F.regexp_extract_all(mask, F.lit(BOUNDARY), F.lit(0))
-    cuts = F.zip_with(F.split(mask, BOUNDARY, -1), ends, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    laid = _laid_out(cuts, F.array().cast("array<string>"))
+    return run
 
-    def trimmed(s: Column) -> Column:
-        own = F.substring(p["text"], s["start"] + 1, F.length(s["text"]))
-        left = F.regexp_replace(own, r"(?U)^\s+", "")
-        start = p["start"] + s["start"] + F.length(own) - F.length(left)
-        return F.struct(start.alias("start"), F.regexp_replace(left, r"(?U)\s+$", "").alias("text"))
 
-    return F.filter(F.transform(laid, trimmed), lambda s: F.length(s["text"]) > 0)
+def paragraphs(t: Column) -> Column:
+    """(start, text) of the blocks between blank lines, without empty ones."""
+    return F.arrow_udf(_sliced(paragraph_spans), PIECES)(t)
 
 
 def sentence_array(t: Column) -> Column:
-    return F.flatten(F.transform(paragraphs(t), _sentences))
+    """(start, text) of the sentences. One Arrow pass: built-in functions would cut every piece from the text several times."""
+    return F.arrow_udf(_sliced(sentence_spans), PIECES)(t)
 
 
 def sentences(docs: DataFrame, key: str = "document_id", body: str = "text") -> DataFrame:
@@ -68,13 +96,28 @@ def sentences(docs: DataFrame, key: str = "document_id", body: str = "text") ->
     return laid.select(key, "sentence_id", F.col("s.text").alias("text"), F.col("s.start").alias("start_char"), (F.col("s.start") + F.length("s.text")).alias("end_char"))
 
 
+def sentence_at(sentences: Column, position: Column) -> Column:
+    """The number of the sentence that holds a position in the text, -1 between sentences; sentences as of sentence_array."""
+    inside = F.transform(sentences, lambda s, i: F.when((s["start"] <= position) & (position < s["start"] + F.length(s["text"])), i))
+    return F.coalesce(F.array_max(inside), F.lit(-1))
+
+
+def _tokens(t: str) -> list[tuple[int, int, str, int]]:
+    out = []
+    for number, (a, b) in enumerate(sentence_spans(t)):
+        out += [(number, pos, m[0], m.start()) for pos, m in enumerate(_TOKEN.finditer(t, a, b))]
+    return out
+
+
+def _token_arrays(texts: pa.Array) -> pa.Array:
+    return per_text(texts, _tokens, sentence_id=pa.int32(), pos=pa.int32(), text=pa.string(), idx=pa.int32())
+
+
 def tokens(docs: DataFrame, key: str = "document_id", body: str = "text") -> DataFrame:
-    """(key, sentence_id, pos, text, lower, idx, is_stop, is_punct); pos counts inside the sentence, idx is the offset in the text."""
-    own = sentences(docs, key, body)
-    found, gaps = F.regexp_extract_all("text", F.lit(text.TOKEN), F.lit(0)), F.split("text", text.TOKEN, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("text"), F.length(g).alias("gap")))
-    laid = own.select(key, "sentence_id", "start_char", F.posexplode(pairs).alias("pos", "t")).repartition(key)  # later windows by document need no other exchange
-    order = Window.partitionBy(key, "sentence_id").orderBy("pos")  # a running sum, as a fold would copy its array with every token
-    idx = (F.col("start_char") + F.sum(F.col("t.gap") + F.length("t.text")).over(order) - F.length("t.text")).cast("int")
-    lower = F.lower("t.text")
-    return laid.select(key, "sentence_id", "pos", F.col("t.text").alias("text"), lower.alias("lower"), idx.alias("idx"), text.is_stop(lower).alias("is_stop"), text.is_punct(F.col("t.text")).alias("is_punct"))
+    """(key, sentence_id, pos, text, lower, idx, is_stop, is_punct, lemma); pos counts inside the sentence, idx is the offset in the text.
+
+    The lemma is the word in lower case; a lemmatiser can replace the column. No shuffle.
+    """
+    found = F.arrow_udf(_token_arrays, "array<struct<sentence_id:int,pos:int,text:string,idx:int>>")(F.col(body))
+    laid = docs.select(key, F.inline(found)).withColumn("lower", F.lower("text"))
+    return laid.select(key, "sentence_id", "pos", "text", "lower", "idx", text.is_stop(F.col("lower")).alias("is_stop"), text.is_punct(F.col("text")).alias("is_punct"), F.col("lower").alias("lemma"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.errors import ExtractionError, InvalidInputError, NoTextFoundError, UnsupportedFileTypeError
+from quillon.errors import ExtractionError, IngestionError, InvalidInputError, NoTextFoundError, UnsupportedFileTypeError
 from quillon.functions import text as tx
 
 #: Extension to source type.
@@ -279,7 +279,13 @@ def route(spark: SparkSession, payload: object) -> DataFrame:
     if isinstance(payload, Path) or isinstance(payload, str) and len(payload) < 260 and "\n" not in payload and Path(payload).is_file():
         if Path(payload).suffix.lower() not in EXTENSIONS:
             raise UnsupportedFileTypeError(str(payload))
-        return read_files(spark, str(payload)).where("error is null").select("text", "source_type", "title")
+        if not Path(payload).is_file():
+            raise InvalidInputError(f"no file {payload}")
+        row = read_files(spark, str(payload)).first()
+        if row is None or row["error"] is not None:
+            known = {x.__name__: x for x in (NoTextFoundError, UnsupportedFileTypeError, ExtractionError)}
+            raise known.get(row["error_type"] if row else "", ExtractionError)(row["error"] if row else f"no file {payload}")
+        return spark.createDataFrame([(row["text"], row["source_type"], row["title"])], "text string, source_type string, title string")
     if isinstance(payload, bytes):
         payload = payload.decode("utf-8", "replace")
     if isinstance(payload, str):

@@ -41,6 +41,11 @@ def parquet(records: DataFrame, path: str, append: bool = False, compression: st
     flat(records).write.mode("append" if append else "overwrite").option("compression", compression).parquet(path)
 
 
+def failures(failed: DataFrame, path: str, append: bool = False) -> None:
+    """The dead letters as lines of JSON: file, error_type, error."""
+    failed.write.mode("append" if append else "overwrite").json(path)
+
+
 SINKS: dict[str, Callable[..., None]] = {"jsonl": jsonl, "json": json_files, "parquet": parquet}
 
 
