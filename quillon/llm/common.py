@@ -3,9 +3,10 @@
 The exchange is how an operator learns a fact about a key (is it repeated, how often does it occur) from the whole corpus
 without one row per occurrence and without a hot key:
 
-* documents are dealt to *blocks* by a hash of their id, a few MiB of text each, compressed (``pack``);
+* documents are dealt to *blocks* by a hash of their id, some MiB of text each, compressed (``pack``);
 * a block sends each of its distinct keys once, sorted and delta-coded, in one blob per *bucket* of keys (``to_buckets``);
-* a bucket merges the sorted keys of all blocks and answers each block in the order in which it asked (``answers``).
+* a bucket merges the sorted keys of all blocks and answers each block in the order in which it asked (``answers``); there are as many
+  buckets as blocks up to FEW_BLOCKS, and a sixteenth as many in the end (``bucket_count``).
 
 A key that occurs in every document costs one entry per block, so no bucket and no task grows with the frequency of a key.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import inspect
 import os
 import tempfile
 import uuid
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BLOB_SCHEMA = "bucket int, block int, kind int, data binary"
 REPLY_SCHEMA = "block int, bucket int, kind int, data binary"
 U64 = np.uint64
@@ -105,6 +107,29 @@ def give_back() -> None:
         _trim(0)
 
 
+def tidy(f: Callable) -> Callable:
+    """f, a function of one or two tables or a generator over batches, giving memory back when its own variables are gone."""
+    if inspect.isgeneratorfunction(f):
+
+        def batches(a):
+            yield from f(a)
+            give_back()
+
+        return batches
+
+    def one(a):
+        out = f(a)
+        give_back()
+        return out
+
+    def two(a, b):
+        out = f(a, b)
+        give_back()
+        return out
+
+    return one if len(inspect.signature(f).parameters) == 1 else two  # Spark counts parameters
+
+
 # ---------------------------------------------------------------- arrays in blobs
 
 _zip = zstandard.ZstdCompressor(level=1)
@@ -293,7 +318,7 @@ def pack(docs: DataFrame, block: Column, n: int, **columns: Column) -> DataFrame
     """Rows (block, data): the named columns of docs, compressed, dealt to n partitions by block."""
     small_batches(docs.sparkSession)
     dealt = docs.select(block.alias("block"), *(c.alias(k) for k, c in columns.items()))
-    return dealt.mapInArrow(_deal, "block int, data binary").repartition(n, "block")
+    return dealt.mapInArrow(tidy(_deal), "block int, data binary").repartition(n, "block")
 
 
 def unpack(table: pa.Table) -> pa.Table:
@@ -321,12 +346,24 @@ def unique_keys(k1: np.ndarray, k2: np.ndarray | None = None) -> tuple[np.ndarra
     return order[at], inverse, np.diff(at, append=len(a))
 
 
-def _slices(keys: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted((keys >> U64(32)) * U64(n) >> U64(32), np.arange(n + 1, dtype=U64))
+FEW_BLOCKS, BUCKET_BLOCKS = 256, 16
+
+
+def bucket_count(blocks: int) -> int:
+    """As many buckets as blocks where these are few; else one for the keys of up to BUCKET_BLOCKS blocks, which it takes slice by slice.
+
+    Blobs are as many as blocks times buckets, so larger buckets keep them large for longer.
+    """
+    return max(min(blocks, FEW_BLOCKS), -(-blocks // BUCKET_BLOCKS))
+
+
+def _slices(keys: np.ndarray, n: int, first: int = 0, many: int | None = None) -> np.ndarray:
+    """Where sorted keys pass from one of n equal ranges to the next, for ``many`` ranges from the ``first``."""
+    return np.searchsorted((keys >> U64(32)) * U64(n) >> U64(32), np.arange(first, first + (n if many is None else many) + 1, dtype=U64))
 
 
 def to_buckets(rows: list[tuple], n: int, block: int, kind: int, keys: np.ndarray, *columns: np.ndarray) -> None:
-    """Append the rows (bucket, block, kind, data) of a block's sorted keys to rows."""
+    """Append the rows (bucket, block, kind, data) of a block's sorted keys to rows; n: bucket_count() of the blocks."""
     cuts = _slices(keys, n)
     for b in range(n):
         if cuts[b] < cuts[b + 1]:
@@ -344,28 +381,38 @@ def reply_table(rows: list[tuple]) -> pa.Table:
     return pa.table({k: pa.array(c, t) for k, c, t in zip(("block", "bucket", "kind", "data"), columns, (pa.int32(),) * 3 + (pa.binary(),), strict=True)})
 
 
-def answers(blobs: DataFrame, n: int, merge: Callable[[int, list[np.ndarray]], tuple[list[np.ndarray], list[tuple]]]) -> DataFrame:
+def answers(blobs: DataFrame, blocks: int, merge: Callable[[int, list[np.ndarray]], tuple[list[np.ndarray], list[tuple]]]) -> DataFrame:
     """For each bucket and kind, merge(kind, [keys, columns...]) -> (arrays in the order of the keys, more reply rows).
 
-    The keys of all blocks stand one block after the other; the arrays go back cut at the same places.
+    The keys of all blocks stand one block after the other; the arrays go back cut at the same places. A bucket of many blocks'
+    keys is merged in slices of its range, each about a block's keys.
     """
+    n = bucket_count(blocks)
+    slices = -(-blocks // n)
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         out: list[tuple] = []
         kinds = table["kind"].to_numpy()
         for kind in np.unique(kinds).tolist():
             asked = table.filter(pa.array(kinds == kind)).sort_by("block")  # the same order whenever the task runs again
-            bucket, blocks = asked["bucket"][0].as_py(), asked["block"].to_pylist()
+            bucket, askers = asked["bucket"][0].as_py(), asked["block"].to_pylist()
             parts = [unpack_arrays(x) for x in asked["data"].to_pylist()]
             for p in parts:
                 p[0] = np.cumsum(p[0], dtype=U64)
-            cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
-            arrays, more = merge(kind, [np.concatenate(c) for c in zip(*parts, strict=True)])
-            out += [(block, bucket, kind, pack_arrays(*(a[i:j] for a in arrays))) for block, i, j in zip(blocks, cuts[:-1], cuts[1:], strict=True)]
-            out += more
+            places = [_slices(p[0], n * slices, bucket * slices, slices) for p in parts]
+            found: list[list[list[np.ndarray]]] = [[] for _ in parts]
+            for s in range(slices):
+                own = [[c[at[s] : at[s + 1]] for c in p] for p, at in zip(parts, places, strict=True)]
+                cuts = np.cumsum([0, *(len(p[0]) for p in own)])
+                arrays, more = merge(kind, [np.concatenate(c) for c in zip(*own, strict=True)])
+                out += more
+                for f, i, j in zip(found, cuts[:-1], cuts[1:], strict=True):
+                    f.append([a[i:j] for a in arrays])
+            out += [(block, bucket, kind, pack_arrays(*(np.concatenate(c) for c in zip(*f, strict=True)))) for block, f in zip(askers, found, strict=True)]
         return reply_table(out)
 
-    return blobs.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, REPLY_SCHEMA)
+    return blobs.repartition(n, "bucket").groupBy("bucket").applyInArrow(tidy(run), REPLY_SCHEMA)
 
 
 def reply_arrays(table: pa.Table, kind: int) -> list[np.ndarray]:

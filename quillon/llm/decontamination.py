@@ -167,7 +167,7 @@ def find_passages(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"))
     rows = rows.selectExpr("*", "cast(array() as array<struct<start:long,end:long>>) hits", f"cast(array() as array<{kind}>) items")
     for s in range(shards.count):
-        rows = rows.mapInArrow(_searcher(shards.tables(s), s == shards.count - 1), schema)
+        rows = rows.mapInArrow(c.tidy(_searcher(shards.tables(s), s == shards.count - 1)), schema)
     return rows.select(F.col("id").alias(id_col), "n_words", "hits", "items")
 
 
@@ -208,5 +208,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         return run
 
     for s in range(shards.count):
-        docs = docs.mapInArrow(keeper(shards.tables(s)), docs.schema)
+        docs = docs.mapInArrow(c.tidy(keeper(shards.tables(s))), docs.schema)
     return docs

@@ -163,13 +163,14 @@ def row_key(id_col: str, text_col: str) -> Column:
 def sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """node, id, n, d1, d2 (digest) of every row; for the first of each distinct set also the signatures it shares, sketches and items."""
     n = c.block_count(docs, text_col)
+    buckets = c.bucket_count(n)
     row = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
     dealt = c.pack(docs, c.block_of(row, n), n, id=F.col(id_col), text=F.col(text_col).cast("binary"), key=row_key(id_col, text_col)).groupBy("block")
 
     def send_digests(table: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         _, (k1, k2) = _Block(table, width).distinct()
-        c.to_buckets(rows, n, table["block"][0].as_py(), DIGESTS, k1, k2)
+        c.to_buckets(rows, buckets, table["block"][0].as_py(), DIGESTS, k1, k2)
         return c.blob_table(rows)
 
     def send_signatures(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -177,7 +178,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
         if table.num_rows:
             keys = _Block(table, width).owned(replies, percent)[2]
             first, _, times = c.unique_keys(keys)
-            c.to_buckets(rows, n, table["block"][0].as_py(), SIGNATURES, keys[first], np.minimum(times, 2).astype(np.uint8))
+            c.to_buckets(rows, buckets, table["block"][0].as_py(), SIGNATURES, keys[first], np.minimum(times, 2).astype(np.uint8))
         return c.blob_table(rows)
 
     def describe(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -204,10 +205,10 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int)
         arrays = [pa.array(node), own.docs["id"], own.docs["key"], pa.array(own.size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in own.digests), pa.array(rep), pa.array(shared[0], pa.list_(pa.int64())), pa.array(shared[1], pa.list_(pa.bool_())), *(pa.array(x, pa.binary()) for x in bodies)]
         return pa.table(arrays, ["node", "id", "key", "n", "d1", "d2", "rep", "shared", "next", "own_sketch", "next_sketch", "body"])
 
-    owners = c.answers(dealt.applyInArrow(send_digests, c.BLOB_SCHEMA), n, _owner)
-    met = c.answers(dealt.cogroup(owners.groupBy("block")).applyInArrow(send_signatures, c.BLOB_SCHEMA), n, c.repeated)
+    owners = c.answers(dealt.applyInArrow(c.tidy(send_digests), c.BLOB_SCHEMA), n, _owner)
+    met = c.answers(dealt.cogroup(owners.groupBy("block")).applyInArrow(c.tidy(send_signatures), c.BLOB_SCHEMA), n, c.repeated)
     schema = f"node long, id {dict(docs.dtypes)[id_col]}, key long, n long, d1 long, d2 long, rep boolean, shared array<long>, next array<boolean>, own_sketch binary, next_sketch binary, body binary"
-    return dealt.cogroup(owners.unionByName(met).groupBy("block")).applyInArrow(describe, schema)
+    return dealt.cogroup(owners.unionByName(met).groupBy("block")).applyInArrow(c.tidy(describe), schema)
 
 
 FEW = 1_000_000  # so many ids, 8 MB, are broadcast at most
@@ -230,7 +231,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "n", "next",
         F.when(F.col("next"), F.col("next_x")).otherwise(F.col("own_x")).alias("x"), F.when(F.col("other_next"), F.col("next_y")).otherwise(F.col("own_y")).alias("y"),
     )
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(c.tidy(run), "a long, b long").distinct()
 
 
 def _named(bodies: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -254,7 +255,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 
     a, b = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     fit = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    return pairs.join(a, "a").join(b, "b").where(fit).select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").where(fit).select("a", "b", "body_a", "body_b").mapInArrow(c.tidy(run), "a long, b long")
 
 
 BLOB = 256  # sets that stand together in one row
@@ -343,7 +344,7 @@ def _candidates(open_groups: DataFrame, sketches: DataFrame, percent: int) -> Da
             found = _near(batch["x"], batch["y"], percent)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return every.mapInArrow(run, "a long, b long").distinct()
+    return every.mapInArrow(c.tidy(run), "a long, b long").distinct()
 
 
 def _rest(edges: DataFrame, roots: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
@@ -373,7 +374,7 @@ def _rest(edges: DataFrame, roots: DataFrame, bodies: DataFrame, percent: int) -
             for k in range(batch.num_rows):
                 yield _links(batch["x"][k].as_py(), batch["y"][k].as_py(), percent)
 
-    return left.join(right, ["crowd", "to_main", "to"]).select("x", "y").mapInArrow(run, "a long, b long")
+    return left.join(right, ["crowd", "to_main", "to"]).select("x", "y").mapInArrow(c.tidy(run), "a long, b long")
 
 
 def _items(sets: list[dict]) -> tuple[np.ndarray, np.ndarray]:

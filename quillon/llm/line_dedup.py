@@ -165,7 +165,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         longs = pa.list_(pa.int64())
         return pa.table([pa.array(own.nodes()), own.docs["id"], pa.array(hashes, longs), pa.array(words, pa.list_(pa.int32())), pa.array(keys, longs)], ["node", "id", "hashes", "words", "keys"])
 
-    base = c.saved(dealt.applyInArrow(describe, f"node long, id {kind}, hashes array<long>, words array<int>, keys array<long>"), "lines")
+    base = c.saved(dealt.applyInArrow(c.tidy(describe), f"node long, id {kind}, hashes array<long>, words array<int>, keys array<long>"), "lines")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "node").alias("rank")
     lines = base.select("node", rank, F.explode(F.array_distinct(F.arrays_zip("hashes", "words"))).alias("line"))
     lines = lines.select("node", "rank", F.col("line.hashes").alias("h"), F.col("line.words").alias("n_words")).where("h <> 0")
@@ -181,7 +181,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(gone, pa.list_(pa.int64()))], ["node", "gone"])
 
     pairs = pairs.join(base.select(F.col("node").alias("first"), F.col("hashes").alias("a")), "first").join(base.select("node", F.col("hashes").alias("b"), "words"), "node")
-    by_pair = pairs.select("node", "a", "b", "words").mapInArrow(aligned, "node long, gone array<long>").select("node", F.explode("gone").alias("place"))
+    by_pair = pairs.select("node", "a", "b", "words").mapInArrow(c.tidy(aligned), "node long, gone array<long>").select("node", F.explode("gone").alias("place"))
     gone = by_pair.withColumn("key", F.lit(None).cast("long"))
     if blocks:
         named = base.select("node", rank, F.explode("keys").alias("key"))
@@ -211,5 +211,5 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     types = dict(docs.dtypes)
     schema = ", ".join([f"id {kind}, n_lines long, removed array<long>, text string", *(f"carry{i} {types[x]}" for i, x in enumerate(carry))])
-    out = dealt.cogroup(gone.groupBy("block")).applyInArrow(remove, schema)
+    out = dealt.cogroup(gone.groupBy("block")).applyInArrow(c.tidy(remove), schema)
     return out.select(F.col("id").alias(id_col), "n_lines", "removed", F.col("text").alias(text_col), *(F.col(f"carry{i}").alias(x) for i, x in enumerate(carry)))

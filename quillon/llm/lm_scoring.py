@@ -151,6 +151,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n = c.block_count(docs, text_col)
     held_blocks = max(1, n // held_share)
     total = n + held_blocks
+    buckets = c.bucket_count(total)
     train = F.coalesce(train, F.lit(True))
     row = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))
     held = train & (F.pmod(F.xxhash64(row, F.lit("held")), F.lit(held_share)) == 0)
@@ -163,7 +164,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         rows: list[tuple] = []
         for k, (_, keys, _) in enumerate(own.grams, 1):
             times = own.times(k).astype(np.uint32)
-            c.to_buckets(rows, total, number, k, keys, times, times * np.uint32(number >= n))
+            c.to_buckets(rows, buckets, number, k, keys, times, times * np.uint32(number >= n))
         return c.blob_table(rows)
 
     def send_longer(k: int):
@@ -171,7 +172,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             own, number = _Block(table, k), table["block"][0].as_py()
             rows: list[tuple] = []
             asked, times = own.asked(answers, k, number >= n), own.times(k).astype(np.uint32)
-            c.to_buckets(rows, total, number, k, own.grams[k - 1][1][asked], times[asked], times[asked] * np.uint32(number >= n))
+            c.to_buckets(rows, buckets, number, k, own.grams[k - 1][1][asked], times[asked], times[asked] * np.uint32(number >= n))
             return c.blob_table(rows)
 
         return run
@@ -188,10 +189,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         narrow = [x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x for x in sums]
         return [*(x[inverse] for x in narrow), (blocks > 1).astype(np.uint8)[inverse]], more
 
-    replies = c.saved(c.answers(dealt.groupBy("block").applyInArrow(send, c.BLOB_SCHEMA), total, merge), "counts")
+    replies = c.saved(c.answers(dealt.groupBy("block").applyInArrow(c.tidy(send), c.BLOB_SCHEMA), total, merge), "counts")
     for k in range(ASKED + 1, order + 1):
         met = replies.where(F.col("block") >= 0).groupBy("block")
-        longer = dealt.groupBy("block").cogroup(met).applyInArrow(send_longer(k), c.BLOB_SCHEMA)
+        longer = dealt.groupBy("block").cogroup(met).applyInArrow(c.tidy(send_longer(k)), c.BLOB_SCHEMA)
         replies = replies.unionByName(c.saved(c.answers(longer, total, merge), f"counts{k}"))
 
     def read_sums(batches):
@@ -199,7 +200,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             got = np.array([c.unpack_arrays(x)[0] for x in b["data"].to_pylist()], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(4)], ["tokens", "types", "kept_tokens", "kept_types"])
 
-    sums = replies.where(F.col("kind") == SUMS).select("data").mapInArrow(read_sums, "tokens long, types long, kept_tokens long, kept_types long")
+    sums = replies.where(F.col("kind") == SUMS).select("data").mapInArrow(c.tidy(read_sums), "tokens long, types long, kept_tokens long, kept_types long")
     tokens, types, kept_tokens, kept_types = (int(x or 0) for x in sums.groupBy().sum().first())
 
     def histogram(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -213,7 +214,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         return pa.table([cells, times], ["cell", "times"])
 
     cells = c.pack(docs.where(held), block, total, **columns).groupBy("block").cogroup(replies.where(F.col("block") >= n).groupBy("block"))
-    cells = cells.applyInArrow(histogram, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
+    cells = cells.applyInArrow(c.tidy(histogram), "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
     found = cells.toPandas()
     weights = _fit(found["cell"].to_numpy(np.int64), found["times"].to_numpy(float), order, kept_types)
 
@@ -230,4 +231,4 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     schema = f"id {dict(docs.dtypes)[id_col]}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     asked = replies.where(F.col("block") >= 0)
-    return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(scores, schema).withColumnRenamed("id", id_col)
+    return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(c.tidy(scores), schema).withColumnRenamed("id", id_col)

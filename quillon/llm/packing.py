@@ -189,7 +189,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids_crc32", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(c.tidy(run), f"id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

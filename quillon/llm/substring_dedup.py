@@ -70,6 +70,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The text is shuffled once, compressed: all three steps read the same exchange.
     """
     n = c.block_count(docs, text_col)
+    buckets = c.bucket_count(n)
     id_type = dict(docs.dtypes)[id_col]
     row = F.struct(F.col(id_col), F.xxhash64(F.col(text_col)))  # repeated ids with other texts need not meet
     dealt = c.pack(docs, c.block_of(row, n), n, id=F.col(id_col), text=F.col(text_col).cast("binary"))
@@ -77,7 +78,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def send_anchors(table: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         keys, _, times = _Block(c.unpack(table), window).anchors()
-        c.to_buckets(rows, n, table["block"][0].as_py(), 0, keys, np.minimum(times, 2).astype(np.uint8))
+        c.to_buckets(rows, buckets, table["block"][0].as_py(), 0, keys, np.minimum(times, 2).astype(np.uint8))
         return c.blob_table(rows)
 
     def send_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -85,7 +86,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if table.num_rows:
             _, k1, k2 = _Block(c.unpack(table), window).candidates(replies)
             first, _, times = c.unique_keys(k1, k2)
-            c.to_buckets(rows, n, table["block"][0].as_py(), 1, k1[first], k2[first], np.minimum(times, 2).astype(np.uint8))
+            c.to_buckets(rows, buckets, table["block"][0].as_py(), 1, k1[first], k2[first], np.minimum(times, 2).astype(np.uint8))
         return c.blob_table(rows)
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -112,8 +113,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table([block.docs["id"], pa.array(block.words.sizes), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "removed", "kept_text"])
 
     by_block = dealt.groupBy("block")
-    anchors = c.answers(by_block.applyInArrow(send_anchors, c.BLOB_SCHEMA), n, c.repeated)
-    windows = c.answers(by_block.cogroup(anchors.groupBy("block")).applyInArrow(send_windows, c.BLOB_SCHEMA), n, c.repeated)
+    anchors = c.answers(by_block.applyInArrow(c.tidy(send_anchors), c.BLOB_SCHEMA), n, c.repeated)
+    windows = c.answers(by_block.cogroup(anchors.groupBy("block")).applyInArrow(c.tidy(send_windows), c.BLOB_SCHEMA), n, c.repeated)
     both = anchors.unionByName(windows)
-    out = by_block.cogroup(both.groupBy("block")).applyInArrow(remove, OUT.format(id="id", type=id_type))
+    out = by_block.cogroup(both.groupBy("block")).applyInArrow(c.tidy(remove), OUT.format(id="id", type=id_type))
     return out.withColumnRenamed("id", id_col)

@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([own.score(t) for t in texts], pa.float64()), pa.array(sizes, pa.int64())], ["id", "score", "n_windows"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double, n_windows long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(c.tidy(run), f"id {dict(docs.dtypes)[id_col]}, score double, n_windows long").withColumnRenamed("id", id_col)
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -169,4 +169,4 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
         for batch in c.chunks(batches, text_col, 4 << 20):
             yield batch.filter(pa.array([own.score((t or "").encode()) < threshold for t in batch[text_col].to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(c.tidy(run), docs.schema)

@@ -76,7 +76,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
             made = [gzip_member(record(*(x.as_py() for x in row))) for row in zip(*(batch[k] for k in ("id", "uri", "payload", "refers_to")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
-    made = rows.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
+    made = rows.mapInArrow(c.tidy(members), "value binary").select(F.col("value").cast("string").alias("value"))  # the bytes as they are
     made.write.option("encoding", "ISO-8859-1").option("lineSep", RECORD_END.decode("latin-1")).text(path)
 
 
@@ -209,7 +209,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     c.small_batches(spark)
     pieces = spark.read.options(**RAW).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).schema("value string").text(path)
     pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
-    found = c.saved(pieces.mapInArrow(_records(payload), f"state int, file string, start long, at long, held binary, {FIELDS}"), "warc")
+    found = c.saved(pieces.mapInArrow(c.tidy(_records(payload)), f"state int, file string, start long, at long, held binary, {FIELDS}"), "warc")
 
     def joined(table: pa.Table) -> pa.Table:
         rows, member, tried = [], None, []
@@ -239,5 +239,5 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                     member = None
         return pa.Table.from_batches([_batch(rows)]).select(NAMES[5:])
 
-    cut = found.where("state > 0").groupBy("file").applyInArrow(joined, FIELDS)
+    cut = found.where("state > 0").groupBy("file").applyInArrow(c.tidy(joined), FIELDS)
     return found.where("state = 0").select(NAMES[5:]).unionByName(cut)
