@@ -462,7 +462,7 @@ def manipulation(spark, sf_dir):
     return _composites(spark, sf_dir).select("doc_id", "manipulation_index")
 
 
-@query(f"WITH {_COUNTS} SELECT doc_id, round(sum(score) / 6, 6) AS article_score FROM s GROUP BY doc_id")
+@query(f"WITH {_COUNTS} SELECT doc_id, round_even(sum(score) / 6, 6) AS article_score FROM s GROUP BY doc_id")
 def article_score(spark, sf_dir):
     return _composites(spark, sf_dir).select("doc_id", "article_score")
 
@@ -475,7 +475,7 @@ def headline(spark, sf_dir):
 
 @query(f"""
 WITH {_COUNTS} SELECT doc_id, round({_PROP}, 6) AS prop_score, round({_FAMILY.format('fallacy')}, 6) AS fallacy_score, round({_FAMILY.format('bias')}, 6) AS bias_signal,
-  round(least({_ADDED}, 1), 6) AS additive_manipulation, {_BAND} AS band, {_ADDED} > 1 AS clipped, round({_INDEX}, 6) AS manipulation_index, round(sum(score) / 6, 6) AS article_score FROM s GROUP BY doc_id""")
+  round(least({_ADDED}, 1), 6) AS additive_manipulation, {_BAND} AS band, {_ADDED} > 1 AS clipped, round({_INDEX}, 6) AS manipulation_index, round_even(sum(score) / 6, 6) AS article_score FROM s GROUP BY doc_id""")
 def document_composites(spark, sf_dir):
     rows = _composites(spark, sf_dir)
     return rows.select("doc_id", "prop_score", "fallacy_score", "bias_signal", "additive_manipulation", "band", "clipped", "manipulation_index", "article_score")
