@@ -17,17 +17,22 @@ PLACES = "africa america argentina asia australia austria belgium berlin brazil
 BODIES = "agency association authority bank board bureau church club college commission committee company corp corporation council department foundation group hospital inc institute laboratory ltd ministry museum office parliament party press society trust union university".split()
 TITLES = "mr mrs ms dr prof professor judge president senator minister sir lord lady king queen captain general mayor".split()
 
-#: Word valences on the scale of -4 to 4.
-VALENCE = {
-    "admired": 2.0, "amazing": 2.8, "beautiful": 2.9, "best": 3.2, "brilliant": 2.8, "celebrated": 2.7, "excellent": 2.7, "fantastic": 2.6, "generous": 2.3, "good": 1.9, "great": 3.1, "happy": 2.7, "hero": 2.6,
-    "honest": 2.3, "hope": 1.9, "impressive": 2.3, "kind": 2.4, "love": 3.2, "loved": 2.9, "outstanding": 3.0, "perfect": 2.7, "praised": 2.2, "proud": 2.1, "remarkable": 2.1, "respected": 2.1, "success": 2.7, "superb": 3.1,
-    "support": 1.7, "trusted": 2.1, "win": 2.8, "wonderful": 2.7,
-    "abuse": -3.2, "angry": -2.3, "appalling": -2.5, "awful": -2.0, "bad": -2.5, "condemned": -2.2, "corrupt": -2.6, "criminal": -2.4, "crisis": -3.1, "criticised": -1.9, "criticized": -1.9, "cruel": -2.8, "dangerous": -2.1,
-    "dead": -3.3, "disastrous": -2.9, "disgraceful": -2.6, "dreadful": -2.4, "fail": -2.5, "failed": -2.3, "failure": -2.3, "fraud": -2.8, "hate": -2.7, "horrible": -2.5, "killed": -3.5, "liar": -2.5, "pathetic": -2.7, "poor": -2.1,
-    "scandal": -1.9, "shameful": -2.4, "terrible": -2.1, "threat": -2.4, "ugly": -2.3, "war": -2.9, "worst": -3.1, "worthless": -1.9, "wrong": -2.1, "stupid": -2.4, "idiot": -2.3, "disgusting": -2.4, "scum": -2.7, "trash": -1.8,
-}
+#: Words by how strongly they praise or blame, graded for this project: each grade has one value, from 3 (strong) to 1 (faint).
+PRAISE = {
+    3.0: "brilliant excellent magnificent marvellous outstanding perfect superb wonderful",
+    2.0: "admirable amazing beautiful best celebrated delightful fantastic great hero impressive love loved praised proud remarkable respected splendid success triumph",
+    1.0: "admired calm fair generous good happy helpful honest hope kind pleasant polite sound support trusted useful win",
+}
+BLAME = {
+    3.0: "appalling atrocious cruel disgusting dreadful horrible killed murderous scum vicious worst worthless",
+    2.0: "abuse awful bad condemned corrupt crisis dangerous dead disastrous disgraceful evil failure fraud hate liar pathetic scandal shameful stupid terrible ugly war",
+    1.0: "angry criminal criticised criticized doubtful fail failed idiot poor sad threat trash unfair weak wrong",
+}
+VALENCE = {w: v for v, words in PRAISE.items() for w in words.split()} | {w: -v for v, words in BLAME.items() for w in words.split()}
 NEGATIONS = "not no never none nobody nothing neither nor cannot can't don't doesn't didn't isn't wasn't won't wouldn't without hardly".split()
-BOOSTERS = {"very": 0.293, "extremely": 0.293, "really": 0.293, "so": 0.293, "absolutely": 0.293, "completely": 0.293, "slightly": -0.293, "somewhat": -0.293, "barely": -0.293}
+#: Fixed values of the published valence-aware formula (Hutto and Gilbert, 2014): what a booster adds, what a negation multiplies by, and the constant of the normalisation.
+BOOST, TURN, NORM = 0.293, -0.74, 15
+BOOSTERS = {**dict.fromkeys("absolutely completely extremely really so very".split(), BOOST), **dict.fromkeys("barely slightly somewhat".split(), -BOOST)}
 
 
 def _label(words: Column) -> Column:
@@ -77,12 +82,12 @@ def compound(sentence: Column) -> Column:
         v = F.try_element_at(valence, w)
         before = F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
         moved = v + F.signum(v) * F.when(i > 0, F.coalesce(F.try_element_at(boost, F.try_element_at(words, i)), F.lit(0.0))).otherwise(F.lit(0.0))
-        turned = F.when(F.exists(before, lambda b: b.isin(*NEGATIONS)) & (i > 0), moved * -0.74).otherwise(moved)
+        turned = F.when(F.exists(before, lambda b: b.isin(*NEGATIONS)) & (i > 0), moved * TURN).otherwise(moved)
         return F.coalesce(turned, F.lit(0.0))
 
     total = F.aggregate(F.transform(words, value), F.lit(0.0), lambda a, x: a + x)
     hit = F.exists(words, lambda w: F.map_contains_key(valence, w))
-    return F.when(hit, total / F.sqrt(total * total + 15)).otherwise(F.lit(0.0))
+    return F.when(hit, total / F.sqrt(total * total + NORM)).otherwise(F.lit(0.0))
 
 
 def sentence_sentiment(docs: DataFrame, key: str = "document_id", body: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from quillon import catalog
 from tests.oracle import compare
 
-DIR = "/root/testdata/sf0.001"
+DIR = "/root/testdata/sf0.01"
 #: The documents are invented prose: they may name no person, place or body.
 MAY_BE_EMPTY = {"card_stacking", "entities_gazetteer", "entity_sentiment"}
 
