@@ -342,7 +342,7 @@ t AS (SELECT id, sentence_id, target FROM (SELECT id, sentence_id, unnest(ws) AS
 SELECT id AS doc_id, target, count(*) AS mentions FROM t GROUP BY id, target HAVING count(DISTINCT sentence_id) >= 2""")
 def scapegoat(spark, sf_dir):
     """The entity_blame kind, over words that occur in the documents."""
-    f = detectors.findings(documents(spark, sf_dir), Taxonomy((_BLAME,), 0.8), "doc_id", found=entities.none(spark, "doc_id"))
+    f = detectors.findings(documents(spark, sf_dir), Taxonomy((_BLAME,), 0.8), "doc_id", found=False)
     return f.groupBy("doc_id", F.lower("text").alias("target")).agg(F.count("*").alias("mentions"))
 
 

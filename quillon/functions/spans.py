@@ -61,14 +61,14 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
-def shifted(spans: Column, by: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["text"].alias("text")))
+#: Stretches of 1 to 600 characters between double quotes, straight ones, then curly ones.
+QUOTED = ('"[^"]{1,600}"', "“[^”]{1,600}”")
 
 
 def quoted_regions(text: Column) -> Column:
     """(start, end) of stretches of 1 to 600 characters between double quotes, straight ones first, then curly ones."""
     bounds = lambda p: F.transform(matches(text, p), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.concat(bounds('"[^"]{1,600}"'), bounds("“[^”]{1,600}”"))
+    return F.concat(*(bounds(p) for p in QUOTED))
 
 
 def inside(regions: Column, start: Column, end: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions import spans, text
-from quillon.operators.segment import sentences
+from quillon.functions import text
+from quillon.operators.segment import per_text, sentence_spans
 
 LABELS = ("PERSON", "ORG", "NORP", "GPE")
 VERSION = "rules:1.0.0"
-CAPITALISED = r"(?U)\b\p{Lu}[\p{L}\p{N}&’'-]*(?:[ \t\r\n]+(?:of[ \t\r\n]+(?:the[ \t\r\n]+)?)?\p{Lu}[\p{L}\p{N}&’'-]*)*"
+CAPITALISED = regex.compile(r"\b\p{Lu}[\p{L}\p{N}&’'-]*(?:[ \t\r\n]+(?:of[ \t\r\n]+(?:the[ \t\r\n]+)?)?\p{Lu}[\p{L}\p{N}&’'-]*)*")
 NATIONS = "african american arab asian australian british buddhist canadian catholic chinese christian democrat dutch european french german greek hindu indian irish israeli italian japanese jewish korean mexican muslim palestinian polish protestant republican russian scottish spanish swedish syrian turkish ukrainian welsh".split()
 PEOPLES = [*NATIONS, *(f"{x}s" for x in NATIONS), "jews", "the french", "the british", "the dutch", "the irish"]
 PLACES = "africa america argentina asia australia austria belgium berlin brazil britain canada chicago china cuba denmark egypt england europe finland france germany greece india iran iraq ireland israel italy japan kenya london madrid mexico moscow nigeria norway pakistan paris poland portugal rome russia scotland spain sweden switzerland syria tokyo turkey ukraine wales washington".split()
@@ -35,71 +37,92 @@ BOOST, TURN, NORM = 0.293, -0.74, 15
 BOOSTERS = {**dict.fromkeys("absolutely completely extremely really so very".split(), BOOST), **dict.fromkeys("barely slightly somewhat".split(), -BOOST)}
 
 
-def _label(words: Column) -> Column:
-    """The label of a run of capitalised words, null if none; words in lower case."""
-    whole = F.array_join(words, " ")
-    single = F.array_join(F.filter(words, lambda w: w != "the"), " ")
-    return (
-        F.when(whole.isin(*PEOPLES) | single.isin(*PEOPLES), "NORP")
-        .when(single.isin(*PLACES), "GPE")
-        .when((F.size(words) > 1) & F.element_at(words, -1).isin(*BODIES), "ORG")
-        .when((F.size(words) > 1) & F.element_at(words, 1).isin(*TITLES), "PERSON")
-    )
+_PEOPLES, _PLACES, _BODIES, _TITLES, _NEGATIONS = map(frozenset, (PEOPLES, PLACES, BODIES, TITLES, NEGATIONS))
+_WORD = regex.compile(text.TOKEN.removeprefix("(?U)"))
+_SOUND = regex.compile(r"[\p{L}\p{N}]")
 
 
-def entity_array(sentence: Column) -> Column:
-    """(start, end, text, label) of a sentence's entities. Two or more capitalised words that don't open the sentence are a person."""
-    runs = spans.matches(sentence, CAPITALISED)
+def label(words: list[str], opens: bool) -> str | None:
+    """The label of a run of capitalised words, given in lower case; two or more that don't open the sentence are a person."""
+    whole, single = " ".join(words), " ".join(w for w in words if w != "the")
+    if whole in _PEOPLES or single in _PEOPLES:
+        return "NORP"
+    if single in _PLACES:
+        return "GPE"
+    if len(words) > 1 and words[-1] in _BODIES:
+        return "ORG"
+    return "PERSON" if len(words) > 1 and (words[0] in _TITLES or not opens) else None
 
-    def labelled(r: Column) -> Column:
-        words = F.split(F.lower(F.regexp_replace(r["text"], r"\s+", " ")), " ")
-        label = F.coalesce(_label(words), F.when((F.size(words) > 1) & (r["start"] > 0), "PERSON"))
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), r["text"].alias("text"), label.alias("label"))
 
-    return F.filter(F.transform(runs, labelled), lambda e: e["label"].isNotNull())
+def found(sentence: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, text, label) of a sentence's entities, from left to right."""
+    out = []
+    for m in CAPITALISED.finditer(sentence):
+        kind = label(m[0].lower().split(), m.start() == 0)
+        if kind:
+            out.append((*m.span(), m[0], kind))
+    return out
 
 
-def none(spark, key: str = "document_id") -> DataFrame:
-    """No entities, where a caller has none or wants none extracted."""
-    return spark.createDataFrame([], f"{key} long, text string, label string, start_char int, end_char int, sentence_id int")
+def compound(sentence: str) -> float:
+    """Sentiment in [-1, 1]: valences, turned by a negation in the three words before, moved by a booster just before; s / sqrt(s*s + 15)."""
+    words = [w for w in map(str.lower, _WORD.findall(sentence)) if _SOUND.search(w)]
+    total, hit = 0.0, False
+    for i, w in enumerate(words):
+        v = VALENCE.get(w)
+        if v is None:
+            continue
+        hit = True
+        if i:
+            v += (1 if v > 0 else -1) * BOOSTERS.get(words[i - 1], 0.0)
+            if not _NEGATIONS.isdisjoint(words[max(0, i - 3) : i]):
+                v *= TURN
+        total += v
+    return total / (total * total + NORM) ** 0.5 if hit else 0.0
 
 
-def entities(docs: DataFrame, key: str = "document_id", body: str = "text", labels=LABELS) -> DataFrame:
-    """(key, text, label, start_char, end_char, sentence_id). Any other extractor with these columns can take its place."""
-    s = sentences(docs, key, body)
-    e = s.select(key, "sentence_id", "start_char", F.explode(entity_array(F.col("text"))).alias("e"))
-    out = e.select(key, F.col("e.text").alias("text"), F.col("e.label").alias("label"), (F.col("start_char") + F.col("e.start")).alias("start_char"), (F.col("start_char") + F.col("e.end")).alias("end_char"), "sentence_id")
-    return out.where(F.col("label").isin(*labels))
+def _sentences(t: str) -> list[tuple[int, float]]:
+    return [(i, compound(t[a:b])) for i, (a, b) in enumerate(sentence_spans(t))]
+
+
+def _mentions(t: str) -> list[tuple[str, str, int, int, int, float]]:
+    """(text, label, start, end, sentence, its compound) in order of start, end and label."""
+    out = []
+    for i, (a, b) in enumerate(sentence_spans(t)):
+        if own := found(t[a:b]):
+            mood = compound(t[a:b])
+            out += [(x, kind, a + s, a + e, i, mood) for s, e, x, kind in sorted(own, key=lambda x: (x[0], x[1], x[3]))]
+    return out
+
 
+def _mention_arrays(texts: pa.Array) -> pa.Array:
+    return per_text(texts, _mentions, text=pa.string(), label=pa.string(), start_char=pa.int32(), end_char=pa.int32(), sentence_id=pa.int32(), compound=pa.float64())
 
-def compound(sentence: Column) -> Column:
-    """Sentiment in [-1, 1]: valences, turned by a negation in the three words before (x -0.74), moved by a booster just before; s / sqrt(s*s + 15)."""
-    valence = F.create_map(*(F.lit(x) for kv in VALENCE.items() for x in kv))
-    boost = F.create_map(*(F.lit(x) for kv in BOOSTERS.items() for x in kv))
-    words = F.transform(F.filter(text.tokens(sentence), lambda t: ~text.is_punct(t)), lambda t: F.lower(t))
 
-    def value(w: Column, i: Column) -> Column:
-        v = F.try_element_at(valence, w)
-        before = F.slice(words, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-        moved = v + F.signum(v) * F.when(i > 0, F.coalesce(F.try_element_at(boost, F.try_element_at(words, i)), F.lit(0.0))).otherwise(F.lit(0.0))
-        turned = F.when(F.exists(before, lambda b: b.isin(*NEGATIONS)) & (i > 0), moved * TURN).otherwise(moved)
-        return F.coalesce(turned, F.lit(0.0))
+def _mood_arrays(texts: pa.Array) -> pa.Array:
+    return per_text(texts, _sentences, sentence_id=pa.int32(), compound=pa.float64())
 
-    total = F.aggregate(F.transform(words, value), F.lit(0.0), lambda a, x: a + x)
-    hit = F.exists(words, lambda w: F.map_contains_key(valence, w))
-    return F.when(hit, total / F.sqrt(total * total + NORM)).otherwise(F.lit(0.0))
+
+def mention_array(body: Column) -> Column:
+    """All entities of a text with the sentiment of their sentences, in order of start, end, label: one Arrow pass."""
+    return F.arrow_udf(_mention_arrays, "array<struct<text:string,label:string,start_char:int,end_char:int,sentence_id:int,compound:double>>")(body)
+
+
+def entities(docs: DataFrame, key: str = "document_id", body: str = "text", labels=LABELS) -> DataFrame:
+    """(key, text, label, start_char, end_char, sentence_id), a document's in order of start, end and label. Any other extractor with
+    these columns can take its place. No shuffle."""
+    return docs.select(key, F.inline(mention_array(F.col(body)))).drop("compound").where(F.col("label").isin(*labels))
 
 
 def sentence_sentiment(docs: DataFrame, key: str = "document_id", body: str = "text") -> DataFrame:
-    return sentences(docs, key, body).select(key, "sentence_id", F.bround(compound(F.col("text")), 6).alias("compound"))
+    mood = F.arrow_udf(_mood_arrays, "array<struct<sentence_id:int,compound:double>>")(F.col(body))
+    return docs.select(key, F.inline(mood)).select(key, "sentence_id", F.bround("compound", 6).alias("compound"))
 
 
-def entity_sentiment(docs: DataFrame, key: str = "document_id", body: str = "text", found: DataFrame | None = None) -> DataFrame:
-    """(key, entity_key, label of the first mention, mentions, sentence_ids, average_sentiment over the distinct sentences)."""
-    found = entities(docs, key, body) if found is None else found
-    found = found.where("sentence_id >= 0").withColumn("entity_key", text.entity_key(F.col("text")))
-    by_sentence = found.groupBy(key, "entity_key", "sentence_id").agg(F.count("*").alias("n"), F.min(F.struct("start_char", "end_char", "label")).alias("first"))
-    scored = by_sentence.join(sentences(docs, key, body).select(key, "sentence_id", compound(F.col("text")).alias("compound")), [key, "sentence_id"])
-    return scored.groupBy(key, "entity_key").agg(
+def entity_sentiment(docs: DataFrame, key: str = "document_id", body: str = "text") -> DataFrame:
+    """(key, entity_key, label of the first mention, mentions, sentence_ids, average_sentiment over the distinct sentences): one pass over the texts."""
+    named = docs.select(key, F.inline(mention_array(F.col(body)))).withColumn("entity_key", text.entity_key(F.col("text")))
+    by_sentence = named.groupBy(key, "entity_key", "sentence_id").agg(F.count("*").alias("n"), F.min(F.struct("start_char", "end_char", "label")).alias("first"), F.first("compound").alias("compound"))
+    return by_sentence.groupBy(key, "entity_key").agg(
         F.min("first")["label"].alias("label"), F.sum("n").alias("mentions"), F.sort_array(F.collect_set("sentence_id")).alias("sentence_ids"), F.bround(F.avg("compound"), 6).alias("average_sentiment")
     )
