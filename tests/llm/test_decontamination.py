@@ -49,3 +49,24 @@ def test_query(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
     got = sorted(map(tuple, queries.op9_decontamination(spark, d).collect()))
     assert got == sorted(brute.contamination(docs, items)) and any(r[5] for r in got)
+
+
+def test_tables_of_many_patterns_are_small():
+    r = random.Random(0)
+    text = " ".join(f"{r.randrange(1 << 30):x}" for _ in range(150_000)).encode()
+    own = decontamination.Tables([(1, text), (2, text[:5000])], 10)
+    arrays = [x for m, bounds, owners in own.matchers() for x in (*vars(m).values(), bounds, owners) if hasattr(x, "nbytes")]
+    assert sum(x.nbytes for x in arrays) < 18 * len(text)
+    assert len(__import__("pickle").dumps(own)) < 1.01 * (len(text) + 6000)
+
+
+def test_three_shards(spark):
+    r = random.Random(1)
+    items = [(i, " ".join(f"v{r.randrange(3000)}" for _ in range(60))) for i in range(90)]
+    docs = [(i, " ".join(f"v{r.randrange(3000)}" for _ in range(40)) + " " + items[i % 90][1][: 20 * (i % 9)]) for i in range(120)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    assert decontamination.Shards(bench, "item_id", "text", 10, -(-size // 3)).count == 3
+    assert digest(decontamination.find_passages(df, bench, shard_bytes=-(-size // 3))) == sorted(brute.contamination(docs, items), key=str)
+    clean = decontamination.clean(df, bench, shard_bytes=-(-size // 3))
+    assert sorted(x.doc_id for x in clean.collect()) == sorted(x[0] for x in brute.contamination(docs, items) if not x[5])
