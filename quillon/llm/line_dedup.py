@@ -80,12 +80,10 @@ def _hash(line: bytes) -> int:
 _BASE = 0x9E3779B97F4A7C15
 
 
-def least_blocks(hashes: list[int], words: list[int], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, blocks, starts, ends) of the shortest blocks of two lines and ``least`` words or more, from each line on and up to each line.
+def least_blocks(hashes: list[int], words: list[int], least: int) -> np.ndarray:
+    """Hashes of the shortest blocks of two lines and ``least`` words or more, from each line on and up to each line.
 
-    A run of lines of that size is the union of those of its blocks that lie inside: a line too late for a block from it on to
-    fit in has one up to it, or lies in the one from the run's start on. Equal blocks have the same number in ``blocks``; the key
-    says also which occurrence of the block in its document it is.
+    Any run of two lines and so many words has one of these blocks in it, so two documents with such a run in common share a hash.
     """
     n = len(hashes)
     at, before = np.arange(n), np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
@@ -96,30 +94,7 @@ def least_blocks(hashes: list[int], words: list[int], least: int) -> tuple[np.nd
     starts, ends = pairs // (n + 1), pairs % (n + 1)
     up, down = (np.cumprod(np.array([1] + [x] * n, c.U64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
     sums = np.concatenate([np.zeros(1, c.U64), np.cumsum(np.array(hashes, np.int64).view(c.U64) * down[:n])])
-    blocks = c.mix((sums[ends] - sums[starts]) * up[starts] + c.mix((ends - starts).astype(c.U64)))
-    order = np.argsort(blocks, kind="stable")
-    first = np.searchsorted(blocks[order], blocks)
-    times = np.empty(len(order), np.int64)
-    times[order] = np.arange(len(order))
-    keys = c.mix(blocks + (times - first).astype(c.U64) * c.U64(c.BASES[1]))
-    return keys.view(np.int64), first, starts, ends
-
-
-def repeats(hashes: list[int], words: list[int], least: int, known: list[int], gone: set[int]) -> set[int]:
-    """``gone`` and the lines of known blocks: so many occurrences of each as are known, those counted that are gone already."""
-    keys, blocks, starts, ends = least_blocks(hashes, words, least)
-    left = np.bincount(blocks[np.isin(keys, known)], minlength=len(keys) + 1)
-    done = np.zeros(len(hashes) + 1, np.int64)
-    done[[x + 1 for x in gone]] = 1
-    done = np.cumsum(done)
-    whole = done[ends] - done[starts] == ends - starts
-    left = left - np.bincount(blocks[whole], minlength=len(left))
-    more = set(gone)
-    for at in np.flatnonzero(~whole).tolist():
-        if left[blocks[at]] > 0:
-            left[blocks[at]] -= 1
-            more.update(range(starts[at], ends[at]))
-    return more
+    return np.unique(c.mix((sums[ends] - sums[starts]) * up[starts] + c.mix((ends - starts).astype(c.U64)))).view(np.int64)
 
 
 class _Block:
@@ -144,9 +119,9 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     representative, however many documents hold the line; the aligned runs of lines with ``least`` words or more are removed from the
     later one. Repetition inside one document stays. All decisions are made on the input, not on what is left.
 
-    With ``blocks``, every run of two lines and ``least`` words or more that stands unbroken in any earlier document is removed as
-    well, however many documents hold it, as often as an earlier one has it: each document names the least such blocks of its lines, at most two per line, by hash,
-    and an aggregate finds a block's first holder. An alignment then adds the single lines only, so lines of fewer words form no pairs.
+    With ``blocks``, documents meet through rarer evidence: lines of ``least`` words or more, and hashes of the least blocks of two
+    lines and so many words, at most two per line. The first holder of each is aligned with every later one. Hashes only propose
+    pairs; what goes is what the alignment gives. Frequent short lines by themselves then form no pairs.
 
     A pair is formed with the first holder only, so pairs are as many as shared lines at most; the join that brings a first holder's
     lines to its pairs is one that Spark splits where a document is first holder for many. What moves is hashes; the
@@ -161,7 +136,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = _Block(table)
         texts = [_lines(t) for t in own.docs["text"].to_pylist()]
         hashes, words = [[_hash(x) for x in t] for t in texts], [[len(x.split()) for x in t] for t in texts]
-        keys = [np.unique(least_blocks(*x, least)[0]) if blocks else [] for x in zip(hashes, words, strict=True)]
+        keys = [least_blocks(*x, least) if blocks else [] for x in zip(hashes, words, strict=True)]
         longs = pa.list_(pa.int64())
         return pa.table([pa.array(own.nodes()), own.docs["id"], pa.array(hashes, longs), pa.array(words, pa.list_(pa.int32())), pa.array(keys, longs)], ["node", "id", "hashes", "words", "keys"])
 
@@ -172,8 +147,12 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = lines.groupBy("h").agg(F.count("*").alias("holders"), F.min("rank").alias("first")).where("holders > 1")
     if blocks:
         lines = lines.where(F.col("n_words") >= least)
-    pairs = lines.join(held.select("h", F.col("first.node").alias("first")), "h").where("node <> first").select("node", "first").distinct()
-    pairs = c.saved(pairs, "pairs")
+    pairs = lines.join(held.select("h", F.col("first.node").alias("first")), "h").where("node <> first").select("node", "first")
+    if blocks:
+        named = base.select("node", rank, F.explode("keys").alias("h"))
+        first = named.groupBy("h").agg(F.count("*").alias("holders"), F.min("rank").alias("first")).where("holders > 1")
+        pairs = pairs.unionByName(named.select("node", "h").join(first.select("h", F.col("first.node").alias("first")), "h").where("node <> first").select("node", "first"))
+    pairs = c.saved(pairs.distinct(), "pairs")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,25 +161,16 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     pairs = pairs.join(base.select(F.col("node").alias("first"), F.col("hashes").alias("a")), "first").join(base.select("node", F.col("hashes").alias("b"), "words"), "node")
     by_pair = pairs.select("node", "a", "b", "words").mapInArrow(c.tidy(aligned), "node long, gone array<long>").select("node", F.explode("gone").alias("place"))
-    gone = by_pair.withColumn("key", F.lit(None).cast("long"))
-    if blocks:
-        named = base.select("node", rank, F.explode("keys").alias("key"))
-        first = named.groupBy("key").agg(F.count("*").alias("holders"), F.min("rank").alias("first")).where("holders > 1")
-        again = named.select("node", "key").join(first.select("key", F.col("first.node").alias("first")), "key").where("node <> first")
-        gone = gone.unionByName(again.select("node", "key"), allowMissingColumns=True)
-    gone = gone.groupBy("node").agg(F.collect_set("place").alias("places"), F.collect_set("key").alias("keys"))
+    gone = by_pair.groupBy("node").agg(F.collect_set("place").alias("places"))
     gone = gone.withColumn("block", F.shiftright("node", 32).cast("int"))
 
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         own = _Block(table)
-        by_node = {r["node"]: (set(r["places"]), r["keys"]) for r in found.to_pylist()}
+        by_node = {r["node"]: r["places"] for r in found.to_pylist()}
         count, removed, texts = [], [], []
         for node, text in zip(own.nodes().tolist(), own.docs["text"].to_pylist(), strict=True):
             lines = _lines(text)
-            places, keys = by_node.get(node, ((), ()))
-            if keys:
-                places = repeats([_hash(x) for x in lines], [len(x.split()) for x in lines], least, keys, set(places))
-            out = sorted(places)
+            out = sorted(by_node.get(node, ()))
             count.append(len(lines))
             removed.append(out)
             drop = set(out)

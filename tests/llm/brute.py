@@ -107,7 +107,8 @@ def _patience(a, b, i=0, j=0):
     return [*out, *_patience(a[x0:], b[y0:], i + x0, j + y0)] if chain else []
 
 
-def line_dedup(docs, least=5):
+def line_dedup(docs, least=5, blocks=False):
+    """blocks: documents meet through lines of ``least`` words, or through runs of two lines or more that have so many and no shorter such run at one end."""
     import sys
 
     sys.setrecursionlimit(20_000)
@@ -119,10 +120,29 @@ def line_dedup(docs, least=5):
         for x in key[i]:
             if x:
                 first.setdefault(x, i)
+    count = lambda x: len(x.split())
+    runs = [set() for _ in docs]
+    for i in order if blocks else ():
+        for a in range(len(key[i])):
+            size = 0
+            for b in range(a, len(key[i])):
+                size += count(key[i][b])
+                if b > a and size >= least:
+                    runs[i].add(tuple(key[i][a : b + 1]))
+                    break
+        for b in range(len(key[i])):
+            size = 0
+            for a in range(b, -1, -1):
+                size += count(key[i][a])
+                if b > a and size >= least:
+                    runs[i].add(tuple(key[i][a : b + 1]))
+                    break
+        for x in runs[i]:
+            first.setdefault(x, i)
     out = []
     for i, (doc_id, _) in enumerate(docs):
         gone = set()
-        for other in {first[x] for x in key[i] if x} - {i}:
+        for other in {first[x] for x in [*(x for x in key[i] if x and (not blocks or count(x) >= least)), *runs[i]]} - {i}:
             places = _patience(key[other], key[i])  # blank lines match each other
             while places:
                 n = next((n for n in range(1, len(places)) if places[n] != (places[0][0] + n, places[0][1] + n)), len(places))

@@ -46,9 +46,9 @@ def test_repeated_rows_and_empty(spark):
 
 
 def test_query(spark):
-    d = "/root/testdata/sf0.001"
+    d = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
-    assert sorted(map(tuple, queries.op8_line_dedup(spark, d).collect())) == sorted(brute.line_dedup(docs))
+    assert sorted(map(tuple, queries.op8_line_dedup(spark, d).collect())) == sorted(brute.line_dedup(docs, blocks=True))
 
 
 def removed(spark, docs):
@@ -76,13 +76,26 @@ def test_blocks_whole_in_a_later_holder_only(spark):
     assert got[1] == [] and got[3] == [0, 1] and len(got[2]) == 1 and len(got[4]) == 2
 
 
-def test_least_blocks_cover_every_run():
+def test_common_runs_share_a_hash():
     r = random.Random(7)
     for _ in range(300):
         words = [r.choice([0, 1, 2, 6]) for _ in range(r.randrange(2, 12))]
         hashes = [r.randrange(1, 1 << 60) for _ in words]
-        _, _, starts, ends = line_dedup.least_blocks(hashes, words, 5)
+        whole = set(line_dedup.least_blocks(hashes, words, 5).tolist())
         for i in range(len(words)):
             for j in range(i + 2, len(words) + 1):
-                inside = {x for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if i <= a and b <= j for x in range(a, b)}
-                assert inside == (set(range(i, j)) if sum(words[i:j]) >= 5 else set())
+                own = set(line_dedup.least_blocks(hashes[i:j], words[i:j], 5).tolist())
+                assert own <= whole and bool(own) == (sum(words[i:j]) >= 5)
+
+
+def test_blocks_mode_on_edges(spark):
+    for seed in (4, 5):
+        r = random.Random(seed)
+        pool = [" ".join(f"w{r.randrange(30)}" for _ in range(r.choice([1, 2, 3, 6]))) for _ in range(25)] + ["", "  "]
+        docs = [(i % 70, "\n".join(r.choice(pool) if r.random() < 0.8 else f"own {r.random()} a b c" for _ in range(r.randrange(1, 12)))) for i in range(70)]
+        docs += [(80, None), (81, ""), (None, docs[5][1]), (82, docs[5][1]), (83, "\n".join(pool * 30))]
+        df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({x: F.lit("clash") for x in ("node", "h", "keys", "hashes", "block", "rank", "removed")})
+        assert digest(line_dedup.remove_lines(df.repartition(3), blocks=True)) == sorted(brute.line_dedup(docs, blocks=True), key=str)
+    df = spark.createDataFrame([(1, "a b c\nd e f\nx")] * 3 + [(0, "z")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in queries.line_digest(line_dedup.remove_lines(df, blocks=True)).collect()) == [0, 0, 3, 3]
+    assert line_dedup.remove_lines(df.limit(0), blocks=True).count() == 0
