@@ -36,7 +36,7 @@ FIRES = {
     "unsupported_quantifier": "Countless families suffer.",
     "appeal_to_authority": "Doctors agree it works.",
     "source_opaqueness": "It is widely believed that he left.",
-    "statistical_manipulation": "Crime soared by 40%.",
+    "statistical_manipulation": "Crime is up by nearly 40%.",
     "repetition": "Build the new road now. We say build the new road. They must build the new road. Just build the new road.",
     "hedging": "Perhaps it rains.",
     "scapegoating": "Bankers are to blame for it. It rained. The bankers are at fault here as well.",
@@ -203,7 +203,7 @@ def test_small_functions(spark):
 def test_sentiment(spark):
     df = spark.createDataFrame([(1, "It was good."), (2, "It was not good."), (3, "It was very good."), (4, "It was.")], "document_id long, text string")
     v = {r.document_id: r.compound for r in entities.sentence_sentiment(df).collect()}
-    assert v[1] == pytest.approx(1.9 / math.sqrt(1.9**2 + 15), abs=1e-6) and v[2] < 0 < v[1] < v[3] and v[4] == 0
+    assert v[1] == pytest.approx(1 / math.sqrt(1 + 15), abs=1e-6) and v[2] < 0 < v[1] < v[3] and v[4] == 0
 
 
 def test_stream(spark, tmp_path):
