@@ -347,24 +347,58 @@ def scapegoat(spark, sf_dir):
     return f.groupBy("doc_id", F.lower("text").alias("target")).agg(F.count("*").alias("mentions"))
 
 
-@query()
+_VALUES = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in entities.VALENCE.items())
+_BOOSTS = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in entities.BOOSTERS.items())
+_MOODS = rf"""
+valence(word, v) AS (VALUES {_VALUES}), boost(word, b) AS (VALUES {_BOOSTS}),
+spoken AS (SELECT id, sentence_id, list_transform(list_filter(regexp_extract_all(text, '{SQL_TOKEN}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]')), lambda x: lower(x)) AS w FROM sentence),
+said AS (SELECT id, sentence_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM spoken),
+felt AS (SELECT id, sentence_id, sum((v + sign(v) * coalesce(b, 0)) * CASE WHEN list_has_any(w[greatest(i - 3, 1):i - 1], [{", ".join("'" + x.replace("'", "''") + "'" for x in entities.NEGATIONS)}]) AND i > 1 THEN {entities.TURN}::DOUBLE ELSE 1 END) AS s
+  FROM said JOIN valence USING (word) LEFT JOIN boost ON boost.word = w[i - 1] AND i > 1 GROUP BY id, sentence_id),
+mood AS (SELECT id, sentence_id, coalesce(s / sqrt(s * s + {entities.NORM}), 0) AS compound FROM sentence LEFT JOIN felt USING (id, sentence_id))"""
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_CAPITALS = r"\p{Lu}[\p{L}\p{N}&’''-]*(?:[ \t\r\n]+(?:of[ \t\r\n]+(?:the[ \t\r\n]+)?)?\p{Lu}[\p{L}\p{N}&’''-]*)*"
+_ENTITIES = rf"""
+capital AS (SELECT id, sentence_id, start_char, text, regexp_extract_all(text, '(^|[^\p{{L}}\p{{N}}_\p{{M}}])({_CAPITALS})') AS m, regexp_extract_all(text, '(^|[^\p{{L}}\p{{N}}_\p{{M}}])({_CAPITALS})', 2) AS e,
+  string_split_regex(text, '(^|[^\p{{L}}\p{{N}}_\p{{M}}]){_CAPITALS}') AS g FROM sentence WHERE regexp_matches(text, '\p{{Lu}}')),
+run AS (SELECT id, sentence_id, start_char, unnest(e) AS e, unnest(list_transform(m, lambda x: length(x))) AS n, unnest(list_transform(g[1:len(m)], lambda x: length(x))) AS gap, generate_subscripts(m, 1) AS pos FROM capital),
+named AS (SELECT id, sentence_id, e, start_char + stop - length(e) AS s, stop = length(e) AS opens, string_split(regexp_replace(lower(e), '\s+', ' ', 'g'), ' ') AS w
+  FROM (SELECT *, sum(gap + n) OVER (PARTITION BY id, sentence_id ORDER BY pos) AS stop FROM run)),
+labelled AS (SELECT id, sentence_id, e AS text, s::BIGINT AS start_char, (s + length(e))::BIGINT AS end_char, CASE
+  WHEN list_contains({_sql_list(entities.PEOPLES)}, array_to_string(w, ' ')) OR list_contains({_sql_list(entities.PEOPLES)}, array_to_string(list_filter(w, lambda x: x <> 'the'), ' ')) THEN 'NORP'
+  WHEN list_contains({_sql_list(entities.PLACES)}, array_to_string(list_filter(w, lambda x: x <> 'the'), ' ')) THEN 'GPE'
+  WHEN len(w) > 1 AND list_contains({_sql_list(entities.BODIES)}, w[-1]) THEN 'ORG' WHEN len(w) > 1 AND (list_contains({_sql_list(entities.TITLES)}, w[1]) OR NOT opens) THEN 'PERSON' END AS label FROM named),
+entity AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '^the ', ''), '^a ', ''), '^an ', '') AS key FROM labelled WHERE label IS NOT NULL)"""
+_FEELINGS = """
+feeling AS (SELECT id, key, arg_min(label, (start_char, end_char)) AS label, count(*) AS mentions FROM entity GROUP BY id, key),
+average AS (SELECT id, key, round_even(avg(compound), 6) AS mean FROM (SELECT DISTINCT id, key, sentence_id FROM entity) JOIN mood USING (id, sentence_id) GROUP BY id, key)"""
+
+
+@query(f"""
+WITH {_SENTENCES}, {_MOODS}, {_ENTITIES}, {_FEELINGS}, pick AS (SELECT id, max((mean, key)) AS warm, min((mean, key)) AS cold FROM average GROUP BY id HAVING max(mean) >= 0 AND min(mean) <= 0)
+SELECT e.id AS doc_id, e.text, count(*) AS mentions FROM entity e JOIN pick p USING (id) WHERE trim(regexp_replace(lower(e.text), '\\s+', ' ', 'g')) IN (p.warm[2], p.cold[2]) GROUP BY ALL""")
 def card_stacking(spark, sf_dir):
     """The entity_sentiment_split kind over all documents, at thresholds that the documents reach."""
     c = Category("split", "entity_sentiment_split", family="bias", base_confidence=0.8, entity_labels=("PERSON", "ORG", "NORP", "GPE"), positive_threshold=0.0, negative_threshold=0.0, min_entities=1, min_mentions=1)
     return detectors.findings(documents(spark, sf_dir), Taxonomy((c,), 0.8), "doc_id").groupBy("doc_id", "text").agg(F.count("*").alias("mentions"))
 
 
-@query()
+@query(f"WITH {_SENTENCES}, {_ENTITIES} SELECT id AS doc_id, text, label, start_char, end_char, sentence_id FROM entity")
 def entities_gazetteer(spark, sf_dir):
-    return entities.entities(documents(spark, sf_dir), "doc_id")
+    return _long(entities.entities(documents(spark, sf_dir), "doc_id"), "start_char", "end_char", "sentence_id")
 
 
-@query()
+@query(f"WITH {_SENTENCES}, {_MOODS} SELECT id AS doc_id, sentence_id, round_even(compound, 6) AS compound FROM mood")
 def sentence_sentiment(spark, sf_dir):
-    return entities.sentence_sentiment(documents(spark, sf_dir), "doc_id")
+    return _long(entities.sentence_sentiment(documents(spark, sf_dir), "doc_id"), "sentence_id")
 
 
-@query()
+@query(f"WITH {_SENTENCES}, {_MOODS}, {_ENTITIES}, {_FEELINGS} SELECT id AS doc_id, key AS entity_key, label, mentions, mean AS average_sentiment FROM feeling JOIN average USING (id, key)")
 def entity_sentiment(spark, sf_dir):
     return entities.entity_sentiment(documents(spark, sf_dir), "doc_id").select("doc_id", "entity_key", "label", "mentions", "average_sentiment")
 
