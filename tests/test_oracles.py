@@ -4,21 +4,16 @@ from quillon import catalog
 from tests.oracle import compare
 
 DIR = "/root/testdata/sf0.01"
-#: The documents are invented prose: they may name no person, place or body.
-MAY_BE_EMPTY = {"card_stacking", "entities_gazetteer", "entity_sentiment"}
-
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows_as_sql(spark, name):
-    compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], DIR)
+    assert compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], DIR)
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     rows = catalog.QUERIES[name](spark, DIR).collect()
-    assert rows or name in MAY_BE_EMPTY
-    if name == "sentence_sentiment":
-        assert len(rows) == catalog.QUERIES["document_sentences"](spark, DIR).count() and all(-1 <= r.compound <= 1 for r in rows)
+    assert rows
     if name == "default_findings":
         texts = {r.doc_id: r.text for r in catalog.documents(spark, DIR).collect()}
         assert all(texts[r.doc_id][r.start_char : r.end_char] == r.text for r in rows)
