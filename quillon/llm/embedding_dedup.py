@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import common as c
@@ -158,24 +158,29 @@ def near_duplicates(
     that are reported are all verified. Null and zero vectors, those with null or non-finite components and those without the most
     frequent dimension link with nothing. Repeated rows and ids are rows of their own; a null id counts as no id.
 
-    The index is fitted on the first ``sample_rows`` ids by hash and holds every row. Cells and their visitors meet in blobs of
-    about 512 vectors, matrix against matrix: links are counted there and a spanning forest of them goes on, never all pairs.
+    Equal vectors are one vector with a count. The index is fitted on the first ``sample_rows`` of them by hash and holds all. Cells and
+    their visitors meet in blobs of about 512 vectors, matrix against matrix, each blob of a cell by itself: links are counted there and
+    a spanning forest of them goes on, never all pairs.
     """
     spark = vectors.sparkSession
     kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
     dtype = np.dtype(np.float32 if kind == "float" else np.float64)
-    values = F.transform(vector_col, lambda x: x.cast(kind))
+    values = F.transform(vector_col, lambda x: x.cast(kind) + F.lit(0).cast(kind))  # -0.0 becomes 0.0
     good = F.coalesce(~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(values, lambda x: x != 0), F.lit(False))
-    rows = c.saved(vectors.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"), F.when(good, values).alias("v")), "vectors")
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    plain = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = vectors.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).alias("id"), F.when(good, values).alias("v"))
+    rows = c.saved(rows.withColumns({"dim": F.when(F.col("v").isNotNull(), F.size("v")), "h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
+    plain = [F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")]
+    sizes = rows.where("dim is not null").groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
-        return plain
+        return rows.select(plain)
     dim, total = sizes["dim"], sizes["n"]
-    usable = rows.where(F.size("v") == dim)
-    sample = usable.orderBy(F.xxhash64("id", "node")).limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
+    usable, others = rows.where(F.col("dim") == dim), rows.where(F.coalesce(F.col("dim") != dim, F.lit(True)))
+    classes = usable.groupBy("v", "h1", "h2").agg(F.min("node").alias("node"), F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = c.saved(classes, "classes")
+    different = classes.count()
+    sample = classes.orderBy(F.xxhash64("least", "node")).limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
     sample = _scaled(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-    index = spark.sparkContext.broadcast(train(sample, total, threshold, recall))
+    index = spark.sparkContext.broadcast(train(sample, different, threshold, recall))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -183,40 +188,59 @@ def near_duplicates(
             x = batch["v"].flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, dim)
             unit = _scaled(x)
             visits = own.visit(unit, own.probes)
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own.cells(unit)), pa.array(list(visits), pa.list_(pa.int64()))], ["node", "v", "cell", "visits"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own.cells(unit)), pa.array(list(visits), pa.list_(pa.int64()))], ["node", "n", "v", "cell", "visits"])
 
-    placed = c.saved(usable.select("node", "v").mapInArrow(place, "node long, v binary, cell long, visits array<long>"), "cells")
-    seekers = placed.select("node", "v", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
-
-    def blobs(df: DataFrame, *more: str) -> DataFrame:
-        parts = df.groupBy("cell").agg(F.ceil(F.count("*") / BLOB).alias("parts"))
-        dealt = df.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-        return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "v", *more)).alias("rows")).drop("part")
-
-    met = blobs(placed, "visits").withColumnRenamed("rows", "base").join(blobs(seekers, "home").withColumnRenamed("rows", "seek"), "cell")
+    placed = c.saved(classes.select("node", "n", "v").mapInArrow(place, "node long, n long, v binary, cell long, visits array<long>"), "cells")
+    bases = _blobs(placed, "visits").withColumnsRenamed({"rows": "base", "part": "to"})
+    seekers = _blobs(placed.select("node", "n", "v", F.col("cell").alias("home"), F.explode("visits").alias("cell")), "home")
+    seekers = seekers.withColumnRenamed("rows", "seek").drop("part")
+    # one row for each cell with more than one blob of its own, about a million at most: a cell is a pair out of two books of up to 1024
+    more = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOB).alias("parts")).where("parts > 1"))
+    seekers = seekers.join(more, "cell", "left").select("cell", "seek", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("to"))
+    met = bases.join(seekers, ["cell", "to"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 base, seek = (batch[x][k].as_py() for x in ("base", "seek"))
-                yield _links(base, seek, batch["cell"][k].as_py(), dim, threshold)
+                yield _links(base, seek, dim, threshold)
 
-    found = met.select("cell", "base", "seek").mapInArrow(verify, "node long, links long, root long")
-    found = c.saved(found, "links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    found = c.saved(met.select("base", "seek").mapInArrow(verify, "node long, links long, root long"), "links")
+    c.discard(placed)
+    counts = c.saved(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
     edges = found.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     roots = components(counts.select("node", F.col("node").alias("root")), edges)
-    linked = roots.join(counts, "node").join(rows.select("node", "id"), "node")
-    least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = linked.join(least, "root").select("node", "n_links", "component_id")
-    out = rows.select("node", "id").join(linked, "node", "left")
+    c.discard(found)
+    linked = classes.select("node", "h1", "h2", "least", "n").join(counts, "node", "left").join(roots, "node", "left")
+    linked = linked.select("h1", "h2", "least", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    linked = c.saved(linked.where("n_links > 0"), "linked")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_classes"))
+    linked = _attached(linked, of_root, ["root"], F.col("n_classes") / different).select("h1", "h2", "n", "n_links", "component_id")
+    out = _attached(usable.select("id", "h1", "h2"), c.saved(linked, "answers"), ["h1", "h2"], F.col("n") / total)
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.unionAll(others.select(plain))
+
+
+def _blobs(df: DataFrame, *more: str) -> DataFrame:
+    """The vectors of each cell in parts of about BLOB, a row each. Cells of one part aren't looked up; the table of the others is bounded like that of cells."""
+    parts = df.groupBy("cell").agg(F.ceil(F.count("*") / BLOB).alias("parts")).where("parts > 1")
+    dealt = df.join(F.broadcast(parts), "cell", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0).cast("long")))
+    return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("node", "n", "v", *more)).alias("rows"))
+
+
+def _attached(many: DataFrame, one: DataFrame, keys: list[str], share: Column) -> DataFrame:
+    """``many`` left join ``one``, which has each key once. Keys with a 200th of many's rows or more, so 200 at most, are broadcast; no others are that hot."""
+    heavy = F.broadcast(one.where(share >= 0.005).withColumn("_hot", F.lit(True)))
+    hot = many.join(heavy, keys, "left")
+    rest = hot.where("_hot is null").select(*many.columns).join(one.where(share < 0.005), keys, "left")
+    columns = many.columns + [x for x in one.columns if x not in keys]
+    return hot.where("_hot").select(columns).unionAll(rest.select(columns))
 
 
-def _links(base: list[dict], seek: list[dict], cell: int, dim: int, threshold: float) -> pa.RecordBatch:
-    """Counts and a spanning forest of the links between one blob of a cell and one of its visitors."""
-    b_node, s_node = (np.array([r["node"] for r in x], np.int64) for x in (base, seek))
+def _links(base: list[dict], seek: list[dict], dim: int, threshold: float) -> pa.RecordBatch:
+    """Counts and a spanning forest of the links between one blob of a cell and one of its visitors; a vector counts as often as it occurs."""
+    b_node, s_node, b_n, s_n = (np.array([r[k] for r in x], np.int64) for k in ("node", "n") for x in (base, seek))
     cos = _unit([r["v"] for r in seek], dim) @ _unit([r["v"] for r in base], dim).T
     i, j = np.nonzero(cos >= threshold)
     home = np.array([r["home"] for r in seek], np.int64)
@@ -229,6 +253,9 @@ def _links(base: list[dict], seek: list[dict], cell: int, dim: int, threshold: f
     i, j = i[new], j[new]
     nodes, place = np.unique(np.concatenate([s_node[i], b_node[j]]), return_inverse=True)
     x, y = place[: len(i)], place[len(i) :]
+    links = np.zeros(len(nodes), np.int64)
+    np.add.at(links, x, b_n[j])
+    np.add.at(links, y, s_n[i])
     label = np.arange(len(nodes))
     while len(i):
         low = np.minimum(label[x], label[y])
@@ -238,4 +265,4 @@ def _links(base: list[dict], seek: list[dict], cell: int, dim: int, threshold: f
         label = label[label]
         if (label == before).all():
             break
-    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.bincount(place, minlength=len(nodes)).astype(np.int64)), pa.array(nodes[label])], ["node", "links", "root"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[label])], ["node", "links", "root"])

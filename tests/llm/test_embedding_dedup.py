@@ -96,3 +96,26 @@ def test_doubles_beyond_the_range_of_floats(spark):
     rows = [(0, [1e39, 0.0]), (1, [1e39, 0.0]), (2, [0.0, 1e-50]), (3, [0.0, 1e-50]), (4, [1e300, -1e300]), (5, [1e200, -1e200]), (6, [float("inf"), 0.0])]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
     assert [(r.n_links, r.component_id) for r in got] == [(1, 0), (1, 0), (1, 2), (1, 2), (1, 4), (1, 4), (0, 6)]
+
+
+def test_copies_cost_one_vector(spark):
+    """16,000 equal vectors among others: every copy is linked with all others and with the near vectors; the clock is that of the rest."""
+    r = np.random.default_rng(7)
+    hub, far = r.normal(size=16), r.normal(size=(50, 16))
+    near = [(hub * 2 + 0.05 * k * r.normal(size=16)).tolist() for k in (1, 2)]
+    rows = [(i, hub.tolist()) for i in range(10, 16_010)] + [(3, near[0]), (4, near[1])] + [(20_000 + i, v) for i, v in enumerate(far.tolist())]
+    links, label = brute([3, 4, 10, *range(20_000, 20_050)], [near[0], near[1], hub, *far])
+    assert links[:3].tolist() == [2, 2, 2]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    got = {v.vec_id: v for v in embedding_dedup.near_duplicates(df).collect()}
+    assert len(got) == len(rows)
+    assert {(got[i].n_links, got[i].component_id) for i in (3, 4, *range(10, 16_010))} == {(16_001, 3)}
+    assert all(got[20_000 + i].n_links == links[3 + i] for i in range(50) if label[3 + i] >= 20_000)
+
+
+def test_links_between_blobs_of_one_cell(spark):
+    """A cell of several blobs, all its vectors different and linked: each pair counts once."""
+    r = np.random.default_rng(8)
+    x = np.ones(8) + 0.01 * r.normal(size=(1400, 8))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()
+    assert {(v.n_links, v.component_id) for v in got} == {(1399, 0)}
