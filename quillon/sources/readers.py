@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.errors import ExtractionError, IngestionError, InvalidInputError, NoTextFoundError, UnsupportedFileTypeError
 from quillon.functions import text as tx
+from quillon.operators import encodings
 
 #: Extension to source type.
 EXTENSIONS = {
@@ -26,6 +27,7 @@ EXTENSIONS = {
     ".jsonl": "file_jsonl", ".html": "file_html", ".htm": "file_html", ".xml": "file_xml",
 }
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
+TEXTUAL = ("file_txt", "file_markdown", "file_csv", "file_json", "file_jsonl", "file_html")
 
 
 def source_type(path: Column) -> Column:
@@ -258,10 +260,16 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """One row per file, not below subfolders, with text or with error_type and error; digest is the SHA-256 of the bytes."""
+def read_files(spark: SparkSession, path: str, pattern: str = "*", model: encodings.Model | None = None) -> DataFrame:
+    """One row per file, not below subfolders, with text or with error_type and error; digest is the SHA-256 of the bytes.
+
+    With a model of encodings, plain text, Markdown, tables, JSON and HTML are read as it finds them; XML declares its encoding.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(path)
     rows = files.select("path", "content", "length", source_type(F.col("path")).alias("source_type"), F.sha2("content", 256).alias("digest"))
+    if model:
+        read = F.encode(encodings.decoded(rows, F.col("content"), model)["text"], "UTF-8")
+        rows = rows.withColumn("content", F.when(F.col("source_type").isin(*TEXTUAL), read).otherwise(F.col("content")))
     return rows.mapInPandas(_parse, READ)
 
 
