@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from quillon.config import Category, Settings, Taxonomy
 from quillon.functions import spans, text
 from quillon.operators import calibrate, cluster, detectors, encodings, entities, evaluate, hierarchy, intervals, records, scoring, segment, terms, vectors
-from quillon.sources import readers
+from quillon.sources import readers, split_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,6 +115,33 @@ def column_profile(spark, sf_dir):
     return readers.column_profile(table(spark, sf_dir, "customer"))
 
 
+@query(r"""
+SELECT doc_id, n_chars % 11 <> 0 AS parsed, CASE WHEN n_chars % 11 <> 0 AND regexp_matches(text, '\S') THEN length(text) END AS text_chars,
+       CASE WHEN n_chars % 11 <> 0 THEN list_filter(['doc_id', 'lang', 'text'], lambda x: (x <> 'text' OR text IS NOT NULL) AND (x <> 'lang' OR lang IS NOT NULL)) END AS keys FROM documents""")
+def json_line_rows(spark, sf_dir):
+    """All documents written as lines of JSON, some broken off before their end, and read back in splits."""
+    where = split_files.scratch(spark, "json_line_rows")
+    line = F.to_json(F.struct("doc_id", "lang", "text"))
+    broken = F.col("n_chars") % 11 == 0
+    documents(spark, sf_dir).select(F.when(broken, F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line)).write.text(where)
+    read = split_files.json_lines(spark, where)
+    number = F.coalesce(F.try_variant_get("value", "$.doc_id", "long"), F.regexp_extract("start", r'^\{"doc_id":(-?\d+)', 1).try_cast("long"))
+    return read.select(number.alias("doc_id"), F.col("error").isNull().alias("parsed"), F.length("text").alias("text_chars"), "keys")
+
+
+def _profile_sql(name: str, columns: dict[str, str]) -> str:
+    one = "SELECT '{0}' AS \"column\", '{1}' AS dtype, count(*) - count({0}) AS nulls, count(DISTINCT {0}) AS distinct_values FROM {2}"
+    return " UNION ALL ".join(one.format(x, kind, name) for x, kind in columns.items())
+
+
+@query(_profile_sql("customer", {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "bigint", "c_acctbal": "double", "c_mktsegment": "string"}))
+def table_file_profile(spark, sf_dir):
+    """All customers written as a table parted by semicolons, read back in splits with the delimiter found, and profiled."""
+    where = split_files.scratch(spark, "table_file_profile")
+    table(spark, sf_dir, "customer").write.options(header=True, sep=";").csv(where)
+    return split_files.table_profile(split_files.table_rows(spark, where)).drop("samples")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, (json_extract_string(props, '$.k') IS NULL) AS missing FROM events")
 def json_fields(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
