@@ -891,6 +891,50 @@ def top_docs(spark, sf_dir):
     return evaluate.top_documents(*_roles(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- labelled documents as corpora
+
+
+def _labelled(spark, sf_dir):
+    from quillon.plans import corpus
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("ordinary").alias("corpus"))
+    return corpus.run(documents(spark, sf_dir).join(labels, "doc_id"), bench(), "doc_id", title="source")
+
+
+@query(f"""
+WITH {_COUNTS} SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'ordinary' END AS corpus, source AS title, words, sum(c)::BIGINT AS findings,
+  list_sort(coalesce(list(category) FILTER (c > 0), [])) AS categories, CASE WHEN words > 0 THEN round(sum(c) / words * 1000, 4) ELSE 0 END AS per_1000
+FROM long JOIN labels USING (doc_id) JOIN documents USING (doc_id) WHERE regexp_matches(text, '\\S') GROUP BY doc_id, toxic, source, words""")
+def corpus_documents(spark, sf_dir):
+    """What fires in every labelled document."""
+    return _labelled(spark, sf_dir).documents
+
+
+@query(f"""
+WITH {_COUNTS}, per_label AS (SELECT toxic, sum(n) AS words FROM words JOIN labels USING (doc_id) GROUP BY toxic),
+fired AS (SELECT category, toxic, sum(c) AS n FROM long JOIN labels USING (doc_id) GROUP BY ROLLUP (category), toxic),
+by_label AS (SELECT category, toxic, round(n / words * 1000, 4) AS rate FROM fired JOIN per_label USING (toxic) WHERE n > 0)
+SELECT category, coalesce(max(rate) FILTER (toxic = 0), 0) AS neutral, coalesce(max(rate) FILTER (toxic = 1), 0) AS loaded,
+  round(coalesce(max(rate) FILTER (toxic = 1), 0) / nullif(coalesce(max(rate) FILTER (toxic = 0), 0), 0), 4) AS ratio FROM by_label GROUP BY category""")
+def corpus_separation(spark, sf_dir):
+    """Findings per 1,000 words in ordinary and toxic documents, by category and in all."""
+    rows = evaluate.separation(_labelled(spark, sf_dir).rates, "ordinary", "toxic")
+    return rows.select("category", "neutral", "loaded", "ratio")
+
+
+@query(ORACLES["lexicon_findings"].replace("SELECT doc_id, 'slur:lexicon' AS rule_id, e - length(w) AS start_char, e AS end_char, w AS text FROM o WHERE", """
+SELECT doc_id, corpus, title, category, rule_id, start_char, text, replace(substr(body, greatest(start_char - 60, 0) + 1, start_char + length(text) + 60 - greatest(start_char - 60, 0)), chr(10), ' ') AS context FROM (
+SELECT o.doc_id, lang AS corpus, source AS title, 'slur' AS category, 'slur:lexicon' AS rule_id, e - length(w) AS start_char, w AS text, d.text AS body FROM o JOIN documents d USING (doc_id) WHERE""") + ")")
+def finding_contexts(spark, sf_dir):
+    """Slurs in all documents, with sixty characters on either side; languages as corpora."""
+    from quillon.plans import corpus
+
+    s = bench()
+    s = replace(s, taxonomy=Taxonomy(tuple(c for c in s.taxonomy.categories if c.id == "slur"), s.taxonomy.default_threshold))
+    rows = corpus.run(documents(spark, sf_dir), s, "doc_id", "lang", "source").findings
+    return rows.withColumn("start_char", F.col("start_char").cast("long"))
+
+
 @query("SELECT count(*) FILTER (trim(text) <> '') AS processed, count(*) FILTER (coalesce(trim(text), '') = '') AS failed, 'OK' AS gate FROM documents")
 def batch_summary(spark, sf_dir):
     from quillon.plans.analyze import analyze

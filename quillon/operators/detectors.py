@@ -226,19 +226,19 @@ def _divided(rows: DataFrame, categories: list[Category], key: str) -> DataFrame
 
     Scores go by keys without leading article, mentions by keys with it: "The X" is scored but not quoted.
     """
-    rows = rows.withColumn("_key", F.when(F.col("category").isin(*(c.id for c in categories)), text.entity_key(F.col("text"))))
-    one = Window.partitionBy(key, "category", "_key")
-    first = F.row_number().over(Window.partitionBy(key, "category", "_key", "sentence_id").orderBy("start", "end")) == 1
+    rows = rows.withColumn("_entity_key", F.when(F.col("category").isin(*(c.id for c in categories)), text.entity_key(F.col("text"))))
+    one = Window.partitionBy(key, "category", "_entity_key")
+    first = F.row_number().over(Window.partitionBy(key, "category", "_entity_key", "sentence_id").orderBy("start", "end")) == 1
     rows = rows.withColumn("_first", first)
     rows = rows.withColumns({"_mood": F.bround(F.avg(F.when(F.col("_first"), F.col("score"))).over(one), 6), "_times": F.count("*").over(one), "_label": F.min(F.struct("_at", "start", "end", "label")).over(one)["label"]})
     apart = F.lit(True)
     whole = Window.partitionBy(key, "category")
     for c in categories:
-        able = F.when(F.col("_label").isin(*c.entity_labels) & (F.col("_times") >= c.min_mentions), F.struct("_mood", "_key"))
-        warm, cold, n = F.max(able).over(whole), F.min(able).over(whole), F.size(F.collect_set(able["_key"]).over(whole))
-        fires = (n >= c.min_entities) & (warm["_mood"] >= c.positive_threshold) & (cold["_mood"] <= c.negative_threshold) & text.plain_key(F.col("text")).isin(warm["_key"], cold["_key"])
+        able = F.when(F.col("_label").isin(*c.entity_labels) & (F.col("_times") >= c.min_mentions), F.struct("_mood", "_entity_key"))
+        warm, cold, n = F.max(able).over(whole), F.min(able).over(whole), F.size(F.collect_set(able["_entity_key"]).over(whole))
+        fires = (n >= c.min_entities) & (warm["_mood"] >= c.positive_threshold) & (cold["_mood"] <= c.negative_threshold) & text.plain_key(F.col("text")).isin(warm["_entity_key"], cold["_entity_key"])
         apart = F.when(F.col("category") == c.id, F.coalesce(fires, F.lit(False))).otherwise(apart)
-    return rows.withColumn("_apart", apart).where("_apart").drop("_apart", "_key", "_first", "_mood", "_times", "_label")
+    return rows.withColumn("_apart", apart).where("_apart").drop("_apart", "_entity_key", "_first", "_mood", "_times", "_label")
 
 
 def _found(docs: DataFrame, live: list[Category], key: str, body: str, named: DataFrame | bool) -> DataFrame:
