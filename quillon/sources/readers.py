@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import mimetypes
 import re
 import zipfile
 from collections import Counter
@@ -143,22 +144,40 @@ def parse_html(body: str) -> tuple[str, dict]:
     return "\n".join(x for x in lines if x), details
 
 
+#: Core properties of a Word document that are read, by their names in its XML.
+DOCX_PROPERTIES = ("title", "creator", "subject", "keywords", "created", "modified", "revision")
+
+
 def _docx(data: bytes) -> tuple[str, dict]:
+    """The paragraphs of the body, parted by blank lines; the cells of tables are details, as are properties, headings and styles."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             root = ElementTree.fromstring(z.read("word/document.xml"))
+            core = ElementTree.fromstring(z.read("docProps/core.xml")) if "docProps/core.xml" in z.namelist() else ()
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
         raise ExtractionError(f"no Word document: {e}") from e
-    styles: Counter = Counter()
-    paragraphs = []
-    for p in root.iter(f"{w}p"):
+
+    def written(p: ElementTree.Element) -> str:
+        marks = {f"{w}tab": "\t", f"{w}br": "\n", f"{w}cr": "\n"}
+        return "".join(x.text or "" if x.tag == f"{w}t" else marks.get(x.tag, "") for x in p.iter())
+
+    body = root.find(f"{w}body")
+    styled = []
+    for p in body.findall(f"{w}p") if body is not None else ():
         style = p.find(f"{w}pPr/{w}pStyle")
-        styles[style.get(f"{w}val") if style is not None else "Normal"] += 1
-        body = "".join(t.text or "" for t in p.iter(f"{w}t"))
-        if body.strip():
-            paragraphs.append(body)
-    return "\n\n".join(paragraphs), {"paragraphs": len(paragraphs), "styles": dict(styles), "tables": sum(1 for _ in root.iter(f"{w}tbl"))}
+        styled.append((style.get(f"{w}val") if style is not None else "Normal", written(p)))
+    tables = [
+        [["\n".join(written(p) for p in cell.findall(f"{w}p")).strip() for cell in row.findall(f"{w}tc")] for row in t.findall(f"{w}tr")]
+        for t in (body.findall(f"{w}tbl") if body is not None else ())
+    ]
+    known = {x.tag.rsplit("}", 1)[-1]: x.text for x in core}
+    properties = {("author" if k == "creator" else k): known[k] for k in DOCX_PROPERTIES if known.get(k)}
+    details = {
+        "title": properties.get("title"), "properties": properties, "paragraphs": len(styled), "styles": dict(Counter(x for x, _ in styled)),
+        "headings": [{"style": x, "text": y} for x, y in styled if x.startswith("Heading")], "tables": tables, "sections": max(1, len(list(root.iter(f"{w}sectPr")))),
+    }
+    return "\n\n".join(y for _, y in styled if y.strip()), details
 
 
 def string_leaves(value: object) -> object:
@@ -240,10 +259,20 @@ PARSERS: dict[str, Callable[[bytes], tuple[str, dict]]] = {
     "file_txt": lambda d: (decode(d), {}), "file_markdown": _markdown, "file_pdf": _pdf, "file_docx": _docx, "file_csv": _csv, "file_json": _json, "file_jsonl": _jsonl,
     "file_html": lambda d: parse_html(decode(d)), "file_xml": _xml,
 }
-READ = "path string, file_name string, source_type string, text string, title string, digest string, size long, details string, error_type string, error string"
+#: Readers to which the name of the field that holds the text matters.
+BY_FIELD = ("file_csv", "file_json", "file_jsonl")
+READ = (
+    "path string, file_name string, extension string, mime_type string, modified timestamp, source_type string, text string, title string, author string, "
+    "digest string, size long, details string, error_type string, error string"
+)
+
 
+def text_key(config: dict) -> str:
+    """The field that holds the text in tables and JSON: the table's column if one is set, also for JSON; else the field of JSON; else content."""
+    return (config.get("csv") or {}).get("text_column") or (config.get("json") or {}).get("text_field") or "content"
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _parse(batches: Iterator[pd.DataFrame], field: str) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for r in batch.itertuples():
@@ -251,32 +280,40 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 if kind is None:
                     raise UnsupportedFileTypeError(f"no reader for {name}")
-                body, details = PARSERS[kind](bytes(r.content))
+                body, details = PARSERS[kind](bytes(r.content), field) if kind in BY_FIELD else PARSERS[kind](bytes(r.content))
                 if not body.strip():
                     raise NoTextFoundError(f"no text in {name}")
             except Exception as e:  # one bad file is one dead letter
                 body, failure = None, (type(e).__name__, str(e)[:500])
-            rows.append((r.path, name, kind, body, details.get("title") or name, r.digest, r.length, json.dumps(details, sort_keys=True), *failure))
+            suffix = Path(name).suffix.lower()
+            mime = mimetypes.guess_type(name)[0] or "application/octet-stream"
+            title, author = details.get("title") or name, details.get("properties", {}).get("author")
+            rows.append((r.path, name, suffix, mime, r.modified, kind, body, title, author, r.digest, r.length, json.dumps(details, sort_keys=True), *failure))
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*", model: encodings.Model | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, pattern: str = "*", model: encodings.Model | None = None, field: str = "content") -> DataFrame:
     """One row per file, not below subfolders, with text or with error_type and error; digest is the SHA-256 of the bytes.
 
+    source_type names the reader; details are what it found beside the text. A file system that Spark reads tells when a file was
+    changed, not when it was made. field holds the text in tables and JSON (``text_key``). Files of many records that are too long for a
+    row are read by ``split_files``.
+
     With a model of encodings, plain text, Markdown, tables, JSON and HTML are read as it finds them; XML declares its encoding.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(path)
-    rows = files.select("path", "content", "length", source_type(F.col("path")).alias("source_type"), F.sha2("content", 256).alias("digest"))
+    rows = files.select("path", "content", "length", F.col("modificationTime").alias("modified"), source_type(F.col("path")).alias("source_type"), F.sha2("content", 256).alias("digest"))
     if model:
         read = F.encode(encodings.decoded(rows, F.col("content"), model)["text"], "UTF-8")
         rows = rows.withColumn("content", F.when(F.col("source_type").isin(*TEXTUAL), read).otherwise(F.col("content")))
-    return rows.mapInPandas(_parse, READ)
+    return rows.mapInPandas(lambda batches: _parse(batches, field), READ)
 
 
-def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
-    """(texts, failures), each in the order of paths."""
-    rows = read_files(spark, folder, pattern)
-    good = rows.where("error is null").orderBy("path").select("text", "source_type", "title", F.col("path").alias("source_path"))
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*", field: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(texts, failures), each in the order of paths. What was known of a text's file beside the text is its metadata."""
+    rows = read_files(spark, folder, pattern, field=field)
+    known = F.struct("file_name", "extension", "mime_type", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"), "digest", "size", "details")
+    good = rows.where("error is null").orderBy("path").select("text", "source_type", "title", "author", F.col("path").alias("source_path"), F.to_json(known).alias("metadata"))
     return good, rows.where("error is not null").orderBy("path").select(F.col("file_name").alias("file"), "error_type", "error")
 
 
@@ -304,13 +341,18 @@ def route(spark: SparkSession, payload: object) -> DataFrame:
     if body is None:
         raise NoTextFoundError("none of the text fields holds text")
     more = {k: str(payload[k]) for k in ("title", "author", "language", "source_type") if payload.get(k) is not None}
+    if "title" not in more and payload.get("file_name") is not None:
+        more["title"] = str(payload["file_name"])
+    rest = {k: v for k, v in payload.items() if k not in tx.TEXT_KEYS and k not in more}
+    if rest:
+        more["metadata"] = json.dumps(rest, sort_keys=True, ensure_ascii=False, default=str)
     return spark.createDataFrame([(body, *more.values())], ", ".join(f"{k} string" for k in ("text", *more)))
 
 
 def pull(spark: SparkSession, config: dict) -> DataFrame | None:
     """Texts of the configured folder; None unless files are enabled."""
     files = config.get("files", {})
-    return read_folder(spark, files["directory"], files.get("pattern", "*"))[0] if files.get("enabled") else None
+    return read_folder(spark, files["directory"], files.get("pattern", "*"), text_key(files))[0] if files.get("enabled") else None
 
 
 def html_pages(pages: DataFrame, key: str = "page_id", body: str = "html") -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +34,25 @@ def jsonl(records: DataFrame, path: str, append: bool = False) -> None:
 
 
 def json_files(records: DataFrame, path: str, append: bool = False) -> None:
-    """One folder per document, named by the first 16 digits of its id, with the indented record; equal ids overwrite each other."""
+    """A file per document, named by the first 16 digits of its id, with the indented record. Files of equal names are replaced, others stay,
+    whatever append says; of records with equal ids one is written.
+
+    Each task writes its files beside their places and moves them there when they are whole, so one that runs again leaves the same
+    files. The path is one that pyarrow's file systems reach from all executors.
+    """
     rows = sorted_json(records, 2).dropDuplicates(["document_id"]).select(file_digest(F.col("document_id")).alias("name"), "value")
-    rows.write.mode("append" if append else "overwrite").partitionBy("name").text(path)
+    folder = path if "://" in path or path.startswith("file:") else str(Path(path).resolve())
+
+    def write(part: Iterator) -> None:
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        own = uuid.uuid4().hex
+        for r in part:
+            with system.open_output_stream(f"{base}/.{r.name}-{own}") as out:
+                out.write(f"{r.value}\n".encode())
+            system.move(f"{base}/.{r.name}-{own}", f"{base}/{r.name}.json")
+
+    rows.foreachPartition(write)
 
 
 def parquet(records: DataFrame, path: str, append: bool = False, compression: str = "snappy") -> None:
