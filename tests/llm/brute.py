@@ -211,3 +211,32 @@ def language_model(docs, order, grid):
             total += math.log10(sum(a * b for a, b in zip(weights, p, strict=False)))
         out.append(total)
     return out
+
+
+def toxicity(model, text: str | None) -> float:
+    """The score of a text by its definition: every window of words compressed twice, the bytes that the toxic dictionary saves counted."""
+    import math
+
+    import zstandard
+
+    if not model.weights:
+        return model.prior
+    words = (text or "").encode().lower().split()
+    windows = [words[i : i + model.width] for i in range(0, len(words), model.width)]
+
+    def size(window: bytes, dictionary: bytes) -> int:
+        settings = zstandard.ZstdCompressionParameters(
+            strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0
+        )
+        raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=settings)
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=settings).compress(window))
+
+    saved = []
+    for window in windows:
+        line = b" " + b"  ".join(window) + b" "
+        saved.append(size(line, model.ordinary) - size(line, model.toxic + model.ordinary))
+    values = [math.log(1 + sum(x >= least for x in saved)) for least in (2, 3, 4, 5, 6, 7, 8)]
+    values += [math.log(max(1, len(saved))), max([0, *saved]) / 8, 1.0]
+    total = sum(a * b for a, b in zip(values, model.weights, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
