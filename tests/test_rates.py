@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from quillon import catalog
+from quillon.config import Settings
 from quillon.functions import text
 from quillon.operators import detectors, evaluate
 from quillon.streaming import rates
@@ -53,3 +54,11 @@ def test_edges(spark, tmp_path):
     rates.add(rows.limit(0), 1, path, settings)
     got = {(r.corpus, r.category): (r.findings, r.words, r.per_1000) for r in rates.rates(spark, path).collect()}
     assert got == {(None, None): (2, 4, 500.0), (None, "slur"): (2, 4, 500.0), ("c", None): (0, 0, 0.0), ("e", None): (1, 1, 1000.0), ("e", "slur"): (1, 1, 1000.0)}
+
+
+def test_sums_with_every_kind_of_rule(spark):
+    rows = [("a", "x", "It was a vile trick. The crook left."), ("b", "x", "Rain fell."), ("c", None, None)]
+    got = rates.partial(spark.createDataFrame(rows, "id string, corpus string, text string"), Settings.load())
+    assert {(r.corpus, r.category): (r.findings, r.documents, r.words) for r in got.collect()} == {
+        ("x", None): (0, 2, 10), (None, None): (0, 1, 0), ("x", "loaded_language"): (1, 0, 0), ("x", "name_calling"): (1, 0, 0),
+    }
