@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators.segment import per_text, sentence_spans
+from quillon.operators.segment import sentence_spans, text_udf
 
 WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}’'&-]*")
 
@@ -53,7 +53,7 @@ def entities(docs: DataFrame, names: DataFrame, key: str = "document_id", body:
     null texts have no entities. A document's rows can be ordered by start, end, label.
     """
     fields = {"run": pa.int32(), "start": pa.int32(), "end": pa.int32(), "sentence_id": pa.int32(), "text": pa.string(), "plain": pa.string()}
-    found = F.arrow_udf(lambda texts: per_text(texts, lambda t: _phrases(t, longest), **fields), "array<struct<run:int,start:int,end:int,sentence_id:int,text:string,plain:string>>")
+    found = text_udf(lambda t: _phrases(t, longest), "array<struct<run:int,start:int,end:int,sentence_id:int,text:string,plain:string>>", **fields)
     listed = names.where("name IS NOT NULL AND label IS NOT NULL").groupBy(plain(F.col("name")).alias("plain")).agg(F.min("label").alias("_label"))
     stamp = listed.agg(F.concat(F.lit("gazetteer:"), F.hex(F.coalesce(F.bit_xor(F.xxhash64("plain", "_label")), F.lit(0)))).alias("model"))
     rows = docs.select(F.col(key).alias("_key"), F.inline(found(F.col(body)))).join(listed, "plain", "left")

@@ -5,11 +5,13 @@ import math
 import zipfile
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import config
 from quillon.__main__ import main as cli
+from quillon.config import Category, Taxonomy
 from quillon.errors import InvalidInputError, NoTextFoundError, UnsupportedFileTypeError
 from quillon.functions import spans, text
 from quillon.operators import detectors, entities, records, scoring, segment
@@ -228,3 +230,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert [(e["file"], e["error_type"]) for e in errors] == [("b.xyz", "UnsupportedFileTypeError")]
     assert cli(["--input", str(tmp_path / "in" / "a.txt"), "--out", str(tmp_path / "one"), "--save", "parquet"]) == 0
     assert cli(["--input", "  ", "--out", str(tmp_path / "two")]) == 1
+
+
+def test_texts_of_a_batch_are_worked_on_in_slices(spark, monkeypatch):
+    """What Python holds of a batch is one slice of it; nulls, empty texts and one larger than a slice come out in their rows."""
+    monkeypatch.setattr(text, "PIECE", 64)
+    texts = ["One two. Three!", None, "", "x" * 500 + ". Yes.", *["Go on. Stop it."] * 40, None]
+    sizes = [[x for x in a.to_pylist()] for (a,) in text.pieces(pa.array(texts, pa.string()))]
+    assert sum(sizes, []) == texts and len(sizes) > 8 and all(len(x) == 1 or sum(len(t or "") for t in x) <= 64 for x in sizes)
+    seen = []
+    monkeypatch.setattr(segment, "per_text", lambda a, found, **fields: seen.append(len(a)))
+    monkeypatch.setattr(F, "arrow_udf", lambda run, kind: run)
+    assert len(list(segment.text_udf(segment.sentence_spans, "")(iter([pa.array(texts, pa.string())])))) == len(sizes) and sum(seen) == len(texts)
+
+
+def test_entities_given_beside_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, "We met Ann Lee today.")], "document_id long, text string").coalesce(1)
+    given = spark.createDataFrame([(1, "Bob", "PERSON", 0, 3, 0), (2, "Ann Lee", "PERSON", 7, 14, 0)], "document_id long, text string, label string, start_char int, end_char int, sentence_id int")
+    c = Category("split", "entity_sentiment_split", base_confidence=0.9, entity_labels=("PERSON",), positive_threshold=0.0, negative_threshold=0.0, min_entities=1, min_mentions=1)
+    assert [(r.document_id, r.text) for r in detectors.findings(docs, Taxonomy((c,), 0.8), found=given).collect()] == [(2, "Ann Lee")]
