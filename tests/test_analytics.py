@@ -158,3 +158,19 @@ def test_projection_and_problems(spark):
     assert {r.node: r.total for r in hierarchy.projected(values, closed, "v").collect()} == {"a": 16, "b": 6, "c": 2, "d": 4, "z": 4}
     nodes = spark.createDataFrame([(x,) for x in "abcdr"], "node string")
     assert {tuple(r) for r in hierarchy.problems(nodes, df, closed).collect()} == {("q", "unknown node"), ("d", "unknown parent"), ("d", "several parents"), ("r", "on a circle")}
+
+
+def test_terms_by_block_equal_those_by_shuffled_rows(spark, monkeypatch):
+    """Many blocks and buckets, keys that repeat or are null, texts without words; no row per document and term is shuffled."""
+    monkeypatch.setattr(terms, "BLOCK", 300)
+    r = random.Random(8)
+    docs = [(i % 90 if i else None, " ".join(r.choices(["Aa", "bb", "cc", "dd-ee", "é", "f'g", *map(str, range(40))], k=r.randrange(1, 30)))) for i in range(120)] + [(200, None), (201, "!!"), (202, ""), (203, "one")]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(7)
+    for sizes in ((1,), (1, 2), (3,)):
+        weighted = terms.weights(terms.counts(df, "id", sizes=sizes), len(docs), "id")
+        want = sorted(map(tuple, terms.top(weighted, 4, "id").collect()), key=str)
+        assert sorted(map(tuple, terms.best(df, len(docs), 4, "id", sizes=sizes).collect()), key=str) == want
+        every = terms.listed(df, len(docs), "id", sizes=sizes)
+        assert sorted(map(tuple, every.select("id", F.inline("terms")).collect()), key=str) == sorted(map(tuple, weighted.select("id", "term", "n", "df", "weight").collect()), key=str)
+    plan = terms.best(df, len(docs), 4, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Window" not in plan and plan.count("Generate") == 1
