@@ -14,7 +14,7 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,15 +28,31 @@ def hashed(weighted: DataFrame, key: str = "document_id", dims: int = 128) -> Da
     A document whose places cancel out has zeros only; one without terms has no row.
     """
     rows = weighted.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "term", "weight"))).alias("x"))
+    return _hashed(rows, key, dims)
+
+
+def hashed_lists(listed: DataFrame, key: str = "document_id", dims: int = 128) -> DataFrame:
+    """The same from (key, terms) as of ``terms.listed``, without a shuffle."""
+    return _hashed(listed.select(F.col(key).alias("_key"), _laid().alias("x")), key, dims)
+
+
+def _laid() -> Column:
+    return F.array_sort(F.transform("terms", lambda e: F.struct(F.xxhash64(e["term"]).alias("h"), e["term"].alias("term"), e["weight"].alias("weight"))))
+
+
+def _places(h: pa.ListArray, w: pa.ListArray, dims: int) -> np.ndarray:
+    out = np.zeros((len(h), dims))
+    of, h = pc.list_parent_indices(h).to_numpy(), h.flatten().to_numpy().view(np.uint64)
+    np.add.at(out, (of, (h >> np.uint64(1)) % np.uint64(dims)), np.where(h & np.uint64(1), 1.0, -1.0) * w.flatten().to_numpy())
+    return np.rint(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300) * UNIT).astype(np.int32)
+
+
+def _hashed(rows: DataFrame, key: str, dims: int) -> DataFrame:
     rows = rows.select("_key", F.transform("x", lambda e: e["h"]).alias("h"), F.transform("x", lambda e: e["weight"]).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros((b.num_rows, dims))
-            of = pc.list_parent_indices(b["h"]).to_numpy()
-            h = b["h"].flatten().to_numpy().view(np.uint64)
-            np.add.at(out, (of, (h >> np.uint64(1)) % np.uint64(dims)), np.where(h & np.uint64(1), 1.0, -1.0) * b["w"].flatten().to_numpy())
-            out = np.rint(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300) * UNIT).astype(np.int32)
+            out = _places(b["h"], b["w"], dims)
             yield pa.RecordBatch.from_arrays([b["_key"], pa.ListArray.from_arrays(np.arange(0, out.size + 1, dims, dtype=np.int32), out.reshape(-1))], ["_key", "v"])
 
     kind = rows.schema["_key"].dataType.simpleString()
@@ -161,5 +177,30 @@ def fit(vectors: DataFrame, k: int, key: str = "document_id", seed: int = 0, tur
 def suggestions(weighted: DataFrame, clusters: DataFrame, terms: int = 10, key: str = "document_id") -> DataFrame:
     """(cluster, rank from 1, term, documents, weight): a cluster's weightiest terms, as the words of a category; weights summed in millionths."""
     rows = weighted.join(clusters.select(key, "cluster"), key).groupBy("cluster", "term").agg(F.count("*").alias("documents"), F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("_w"))
+    return _best(rows, terms)
+
+
+def suggested(listed: DataFrame, centres: np.ndarray, terms: int = 10) -> DataFrame:
+    """The same rows from (key, terms) as of ``terms.listed`` for the clusters of their own hashed places: a task finds the cluster of
+    a document beside its terms and sends sums by cluster and term, so no row per document and term moves."""
+    shared, dims = listed.sparkSession.sparkContext.broadcast(centres), centres.shape[1]
+    part = lambda value: F.transform("x", value)
+    rows = listed.select(_laid().alias("x")).select(
+        part(lambda e: e["h"]).alias("h"), part(lambda e: e["weight"]).alias("w"), part(lambda e: e["term"]).alias("term"), part(lambda e: F.round(e["weight"] * 1_000_000).cast("long")).alias("u")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                at, _ = nearest(_places(b["h"], b["w"], dims).astype(np.float64), shared.value)
+                own = pa.table({"cluster": at.astype(np.int32)[pc.list_parent_indices(b["term"]).to_numpy()], "term": b["term"].flatten(), "u": b["u"].flatten()})
+                sums = own.group_by(["cluster", "term"]).aggregate([("u", "count"), ("u", "sum")])
+                yield from sums.select(["cluster", "term", "u_count", "u_sum"]).rename_columns(["cluster", "term", "n", "u"]).to_batches()
+
+    rows = rows.mapInArrow(run, "cluster int, term string, n long, u long").groupBy("cluster", "term").agg(F.sum("n").alias("documents"), F.sum("u").alias("_w"))
+    return _best(rows, terms)
+
+
+def _best(rows: DataFrame, terms: int) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("_w"), "term"))
     return rows.withColumn("rank", best).where(F.col("rank") <= terms).select("cluster", "rank", "term", "documents", (F.col("_w") / 1_000_000).alias("weight"))

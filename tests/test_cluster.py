@@ -65,3 +65,15 @@ def test_documents(spark):
     rows = catalog.category_suggestions(spark, "/root/testdata/sf0.001").collect()
     assert {r["rank"] for r in rows} <= set(range(1, 11)) and len({r.cluster for r in rows}) == 8
     assert len({(r.cluster, r.term) for r in rows}) == len(rows)
+
+
+def test_suggestions_from_lists_equal_those_from_rows(spark):
+    r = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["a", "b", "c", "é", "dd", *map(str, range(20))], 12))) for i in range(60)] + [(60, None)], "id long, text string").repartition(5)
+    weighted, listed = terms.weights(terms.counts(docs, "id"), 61, "id"), terms.listed(docs, 61, "id")
+    rows = cluster.hashed(weighted, "id", 16)
+    assert sorted(map(tuple, cluster.hashed_lists(listed, "id", 16).collect())) == sorted(map(tuple, rows.collect()))
+    centres = np.array([x.v for x in rows.orderBy("id").limit(3).collect()], np.float64)
+    made = cluster.suggested(listed, centres, 4)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, cluster.suggestions(weighted, cluster.assigned(rows, centres, "id"), 4, "id").collect()))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
