@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import Settings
 from quillon.functions import text
-from quillon.operators import detectors, scoring
+from quillon.operators import detectors, hierarchy, scoring
 from quillon.operators.segment import sentence_array
 
 SCHEMA_VERSION = "1.0.0"
@@ -27,7 +27,7 @@ def stats(docs: DataFrame, key: str = "document_id", body: str = "text") -> Data
 def build(docs: DataFrame, found: DataFrame, settings: Settings, key: str = "document_id") -> DataFrame:
     """One record per document of docs (key, text, source_type, title, author, language), all parts by shuffles on the key only."""
     s, t = settings.scoring, settings.taxonomy
-    counts = stats(docs, key)
+    counts = hierarchy._fixed(stats(docs, key))
     scores = scoring.category_scores(counts, found, t, s, key)
     worst = scoring.severity(scores, t, s, key)
     flow = scoring.disruption(counts, worst, s, key)

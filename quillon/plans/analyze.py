@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.config import Settings
 from quillon.errors import InvalidInputError, NoTextFoundError
 from quillon.functions import text
-from quillon.operators import detectors, records
+from quillon.operators import detectors, hierarchy, records
 
 
 def prepare(df: DataFrame, settings: Settings) -> DataFrame:
@@ -28,12 +28,13 @@ def analyze(df: DataFrame, settings: Settings | None = None, distinct: bool = Fa
     """Records of all texts of df that aren't blank, one per row. The id is the digest of the text, so rows with equal texts have
     equal ids; with ``distinct`` they give one record.
 
-    Each text is analysed once: findings and scores are made on distinct texts, and joined with the rows that hold them.
+    Each text is analysed once: findings and scores are made on distinct texts, and joined with the rows that hold them. Distinct texts,
+    their findings and their statistics are kept, as several parts of a record are made of each.
     """
     settings = settings or Settings.load()
     rows = prepare(df, settings)
-    docs = rows.dropDuplicates(["document_id"])
-    found = detectors.findings(docs, settings.taxonomy)
+    docs = hierarchy._fixed(rows.dropDuplicates(["document_id"]))
+    found = hierarchy._fixed(detectors.findings(docs, settings.taxonomy))
     made = records.validated(records.build(docs, found, settings), len(settings.taxonomy.categories))
     if distinct:
         return made
