@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.config import Taxonomy, digest
-from quillon.operators import detectors, entities
+from quillon.operators import detectors, entities, hierarchy
 
 
 def rule_hashes(taxonomy: Taxonomy) -> dict[str, str]:
@@ -58,7 +58,7 @@ def update(kept: DataFrame, before: DataFrame, docs: DataFrame, old: Taxonomy, n
     hashes, earlier = rule_hashes(new), rule_hashes(old)
     again = tuple(c for c in new.categories if hashes.get(c.id) not in (None, earlier.get(c.id)))
     text = lambda df, name: df.select(F.col(key), F.coalesce(F.sha2(F.col(body), 256), F.lit("-")).alias(name))
-    state = text(docs, "_now").join(text(before, "_was"), key, "left").select(key, F.col("_now").eqNullSafe(F.col("_was")).alias("_same"))
+    state = hierarchy._fixed(text(docs, "_now").join(text(before, "_was"), key, "left").select(key, F.col("_now").eqNullSafe(F.col("_was")).alias("_same")))
     marked = docs.select(key, body).join(state, key)
     part = Taxonomy(again, new.default_threshold, new.version)
     only = detectors.findings(marked.where("_same"), part, key, body, found=None if new.needs_entities == part.needs_entities else _named(marked.where("_same"), again, key, body))
