@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon import config
+from quillon import catalog, config
 from quillon.__main__ import main as cli
 from quillon.config import Category, Taxonomy
 from quillon.errors import InvalidInputError, NoTextFoundError, UnsupportedFileTypeError
@@ -249,3 +249,28 @@ def test_entities_given_beside_null_texts(spark):
     given = spark.createDataFrame([(1, "Bob", "PERSON", 0, 3, 0), (2, "Ann Lee", "PERSON", 7, 14, 0)], "document_id long, text string, label string, start_char int, end_char int, sentence_id int")
     c = Category("split", "entity_sentiment_split", base_confidence=0.9, entity_labels=("PERSON",), positive_threshold=0.0, negative_threshold=0.0, min_entities=1, min_mentions=1)
     assert [(r.document_id, r.text) for r in detectors.findings(docs, Taxonomy((c,), 0.8), found=given).collect()] == [(2, "Ann Lee")]
+
+
+def test_texts_are_analysed_once_for_all_parts_of_a_record(spark):
+    docs = spark.createDataFrame([("That man is a crook and a bigot.",), ("Fine weather today.",)], "text string")
+    p = plan.analyze(docs, config.Settings.load())._jdf.queryExecution().executedPlan().toString()
+    assert "_nfc(" in p and "run(" not in p  # NFC of the rows that the records are joined with; sentences and rules are kept
+
+
+def test_calibrated_scores_scan_texts_once_for_one_category(spark, monkeypatch, tmp_path):
+    asked = []
+    own = detectors.findings
+    monkeypatch.setattr(detectors, "findings", lambda docs, t, *a, **k: asked.append([c.id for c in t.categories]) or own(docs, t, *a, **k))
+    for name, rows, kind in (("documents", [(1, "You idiot."), (2, "Kind words.")], "doc_id long, text string"), ("labels", [(1, 1), (2, 0)], "doc_id long, toxic int")):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    made = catalog.QUERIES["calibrated_scores"](spark, str(tmp_path))
+    assert asked == [["slur"]] and "ArrowEvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.calibrated for r in made.collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_words_of_repeated_phrases_in_any_script():
+    """Plain ASCII goes another way; both find what counting in the text finds."""
+    for word in ("so", "é", "don't", "a_b"):
+        t = f"{word} big _ red hen! " * 4 + "the of and to " * 5
+        assert detectors.Grams(t, 4).often(4) == [(m, m + len(f"{word} big _ red hen"), f"{word} big red hen") for m in range(0, len(f"{word} big _ red hen! ") * 4, len(f"{word} big _ red hen! "))] + [x for x in detectors.Grams(t, 4).often(4) if not x[2].startswith(word)]
+        assert not any(x[2] == "the of and to" for x in detectors.Grams(t, 4).often(4)) and detectors.Grams("a b c d", 4).often(2) == []
