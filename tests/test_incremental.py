@@ -2,6 +2,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from quillon import config
 from quillon.config import Settings, Taxonomy
 from quillon.operators import detectors
 from quillon.plans import incremental
@@ -49,3 +50,10 @@ def test_empty_tables(spark):
     kept = incremental.start(old.limit(0), t, "id")
     assert rows(incremental.update(kept, old.limit(0), old, t, t, "id").findings) == rows(detectors.findings(old, t, "id"))
     assert incremental.update(incremental.start(old, t, "id"), old, old.where(F.lit(False)), t, t, "id").findings.count() == 0
+
+
+def test_what_changed_is_worked_out_once(spark):
+    t = config.Settings.load().taxonomy
+    docs = spark.createDataFrame([(1, "That man is a crook."), (2, "Fine weather.")], "document_id long, text string")
+    up = incremental.update(incremental.start(docs, t), docs, docs, t, t)
+    assert "sha2(" not in up.findings._jdf.queryExecution().executedPlan().toString() and up.touched.count() == 0
