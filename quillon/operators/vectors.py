@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions.batches import small_batches
+
 BLOCK, BATCH, SLACK = 1024, 256, 1e-7
 HIT = "query long, id long, cosine double"
 
@@ -35,7 +37,7 @@ def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x, np.float64).tobytes()
 
 
-def _matrix(data: bytes, n: int) -> np.ndarray:
+def _matrix(data: bytes | pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(n, -1)
 
 
@@ -49,7 +51,8 @@ def placed(base: DataFrame, id_col: str, vector: str, pivots: np.ndarray | None)
     shared = base.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, at in ((b, at) for b in batches for at in range(0, b.num_rows, BLOCK)):  # a vector's components are Python objects for a while
+            batch = whole.slice(at, BLOCK)
             good, x = _unit(batch["v"])
             if len(good):
                 near = _cosines(x, shared.value)
@@ -99,9 +102,10 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 def _scored(batches: Iterator[pa.RecordBatch], k: int, same: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
-            q, x = _matrix(r["queries"], len(r["asked"])), _matrix(r["data"], r["n"])
-            cosine, ids, asked = q @ x.T, np.array(r["ids"]), np.array(r["asked"])
+        for i in range(batch.num_rows):  # views of one row's buffers: a batch of matrices is never copied, nor its ids made into objects
+            ids, asked = (batch[c][i].values.to_numpy() for c in ("ids", "asked"))
+            q, x = (_matrix(batch[c][i].as_buffer(), len(of)) for c, of in (("queries", asked), ("data", ids)))
+            cosine = q @ x.T
             if not same:
                 cosine[asked[:, None] == ids[None, :]] = -np.inf
             order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :k]
@@ -119,6 +123,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id"
     The driver gets the sample, and a row of a few numbers per block, which goes to the tasks that ask.
     """
     spark = base.sparkSession
+    small_batches(spark)  # a row of a pair holds two matrices
     fix = lambda df: df.checkpoint() if spark.sparkContext.getConf().get("spark.checkpoint.dir") else df.persist()
     picked = base.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector).toArrow()
     _, x = _unit(picked[vector].combine_chunks() if isinstance(picked[vector], pa.ChunkedArray) else picked[vector])
@@ -157,7 +162,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id"
         return run
 
     def answers(sent: DataFrame) -> DataFrame:
-        pairs = sent.join(held.select("block", "n", "ids", "data"), "block")
+        pairs = sent.join(held.select("block", "ids", "data"), "block")
         return pairs.mapInArrow(lambda batches: _scored(batches, k, same), HIT)
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
@@ -169,7 +174,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id"
     early = fix(asked.withColumn("floor", F.lit(-2.0)).mapInArrow(aimed(True), shape))
     opened = fix(best(answers(early)))
     floors = opened.groupBy("query").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("floor"))
-    late = fix(asked.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))).mapInArrow(aimed(False), shape))
+    late = asked.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))).mapInArrow(aimed(False), shape)  # not kept: it is large, and made again in no time
     out = best(opened.drop("rank").unionByName(answers(late))).select("query", "rank", "id", "cosine")
     sizes = F.broadcast(held.select("block", "n"))  # a row per block
     visited = early.unionByName(late).join(sizes, "block").agg(F.coalesce(F.sum(F.size("asked") * F.col("n")), F.lit(0)).cast("long").alias("visited"))

@@ -1,14 +1,16 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from quillon.config import Settings
-from quillon.functions import spans
+from quillon.functions import batches, spans
 from quillon.operators import detectors, hierarchy, literals, terms, vectors
 
 
@@ -125,6 +127,28 @@ def test_neighbours_of_little(spark):
     assert [tuple(r) for r in vectors.nearest(one, one, same=True)[0].collect()] == [(1, 1, 1, 1.0)]
 
 
+def test_pairs_of_matrices_are_scored_one_by_one(spark):
+    """A batch of pairs is neither copied nor made into Python objects, and holds BATCH_BYTES or one pair."""
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(1024, 64)), rng.normal(size=(4, 64))
+    n = 32
+    made = {"block": [0] * n, "asked": [[5, 1, 2, 3]] * n, "queries": [q.tobytes()] * n, "ids": [list(range(1024))] * n, "data": [x.tobytes()] * n}
+    batch = pa.RecordBatch.from_pydict(made, pa.schema({"block": pa.int64(), "asked": pa.list_(pa.int64()), "queries": pa.binary(), "ids": pa.list_(pa.int64()), "data": pa.binary()}))
+    tracemalloc.start()
+    first, *rest = vectors._scored(iter([batch]), 3, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rest) == n - 1 and all(r.equals(first) for r in rest) and peak < 4 << 20  # the batch has 17 MB
+    cosine = q @ x.T
+    cosine[[0, 1, 2, 3], [5, 1, 2, 3]] = -np.inf
+    assert first["query"].to_pylist() == [5] * 3 + [1] * 3 + [2] * 3 + [3] * 3 and first["id"].to_pylist() == np.argsort(-cosine, axis=1)[:, :3].ravel().tolist()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
+    vectors.nearest(one, one)
+    assert int(spark.conf.get(key).rstrip("b")) == batches.BATCH_BYTES
+
+
 # ---------------------------------------------------------------- hierarchies
 
 
