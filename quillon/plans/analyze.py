@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from quillon.config import Settings
 from quillon.errors import InvalidInputError, NoTextFoundError
 from quillon.functions import text
+from quillon.functions.batches import small_batches
 from quillon.operators import detectors, hierarchy, records
 
 
 def prepare(df: DataFrame, settings: Settings) -> DataFrame:
     """(document_id, text, source_type, title, author, language): NFC, then the digest of the text as its id."""
+    small_batches(df.sparkSession)
     have = set(df.columns)
     column = lambda name, default: F.col(name) if name in have else F.lit(default).cast("string")
     body = text.nfc(F.col("text"))
+    df = df.where(F.trim("text") != "")  # NFC makes no space and takes none away; asked of its result, the filter would have it made twice
     df = df.select(body.alias("text"), column("source_type", "api_rest").alias("source_type"), column("title", None).alias("title"), column("author", None).alias("author"), F.coalesce(column("language", None), F.lit(settings.pipeline.get("language", "en"))).alias("language"))
-    return df.where(F.trim("text") != "").select(text.document_id(F.col("text")).alias("document_id"), "*")
+    return df.select(text.document_id(F.col("text")).alias("document_id"), "*")
 
 
 def analyze(df: DataFrame, settings: Settings | None = None, distinct: bool = False) -> DataFrame:

@@ -13,9 +13,10 @@ from quillon import catalog, config
 from quillon.__main__ import main as cli
 from quillon.config import Category, Taxonomy
 from quillon.errors import InvalidInputError, NoTextFoundError, UnsupportedFileTypeError
-from quillon.functions import spans, text
+from quillon.functions import batches, spans, text
 from quillon.operators import detectors, entities, records, scoring, segment
 from quillon.plans import analyze as plan
+from quillon.plans import corpus
 from quillon.sources import readers, sinks
 from quillon.streaming import analyze as stream
 
@@ -244,6 +245,26 @@ def test_texts_of_a_batch_are_worked_on_in_slices(spark, monkeypatch):
     assert len(list(segment.text_udf(segment.sentence_spans, "")(iter([pa.array(texts, pa.string())])))) == len(sizes) and sum(seen) == len(texts)
 
 
+def test_texts_are_brought_to_nfc_once_in_small_batches(spark):
+    """Blank texts are left out before NFC, so no second worker of a task makes it for the filter; Spark's batches are held to BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(1, "Cafe\u0301 is open."), (2, " \u2000 "), (3, "   "), (4, ""), (5, None), (6, "\u0301"), (7, "\n")]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumns({"corpus": F.lit("a"), "title": F.col("id").cast("string")})
+    for made, want in (
+        (lambda: plan.prepare(docs.withColumn("title", F.col("id").cast("string")), config.Settings.load()), {"1": "Caf\u00e9 is open.", "2": " \u2002 ", "6": "\u0301", "7": "\n"}),
+        (lambda: corpus.run(docs, config.Settings.load()).documents, {"1": None, "2": None, "6": None}),
+    ):
+        spark.conf.unset(key)
+        df = made()
+        assert int(spark.conf.get(key).rstrip("b")) == batches.BATCH_BYTES
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [_nfc(") <= 1
+        assert {r.title: r.asDict().get("text") for r in df.collect()} == want
+    for made in (lambda: segment.tokens(docs, "id"), lambda: segment.sentences(docs, "id"), lambda: detectors.findings(docs, config.Settings.load().taxonomy, "id")):
+        spark.conf.unset(key)
+        made()
+        assert int(spark.conf.get(key).rstrip("b")) == batches.BATCH_BYTES
+
+
 def test_entities_given_beside_null_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, "We met Ann Lee today.")], "document_id long, text string").coalesce(1)
     given = spark.createDataFrame([(1, "Bob", "PERSON", 0, 3, 0), (2, "Ann Lee", "PERSON", 7, 14, 0)], "document_id long, text string, label string, start_char int, end_char int, sentence_id int")
