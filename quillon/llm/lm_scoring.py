@@ -45,27 +45,35 @@ class _Block:
         learned = self.docs["train"].to_numpy(zero_copy_only=False)[self.doc]
         return np.bincount(inverse, weights=learned[at], minlength=len(keys)).astype(np.int64)
 
-    def totals(self, replies: pa.Table, k: int, held: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The corpus' count of each distinct k-gram, how much of it is held out, and do other blocks have it; held: is this block?
+    def totals(self, replies: pa.Table, k: int, held: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The corpus' count of each distinct k-gram, and for a held-out block how much of it is held out; held: is this block?
 
-        A long n-gram that isn't asked for occurs in this block only: its counts are the block's own.
+        What no other block has is counted as the block itself counts it.
         """
-        own = self.times(k)
-        total, out, shared = own, own * held, np.zeros(len(own), bool)
-        asked = self.asked(replies, k, held)
+        total, asked = self.times(k), self.asked(replies, k)
+        out = total * held
         if asked.any():
-            total, out = total.copy(), out.copy()
-            total[asked], out[asked], shared[asked] = (x.astype(np.int64) for x in c.reply_arrays(replies, k))
-        return total, out, shared
-
-    def asked(self, replies: pa.Table, k: int, held: bool) -> np.ndarray:
+            flags, *counts = c.reply_arrays(replies, k)
+            asked[asked] = flags.astype(bool)
+            for own, whole in zip((total, out), counts, strict=False):
+                own[asked] = whole
+        return total, out
+
+    def shared(self, replies: pa.Table, k: int) -> np.ndarray:
+        """Which of the distinct k-grams other blocks have too. A long one that isn't asked for occurs in this block only."""
+        out = self.asked(replies, k)
+        if out.any():
+            out[out] = c.reply_arrays(replies, k)[0].astype(bool)
+        return out
+
+    def asked(self, replies: pa.Table, k: int) -> np.ndarray:
         """Which of the distinct k-grams are sent: of the long ones those whose both (k-1)-grams other blocks have too, learned or not."""
         at, keys, inverse = self.grams[k - 1]
         if k <= ASKED:
             return np.ones(len(keys), bool)
         part, _, index = self.grams[k - 2]
         elsewhere = np.zeros(len(self.doc) + 1, bool)
-        elsewhere[part] = self.totals(replies, k - 1, held)[2][index]
+        elsewhere[part] = self.shared(replies, k - 1)[index]
         mask = np.zeros(len(keys), bool)
         mask[inverse[elsewhere[at] & elsewhere[at + 1]]] = True
         return mask
@@ -74,7 +82,7 @@ class _Block:
         """For each token but the beginnings, in the order of the text: the document, its n-grams' counts, their contexts'."""
         ended = []
         for k, (at, _, inverse) in enumerate(self.grams, 1):
-            total, out, _ = self.totals(replies, k, held)
+            total, out = self.totals(replies, k, held)
             full = np.zeros(len(self.doc), np.int64)
             full[at + k - 1] = (total - out * deleted)[inverse]
             ended.append(full)  # by the place at which the n-gram ends
@@ -171,7 +179,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         def run(table: pa.Table, answers: pa.Table) -> pa.Table:
             own, number = _Block(table, k), table["block"][0].as_py()
             rows: list[tuple] = []
-            asked, times = own.asked(answers, k, number >= n), own.times(k).astype(np.uint32)
+            asked, times = own.asked(answers, k), own.times(k).astype(np.uint32)
             c.to_buckets(rows, buckets, number, k, own.grams[k - 1][1][asked], times[asked], times[asked] * np.uint32(number >= n))
             return c.blob_table(rows)
 
@@ -189,11 +197,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         narrow = [x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x for x in sums]
         return [*(x[inverse] for x in narrow), (blocks > 1).astype(np.uint8)[inverse]], more
 
-    replies = c.saved(c.answers(dealt.groupBy("block").applyInArrow(c.tidy(send), c.BLOB_SCHEMA), total, merge), "counts")
+    def brief(block: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        """Which n-grams other blocks have too, and the counts of those; only held-out blocks need to know how much of them is held out."""
+        shared = arrays[2].astype(bool)
+        return [arrays[2], *(x[shared] for x in arrays[: 1 + (block >= n)])]
+
+    replies = c.saved(c.answers(dealt.groupBy("block").applyInArrow(c.tidy(send), c.BLOB_SCHEMA), total, merge, brief), "counts")
     for k in range(ASKED + 1, order + 1):
         met = replies.where(F.col("block") >= 0).groupBy("block")
         longer = dealt.groupBy("block").cogroup(met).applyInArrow(c.tidy(send_longer(k)), c.BLOB_SCHEMA)
-        replies = replies.unionByName(c.saved(c.answers(longer, total, merge), f"counts{k}"))
+        replies = replies.unionByName(c.saved(c.answers(longer, total, merge, brief), f"counts{k}"))
 
     def read_sums(batches):
         for b in batches:
@@ -201,7 +214,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(got[:, i]) for i in range(4)], ["tokens", "types", "kept_tokens", "kept_types"])
 
     sums = replies.where(F.col("kind") == SUMS).select("data").mapInArrow(c.tidy(read_sums), "tokens long, types long, kept_tokens long, kept_types long")
-    tokens, types, kept_tokens, kept_types = (int(x or 0) for x in sums.groupBy().sum().first())
+    with c.shuffles_removed(docs.sparkSession):
+        tokens, types, kept_tokens, kept_types = (int(x or 0) for x in sums.groupBy().sum().first())
 
     def histogram(table: pa.Table, answers: pa.Table) -> pa.Table:
         _, counts, context = _Block(table, order).counts(answers, held=True, deleted=True)
@@ -215,7 +229,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     cells = c.pack(docs.where(held), block, total, **columns).groupBy("block").cogroup(replies.where(F.col("block") >= n).groupBy("block"))
     cells = cells.applyInArrow(c.tidy(histogram), "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times"))
-    found = cells.toPandas()
+    with c.shuffles_removed(docs.sparkSession):
+        found = cells.toPandas()
     weights = _fit(found["cell"].to_numpy(np.int64), found["times"].to_numpy(float), order, kept_types)
 
     def scores(table: pa.Table, answers: pa.Table) -> pa.Table:
